@@ -36,3 +36,18 @@ def be_int32(b: Column, offset: int = 0) -> Column:
 def be_int64(b: Column, offset: int = 0) -> Column:
     """Signed 64-bit big-endian integer at ``offset`` (``conv`` to a negative base keeps the sign)."""
     return F.conv(F.hex(F.substring(b, offset + 1, 8)), 16, -10).cast("long")
+
+
+def hex_field(h: Column, offset, width: int) -> Column:
+    """Unsigned field read from the *hex text* ``h`` of a binary (one ``hex`` per row, many fields).
+
+    ``offset`` is a byte offset (int or Column).
+    """
+    if isinstance(offset, int):
+        return F.conv(F.substring(h, 2 * offset + 1, 2 * width), 16, 10).cast("long")
+    return F.conv(h.substr(offset * 2 + 1, F.lit(2 * width)), 16, 10).cast("long")
+
+
+def hex_ipv4(h: Column, offset: int) -> Column:
+    """Dotted quad of the 4 bytes at ``offset`` of a binary given as hex text."""
+    return F.concat_ws(".", *[hex_field(h, offset + i, 1) for i in range(4)])

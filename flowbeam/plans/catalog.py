@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from flowbeam.functions.binary import be_uint
 from flowbeam.functions.ip import bytes_to_ip, ip_to_bytes
 from flowbeam.functions.protocol import resolve_protocol
 from flowbeam.operators import aggregates, filters, project, spec, toptalk
+from flowbeam.schema import FLOW_COLUMNS
+from flowbeam.session import scratch_path
 from flowbeam.sources.testviews import (
     ORDER_KEYS,
     SPEC_CHECK_SQL,
@@ -256,3 +258,184 @@ def flows_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("spec_validation", SPEC_CHECK_SQL)
 def spec_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec.parse_specs(spec.validate_specs(specs_view(spark, sf_dir))).drop("params")
+
+
+# -- K1, S6, F1 (date-partitioned Parquet, pruned range read) -------------------------------
+
+
+@register(
+    "partitioned_range",
+    with_flows(
+        f"select {_FLOW_COLS} from flows where time_ms between {_ms(RANGE_SPEC['start'])} "
+        f"and {_ms(RANGE_SPEC['end'])}"
+    ),
+)
+def partitioned_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.flows import write_partitioned
+    from flowbeam.sources.flows import read_flows
+
+    path = scratch_path(spark, "flows")
+    write_partitioned(flows_view(spark, sf_dir, keep_keys=False), path)
+    s = spec.FlowSpec.from_params(RANGE_SPEC)
+    return filters.in_time_range(read_flows(spark, path), s.start_ms, s.end_ms).select(*FLOW_COLUMNS)
+
+
+# -- K2, S7, F10 (documents and a term lookup) -----------------------------------------------
+
+
+@register("doc_term_lookup", with_flows(f"select {_DISPLAY_SQL} from flows where src_addr = '{SRC_ADDR}'"))
+def doc_term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.flows import write_documents
+    from flowbeam.sources.documents import read_documents, term_query
+
+    path = scratch_path(spark, "docs")
+    write_documents(flows_view(spark, sf_dir, keep_keys=False), path)
+    return term_query(read_documents(spark, path), "srcAddress", SRC_ADDR)
+
+
+# -- K3, S8, F8 (keyed last-write-wins table, source lookup) ---------------------------------
+
+
+@register(
+    "keyed_src_lookup",
+    with_flows(f", {_LATEST_SQL}\nselect * from latest where src_addr = '{SRC_ADDR}'"),
+)
+def keyed_src_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.keyed import upsert_keyed
+    from flowbeam.sources.keyed import source_lookup
+
+    path = upsert_keyed(flows_view(spark, sf_dir), scratch_path(spark, "keyed"), tie_breakers=ORDER_KEYS)
+    return source_lookup(spark, path, SRC_ADDR)
+
+
+# Two writes to the keyed table: flows from 1998 on first, then the older flows (a backfill).
+# A later write replaces the cells of the same pair even when its flow is older.
+BACKFILL_SPLIT_MS = 883612800000  # 1998-01-01T00:00:00Z
+_BACKFILL_ORDER = f"(time_ms < {BACKFILL_SPLIT_MS}) desc, " + _LATEST_ORDER
+
+
+@register(
+    "keyed_upsert_backfill",
+    with_flows(
+        f"""select {_FLOW_COLS} from (
+  select *, row_number() over (partition by src_addr, dst_addr order by {_BACKFILL_ORDER}) as rn
+  from flows) t where rn = 1"""
+    ),
+)
+def keyed_upsert_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.keyed import upsert_keyed
+    from flowbeam.sources.keyed import read_keyed
+
+    flows = flows_view(spark, sf_dir)
+    first = flows.filter(F.col("time_ms") >= BACKFILL_SPLIT_MS)
+    later = flows.filter(F.col("time_ms") < BACKFILL_SPLIT_MS)
+    v1 = upsert_keyed(first, scratch_path(spark, "keyed-v1"), tie_breakers=ORDER_KEYS)
+    v2 = upsert_keyed(later, scratch_path(spark, "keyed-v2"), previous_path=v1, tie_breakers=ORDER_KEYS)
+    return read_keyed(spark, v2)
+
+
+# -- K5, K6, S9, T3, A4 (stored result sets) -------------------------------------------------
+
+PAGE_OFFSET, PAGE_LIMIT = 10, 25
+_PAGE_ORDER_SQL = '"time", "srcAddress", "dstAddress", "srcPort", "dstPort", "protocol", "duration", "bytes", "packets"'
+
+
+def _store_count_job(spark: SparkSession, sf_dir: str) -> str:
+    from flowbeam.sinks.results import drop_results, write_results
+
+    root = scratch_path(spark, "results")
+    s = spec.FlowSpec.from_params(COUNT_SPEC)
+    rows = project.to_display(filters.flow_query(flows_view(spark, sf_dir, keep_keys=False), s))
+    write_results(rows, root, "job-count")
+    # A second job written and then emptied: its rows must not survive.
+    write_results(project.to_display(flows_view(spark, sf_dir, keep_keys=False)), root, "job-empty")
+    drop_results(spark, root, "job-empty")
+    return root
+
+
+@register(
+    "result_page",
+    with_flows(
+        f"select {_DISPLAY_SQL} from flows where {_count_where()} "
+        f"order by {_PAGE_ORDER_SQL} limit {PAGE_LIMIT} offset {PAGE_OFFSET}"
+    ),
+)
+def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.results import results_page
+
+    root = _store_count_job(spark, sf_dir)
+    return results_page(spark, root, "job-count", PAGE_OFFSET, PAGE_LIMIT)
+
+
+@register(
+    "result_count",
+    with_flows(
+        f"select 'job-count' as job_id, count(*) as \"rows\" from flows where {_count_where()} "
+        "union all select 'job-empty' as job_id, 0 as \"rows\""
+    ),
+)
+def result_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.results import result_count as count_job
+
+    root = _store_count_job(spark, sf_dir)
+    return count_job(spark, root, "job-count").select(F.lit("job-count").alias("job_id"), "rows").unionByName(
+        count_job(spark, root, "job-empty").select(F.lit("job-empty").alias("job_id"), "rows")
+    )
+
+
+# -- S3, S4, S5, P1, X3..X6 (v5 decode) ------------------------------------------------------
+
+
+@register("v5_round_trip", with_flows(f"select {_FLOW_COLS} from flows"))
+def v5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.operators.decode import decode
+    from flowbeam.operators.encode import encode_v5
+
+    packets = encode_v5(flows_view(spark, sf_dir, keep_keys=False))
+    flows, _ = decode(packets.select("payload"), "v5")
+    return flows
+
+
+# One packet per (order, day); every order's packets are damaged by a rule on the order key.
+def _damage(p: Column, k: Column) -> Column:
+    r = k % 11
+    tail = lambda start: F.substring(p, start, F.lit(1 << 20))
+    return (
+        F.when(r == 0, F.expr("substring(payload, 1, length(payload) - 1)"))
+        .when(r == 1, F.concat(F.unhex(F.lit("0009")), tail(3)))
+        .when(r == 2, F.concat(F.substring(p, 1, 2), F.unhex(F.lit("0000")), tail(5)))
+        .when(r == 3, F.concat(F.substring(p, 1, 2), F.unhex(F.lit("001F")), tail(5)))
+        .when(r == 4, F.concat(F.substring(p, 1, 12), F.unhex(F.lit("3B9ACA00")), tail(17)))
+        .when(r == 5, F.concat(p, F.unhex(F.lit("00" * 10))))
+        .when(r == 6, F.substring(p, 1, 3))
+        .when(r == 7, F.substring(p, 1, 1))
+        .otherwise(p)
+    )
+
+
+@register(
+    "v5_reject_counts",
+    with_flows(
+        """, pk as (select l_orderkey, time_ms // 86400000 as d, count(*) as n from flows group by 1, 2),
+o as (select case l_orderkey % 11 when 0 then 'underflow' when 1 then 'bad_version'
+        when 2 then 'bad_count' when 3 then 'bad_count' when 4 then 'bad_nanoseconds'
+        when 6 then 'underflow' when 7 then 'underflow' else 'ok' end as outcome, n from pk)
+select outcome, count(*) as packets,
+       cast(sum(case when outcome = 'ok' then n else 0 end) as bigint) as records
+from o group by 1"""
+    ),
+)
+def v5_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.operators.decode import classify_v5, explode_v5
+    from flowbeam.operators.encode import encode_v5
+
+    flows = flows_view(spark, sf_dir).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
+    packets = encode_v5(flows, packet_by=["l_orderkey", "_day"])
+    damaged = packets.select("l_orderkey", _damage(F.col("payload"), F.col("l_orderkey")).alias("payload"))
+    classified = classify_v5(damaged)
+    outcome = F.coalesce(F.col("reject_reason"), F.lit("ok")).alias("outcome")
+    per_packet = classified.groupBy(outcome).agg(F.count(F.lit(1)).alias("packets"))
+    records = explode_v5(classified, []).agg(F.count(F.lit(1)).alias("records"))
+    return per_packet.join(records.withColumn("outcome", F.lit("ok")), "outcome", "left").select(
+        "outcome", "packets", F.coalesce(F.col("records"), F.lit(0)).cast("long").alias("records")
+    )
