@@ -439,3 +439,48 @@ def v5_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_packet.join(records.withColumn("outcome", F.lit("ok")), "outcome", "left").select(
         "outcome", "packets", F.coalesce(F.col("records"), F.lit(0)).cast("long").alias("records")
     )
+
+
+# -- S1, S2, K8, R1 (capture files, batch and streaming ingest) ------------------------------
+
+# Capture files are built from the flows: one v5 packet per (order, day); every 13th order's
+# packets were exported over TCP and must be rejected as not UDP.
+_CAPTURE_SQL = with_flows(f"select {_FLOW_COLS} from flows where l_orderkey % 13 <> 0")
+
+
+def _write_captures(spark: SparkSession, sf_dir: str) -> str:
+    from flowbeam.operators.encode import encode_v5
+    from flowbeam.sinks.capture import write_capture_files
+
+    flows = flows_view(spark, sf_dir).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
+    packets = encode_v5(flows, packet_by=["l_orderkey", "_day"]).withColumn(
+        "transport", F.when(F.col("l_orderkey") % 13 == 0, "tcp").otherwise("udp")
+    )
+    landing = scratch_path(spark, "captures")
+    write_capture_files(packets, landing)
+    return landing
+
+
+@register("capture_ingest", _CAPTURE_SQL)
+def capture_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.plans.ingest import ingest_captures
+    from flowbeam.sources.flows import read_flows
+
+    landing = _write_captures(spark, sf_dir)
+    flows_path, rejects_path = scratch_path(spark, "ingest-flows"), scratch_path(spark, "ingest-rejects")
+    ingest_captures(spark, landing, flows_path, rejects_path)
+    return read_flows(spark, flows_path).select(*FLOW_COLUMNS)
+
+
+@register("stream_ingest", _CAPTURE_SQL)
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sources.flows import read_flows
+    from flowbeam.streaming.ingest import start_capture_ingest
+
+    landing = _write_captures(spark, sf_dir)
+    flows_path, rejects_path = scratch_path(spark, "stream-flows"), scratch_path(spark, "stream-rejects")
+    query = start_capture_ingest(spark, landing, flows_path, rejects_path, max_files_per_trigger=16)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    return read_flows(spark, flows_path).select(*FLOW_COLUMNS)

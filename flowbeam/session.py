@@ -63,3 +63,33 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique table location under the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/flowbeam/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``flowbeam`` importable on executors (as ``--py-files`` would), once per application.
+
+    Needed only where Python runs inside tasks (the capture-file table function).
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the package must be installed on the cluster
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import os
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    zip_path = os.path.join(tempfile.mkdtemp(prefix="flowbeam-pyfiles-"), "flowbeam.zip")
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(app)
