@@ -484,3 +484,29 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     if query.exception() is not None:
         raise query.exception()
     return read_flows(spark, flows_path).select(*FLOW_COLUMNS)
+
+
+# -- J1 (many specs in one pass) -------------------------------------------------------------
+
+
+@register(
+    "multi_spec_query",
+    with_flows(
+        f""", specs as (select * from ({SPEC_CHECK_SQL}) v where validation_error is null and type = 'FlowQuery')
+select s.job_id, f.src_addr, f.dst_addr, f.src_port, f.dst_port, f.time_ms, f.duration_ms, f.protocol,
+       f.bytes, f.packets
+from flows f join specs s
+  on f.time_ms between s.start_ms and s.end_ms
+ and (s.src_addr is null or f.src_addr = s.src_addr)
+ and (s.dst_addr is null or f.dst_addr = s.dst_addr)
+ and (s.src_port is null or f.src_port = s.src_port)
+ and (s.dst_port is null or f.dst_port = s.dst_port)
+ and (s.protocol is null or f.protocol = s.protocol)"""
+    ),
+)
+def multi_spec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.operators.multispec import multi_spec_query as run
+
+    specs = spec.parse_specs(spec.validate_specs(specs_view(spark, sf_dir)))
+    valid = specs.filter(F.col("validation_error").isNull() & (F.col("type") == spec.FLOW_QUERY))
+    return run(flows_view(spark, sf_dir, keep_keys=False), valid)

@@ -46,12 +46,13 @@ def write_partitioned(
     """Append flows under ``path/year=Y/month=M/day=D`` (1-based month, UTC)."""
     out = with_date_partitions(flows)
     n = num_tasks or int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    layout = [*PARTITION_COLUMNS, "src_addr", "time_ms"]
+    out = out.repartitionByRange(n, *layout)
     if observation is not None:
+        # above the exchange: the range-bounds sampling job must not count rows too
         out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
-    layout = [*PARTITION_COLUMNS, "src_addr", "time_ms"]
     (
-        out.repartitionByRange(n, *layout)
-        .sortWithinPartitions(*layout)
+        out.sortWithinPartitions(*layout)
         .write.mode(mode)
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*PARTITION_COLUMNS)
