@@ -42,21 +42,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     Read from the session; a folder of our own is created only when the setting is absent
-    (local runs and tests), and is then registered as the checkpoint dir as well.
+    (local runs and tests). The SparkContext's checkpoint dir is pointed at it when unset,
+    so ``DataFrame.checkpoint()`` writes there too.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = None
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect has no SparkContext
         sc = None
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="flowbeam-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-        if sc is not None:
-            sc.setCheckpointDir(root)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
