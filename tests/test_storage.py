@@ -94,3 +94,18 @@ def test_spec_table_insert_and_find(spark, tmp_dir):
         find_spec(spark, path, "missing")
     with pytest.raises(ValueError):
         insert_spec(spark, path, "j3", "FlowQuery", "bad", {"start": "x"})
+
+
+def test_jobs_end_to_end(spark, tmp_dir, capsys):
+    from flowbeam.plans.jobs import run_flow_query, run_source_lookup, run_top_pairs
+
+    flows_path, root = os.path.join(tmp_dir, "flows"), os.path.join(tmp_dir, "results")
+    write_partitioned(spark.createDataFrame(ROWS, FLOW_SCHEMA), flows_path)
+    job = {"job_id": "j1", "name": "april", "type": "FlowQuery",
+           "params": {"start": "2017-04-01-00:00:00", "end": "2017-04-30-00:00:00", "src_addr": "10.0.0.1"}}
+    assert run_flow_query(spark, flows_path, job, root) == 2
+    rows = run_top_pairs(spark, flows_path, 1)
+    assert [tuple(r) for r in rows] == [("10.0.0.1", "10.0.0.2", 30)]  # tie on 30: address order
+    keyed = upsert_keyed(spark.createDataFrame(ROWS, FLOW_SCHEMA), os.path.join(tmp_dir, "keyed"))
+    assert run_source_lookup(spark, keyed, "10.0.0.1") == 1
+    assert "(10.0.0.1,10.0.0.2,30)" in capsys.readouterr().out
