@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowbeam.functions.binary import hex_field, hex_ipv4
+from flowbeam.functions.binary import field_of, hex_field, hex_ipv4, hex_word, ipv4_text
 from flowbeam.functions.time import signed32_diff, start_time_ms
 from flowbeam.schema import FLOW_SCHEMA, SchemaError, require_columns
 
@@ -104,18 +104,21 @@ def explode_v5(classified: DataFrame, passthrough: list[str], all_fields: bool =
     rows = classified.filter(F.col("reject_reason").isNull()).select(
         *passthrough, *header, *extra_header, F.posexplode("records").alias("rec_no", "rec")
     )
+    # A record is six 8-byte words; each word is read with one conv and fields are cut out
+    # with shifts and masks (plain codegen'd arithmetic).
     r = F.hex(F.col("rec"))
-    first, last = hex_field(r, 24, 4), hex_field(r, 28, 4)
+    w0, w2, w3, w4 = hex_word(r, 0), hex_word(r, 2), hex_word(r, 3), hex_word(r, 4)
+    first, last = field_of(w3, 0, 4), field_of(w3, 4, 4)
     cols = [
-        hex_ipv4(r, 0).alias("src_addr"),
-        hex_ipv4(r, 4).alias("dst_addr"),
-        hex_field(r, 32, 2).cast("int").alias("src_port"),
-        hex_field(r, 34, 2).cast("int").alias("dst_port"),
+        ipv4_text(field_of(w0, 0, 4)).alias("src_addr"),
+        ipv4_text(field_of(w0, 4, 4)).alias("dst_addr"),
+        field_of(w4, 0, 2).cast("int").alias("src_port"),
+        field_of(w4, 2, 2).cast("int").alias("dst_port"),
         start_time_ms(F.col("unix_secs"), F.col("unix_nsecs"), F.col("sys_uptime"), first).alias("time_ms"),
         signed32_diff(last, first).alias("duration_ms"),
-        hex_field(r, 38, 1).cast("int").alias("protocol"),
-        hex_field(r, 20, 4).alias("bytes"),
-        hex_field(r, 16, 4).alias("packets"),
+        field_of(w4, 6, 1).cast("int").alias("protocol"),
+        field_of(w2, 4, 4).alias("bytes"),
+        field_of(w2, 0, 4).alias("packets"),
     ]
     if all_fields:
         cols += [hex_ipv4(r, 8).alias("next_hop")]

@@ -479,7 +479,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     landing = _write_captures(spark, sf_dir)
     flows_path, rejects_path = scratch_path(spark, "stream-flows"), scratch_path(spark, "stream-rejects")
-    query = start_capture_ingest(spark, landing, flows_path, rejects_path, max_files_per_trigger=16)
+    query = start_capture_ingest(spark, landing, flows_path, rejects_path)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
