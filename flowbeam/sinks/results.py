@@ -2,20 +2,31 @@
 
 ``write_results`` overwrites exactly the job's partition directory (``job_id=<id>``), so a
 rerun replaces earlier rows even when the new result is empty; other jobs are untouched.
+
+Rows are stored in a total order with a dense ``row_no`` (0-based), numbered without
+collecting anything: the sorted rows are checkpointed (into the shared checkpoint folder),
+each partition's row count comes from a small aggregate, and the running start of each
+partition is joined back as a broadcast of one row per partition. A page is then a
+``row_no`` range filter that reaches the Parquet scan (row-group statistics prune it), so a
+deep page costs the same as the first one.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowbeam.schema import DISPLAY_SCHEMA
+from flowbeam.session import checkpoint_root
 
 _JOB_ID_RE = re.compile(r"^[A-Za-z0-9_.-]+$")
-RESULT_SCHEMA = T.StructType(DISPLAY_SCHEMA.fields + [T.StructField("job_id", T.StringType())])
+RESULT_SCHEMA = T.StructType(
+    DISPLAY_SCHEMA.fields
+    + [T.StructField("row_no", T.LongType()), T.StructField("job_id", T.StringType())]
+)
 # Total order of display rows for paging (rows equal in all of these are identical).
 PAGE_ORDER = ["time", "srcAddress", "dstAddress", "srcPort", "dstPort", "protocol", "duration", "bytes", "packets"]
 
@@ -30,15 +41,33 @@ def partition_path(root: str, job_id: str) -> str:
     return f"{root.rstrip('/')}/job_id={_check_job_id(job_id)}"
 
 
+def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` sorted by ``order`` with a dense 0-based ``row_no`` column."""
+    checkpoint_root(rows.sparkSession)
+    ordered = rows.orderBy(*order).checkpoint(eager=True)
+    local = ordered.select(
+        "*",
+        F.spark_partition_id().alias("_part"),
+        (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("_i"),
+    )
+    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(
+        "_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start")
+    )
+    # one row per partition: a size bound known from the plan, safe to broadcast
+    numbered = local.join(F.broadcast(starts), "_part")
+    return numbered.select(*rows.columns, (F.col("_start") + F.col("_i")).alias("row_no"))
+
+
 def write_results(display_rows: DataFrame, root: str, job_id: str) -> None:
     """Materialise one job's result rows (display schema), replacing any earlier result."""
-    rows = display_rows.select(*DISPLAY_SCHEMA.fieldNames())
-    rows.write.mode("overwrite").parquet(partition_path(root, job_id))
+    rows = number_rows(display_rows.select(*DISPLAY_SCHEMA.fieldNames()), PAGE_ORDER)
+    rows.sortWithinPartitions("row_no").write.mode("overwrite").parquet(partition_path(root, job_id))
 
 
 def drop_results(spark: SparkSession, root: str, job_id: str) -> None:
     """Empty a job's result set (its partition then holds no rows)."""
-    empty = spark.createDataFrame([], DISPLAY_SCHEMA)
+    empty = spark.createDataFrame([], RESULT_SCHEMA).drop("job_id")
     empty.write.mode("overwrite").parquet(partition_path(root, job_id))
 
 
@@ -55,12 +84,18 @@ def result_count(spark: SparkSession, root: str, job_id: str) -> DataFrame:
     return job_results(spark, root, job_id).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def job_rows(spark: SparkSession, root: str, job_id: str) -> DataFrame:
+    """A job's rows in display columns (no paging)."""
+    return job_results(spark, root, job_id).select(*DISPLAY_SCHEMA.fieldNames())
+
+
 def results_page(spark: SparkSession, root: str, job_id: str, offset: int, limit: int) -> DataFrame:
-    """Rows ``offset .. offset+limit-1`` of a job's result in a total order (display columns)."""
+    """Rows ``offset .. offset+limit-1`` of a job's result in the stored total order."""
     if offset < 0 or limit < 0:
         raise ValueError("offset and limit must be >= 0")
-    rows = job_results(spark, root, job_id).drop("job_id")
-    return rows.orderBy(*PAGE_ORDER).offset(offset).limit(limit)
+    rows = job_results(spark, root, job_id)
+    page = rows.filter(F.col("row_no").between(F.lit(offset), F.lit(offset + limit - 1)))
+    return page.orderBy("row_no").select(*DISPLAY_SCHEMA.fieldNames())
 
 
 def page_as_json(page: DataFrame) -> DataFrame:
