@@ -101,3 +101,31 @@ def test_property_each_packet_rejected_once_or_fully_decoded(spark, blobs, count
             assert i not in n_flows
         else:
             assert n_flows.get(i) == declared
+
+
+FLOW_ROWS = st.lists(
+    st.tuples(
+        st.integers(0, 2**32 - 1), st.integers(0, 2**32 - 1),      # addresses as numbers
+        st.integers(0, 65535), st.integers(0, 65535),              # ports
+        st.integers(946684800000, 4102444800000),                  # start 2000..2100
+        st.integers(0, 3_600_000),                                 # duration up to an hour
+        st.integers(0, 255),                                       # protocol
+        st.integers(0, 2**32 - 1), st.integers(0, 2**32 - 1),      # bytes, packets
+    ),
+    min_size=1, max_size=70,
+)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(FLOW_ROWS)
+def test_property_encode_decode_round_trip(spark, rows):
+    import ipaddress
+
+    from flowbeam.schema import FLOW_SCHEMA
+
+    data = [(str(ipaddress.IPv4Address(a)), str(ipaddress.IPv4Address(b)), sp, dp, t, d, p, by, pk)
+            for a, b, sp, dp, t, d, p, by, pk in rows]
+    flows = spark.createDataFrame(data, FLOW_SCHEMA).repartition(3)
+    decoded, rejects = decode(encode_v5(flows).select("payload"))
+    assert rejects.count() == 0
+    assert sorted(tuple(r) for r in decoded.select(*FLOW_COLUMNS).collect()) == sorted(data)

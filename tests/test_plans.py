@@ -27,3 +27,53 @@ def test_decode_stays_in_the_jvm(spark):
     for df in (flows, rejects):
         p = plan(df)
         assert "Python" not in p and "ArrowEval" not in p and "BatchEval" not in p
+
+
+def test_multi_spec_is_an_equi_join(spark):
+    import __spark_entry__ as entry
+
+    p = plan(entry.queries()["multi_spec_query"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in p
+    assert "NestedLoopJoin" not in p and "Cartesian" not in p
+
+
+def test_multi_spec_falls_back_to_shuffle_join(spark):
+    from pyspark.sql import functions as F
+
+    from flowbeam.operators.multispec import multi_spec_query
+
+    flows = flows_view(spark, SF_SMALL, keep_keys=False)
+    specs = flows.select(
+        F.concat(F.lit("j"), F.col("src_addr")).alias("job_id"),
+        (F.col("time_ms") - 1000).alias("start_ms"),
+        (F.col("time_ms") + 1000).alias("end_ms"),
+        "src_addr",
+        F.lit(None).cast("string").alias("dst_addr"),
+        F.lit(None).cast("int").alias("src_port"),
+        F.lit(None).cast("int").alias("dst_port"),
+        F.lit(None).cast("int").alias("protocol"),
+    )
+    big = multi_spec_query(flows, specs, broadcast_rows=0)
+    small = multi_spec_query(flows, specs)
+    assert "SortMergeJoin" in plan(big) or "ShuffledHashJoin" in plan(big)
+    assert big.exceptAll(small).count() == 0 and small.exceptAll(big).count() == 0
+
+
+def test_source_lookup_prunes_by_statistics(spark, tmp_path):
+    from flowbeam.sinks.keyed import upsert_keyed
+    from flowbeam.sources.keyed import source_lookup
+
+    path = upsert_keyed(flows_view(spark, SF_SMALL), str(tmp_path / "keyed"))
+    p = plan(source_lookup(spark, path, "10.0.1.5"))
+    assert "EqualTo(src_addr,10.0.1.5)" in p
+
+
+def test_result_page_is_a_pushed_range(spark, tmp_path):
+    from flowbeam.operators.project import to_display
+    from flowbeam.sinks import results
+
+    root = str(tmp_path / "results")
+    results.write_results(to_display(flows_view(spark, SF_SMALL, keep_keys=False)), root, "j")
+    p = plan(results.results_page(spark, root, "j", 100, 10))
+    assert "GreaterThanOrEqual(row_no,100)" in p and "LessThanOrEqual(row_no,109)" in p
+    assert "PartitionFilters: [isnotnull(job_id" in p
