@@ -1,13 +1,11 @@
 """Flow table sinks (partitioned Parquet, documents, keyed) and the sink choice by mode.
 
-Write layout at scale: rows are range-partitioned on (year, month, day, src_addr, time_ms)
-before the write. Each task then holds a contiguous slice of dates, so the file count is
-about tasks + days instead of tasks x days; a hash repartition on the date would instead put
-a date holding a third of all rows into one task, while range bounds split a busy date (and
-even one busy source within it) across many tasks. Files come out sorted by ``src_addr``,
-so Parquet row-group statistics prune address lookups. The number of writing tasks is
-``spark.sql.shuffle.partitions`` unless given: AQE would otherwise coalesce a small input into
-one task that then writes every date directory alone.
+Write layout at scale: rows are redistributed with the ``REBALANCE`` hint on the date
+columns before the write. Each task then holds whole days (files = days plus splits, not
+tasks x days), and AQE splits a partition that grows past the advisory size (a day holding
+a third of all rows becomes many tasks and files) and merges tiny ones; unlike a range
+repartition there is no extra sampling pass over the input. Inside each file rows are
+sorted by ``src_addr`` and time, so Parquet row-group statistics prune address lookups.
 """
 
 from __future__ import annotations
@@ -41,18 +39,13 @@ def write_partitioned(
     path: str,
     mode: str = "append",
     observation: Observation | None = None,
-    num_tasks: int | None = None,
 ) -> None:
     """Append flows under ``path/year=Y/month=M/day=D`` (1-based month, UTC)."""
-    out = with_date_partitions(flows)
-    n = num_tasks or int(flows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    layout = [*PARTITION_COLUMNS, "src_addr", "time_ms"]
-    out = out.repartitionByRange(n, *layout)
+    out = with_date_partitions(flows).hint("rebalance", *PARTITION_COLUMNS)
     if observation is not None:
-        # above the exchange: the range-bounds sampling job must not count rows too
         out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
     (
-        out.sortWithinPartitions(*layout)
+        out.sortWithinPartitions(*PARTITION_COLUMNS, "src_addr", "time_ms")
         .write.mode(mode)
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*PARTITION_COLUMNS)
