@@ -48,19 +48,6 @@ def hex_field(h: Column, offset, width: int) -> Column:
     return F.conv(h.substr(offset * 2 + 1, F.lit(2 * width)), 16, 10).cast("long")
 
 
-def hex_ipv4(h: Column, offset: int) -> Column:
-    """Dotted quad of the 4 bytes at ``offset`` of a binary given as hex text."""
-    return F.concat_ws(".", *[hex_field(h, offset + i, 1) for i in range(4)])
-
-
-def hex_word(h: Column, index: int) -> Column:
-    """Signed 64-bit big-endian word ``index`` (8-byte units) of a binary given as hex text.
-
-    One ``conv`` per 8 bytes; narrower fields are then cut out with ``field_of``.
-    """
-    return F.conv(F.substring(h, 16 * index + 1, 16), 16, -10).cast("long")
-
-
 def field_of(word: Column, offset: int, width: int) -> Column:
     """Unsigned field of ``width`` bytes at byte ``offset`` (0..7) inside a 64-bit word."""
     shift = 8 * (8 - offset - width)

@@ -9,10 +9,11 @@ in order: under 2 bytes -> underflow; version != 5 -> bad_version; under 4 bytes
 underflow; count outside 1..30 -> bad_count; under 24 + 48*count bytes -> underflow;
 unix_nsecs > 999,999,999 -> bad_nanoseconds. Trailing bytes after the records are ignored.
 
-Plan: one projection classifies each packet and slices its records into an array of 48-byte
-binaries, ``posexplode`` turns them into rows, and one more projection reads the fields.
-Everything is codegen'd Catalyst; the payload is hex-encoded once per packet and once per
-record rather than per field.
+Plan: one projection classifies each packet and reads its header, ``explode`` of
+``sequence(0, count - 1)`` yields one row per record, and one more projection reads each
+record as four 64-bit words at computed offsets of the payload and cuts fields out of them.
+No higher-order function is used: a single one (``transform``, say) is interpreted and takes
+its whole operator out of whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowbeam.functions.binary import field_of, hex_field, hex_ipv4, hex_word, ipv4_text
+from flowbeam.functions.binary import field_of, hex_field, ipv4_text
 from flowbeam.functions.time import signed32_diff, start_time_ms
 from flowbeam.schema import FLOW_SCHEMA, SchemaError, require_columns
 
@@ -38,17 +39,6 @@ MAX_NANOS = 999_999_999
 
 REJECT_REASONS = ("underflow", "bad_version", "bad_count", "bad_nanoseconds")
 
-# Extra record fields available with ``all_fields=True``: name -> (offset, width).
-V5_RECORD_EXTRA = {
-    "input_if": (12, 2),
-    "output_if": (14, 2),
-    "tcp_flags": (37, 1),
-    "tos": (39, 1),
-    "src_as": (40, 2),
-    "dst_as": (42, 2),
-    "src_mask": (44, 1),
-    "dst_mask": (45, 1),
-}
 V5_HEADER_EXTRA = ["flow_sequence", "engine_type", "engine_id", "sampling_mode", "sampling_interval"]
 
 
@@ -68,22 +58,13 @@ def v5_reject_reason(payload: Column) -> Column:
 
 
 def classify_v5(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """Input columns + ``reject_reason`` + header fields + ``records`` (array of 48-byte slices)."""
+    """Input columns + ``reject_reason``, ``count`` and the header fields (payload kept)."""
     p = F.col(payload_col)
     h = F.hex(F.substring(p, 1, V5_HEADER_BYTES))
-    count = hex_field(h, 2, 2)
-    reason = v5_reject_reason(p)
-    records = F.when(
-        reason.isNull(),
-        F.transform(
-            F.sequence(F.lit(0), (count - 1).cast("int")),
-            lambda i: F.substring(p, i * V5_RECORD_BYTES + (V5_HEADER_BYTES + 1), F.lit(V5_RECORD_BYTES)),
-        ),
-    )
     return payloads.select(
-        *[c for c in payloads.columns if c != payload_col],
-        reason.alias("reject_reason"),
-        count.cast("int").alias("count"),
+        *payloads.columns,
+        v5_reject_reason(p).alias("reject_reason"),
+        hex_field(h, 2, 2).cast("int").alias("count"),
         hex_field(h, 4, 4).alias("sys_uptime"),
         hex_field(h, 8, 4).alias("unix_secs"),
         hex_field(h, 12, 4).alias("unix_nsecs"),
@@ -91,23 +72,32 @@ def classify_v5(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
         hex_field(h, 20, 1).cast("int").alias("engine_type"),
         hex_field(h, 21, 1).cast("int").alias("engine_id"),
         hex_field(h, 22, 2).cast("int").alias("_sampling"),
-        records.alias("records"),
     )
 
 
-def explode_v5(classified: DataFrame, passthrough: list[str], all_fields: bool = False) -> DataFrame:
+def _record_word(payload: Column, rec_no: Column, index: int) -> Column:
+    """Signed 64-bit word ``index`` (0..5) of record ``rec_no`` inside the payload."""
+    start = rec_no * V5_RECORD_BYTES + (V5_HEADER_BYTES + 8 * index + 1)
+    return F.conv(F.hex(F.substring(payload, start, F.lit(8))), 16, -10).cast("long")
+
+
+def explode_v5(
+    classified: DataFrame, passthrough: list[str], all_fields: bool = False, payload_col: str = "payload"
+) -> DataFrame:
     """Good packets of ``classify_v5`` -> one flow row per record."""
     header = ["sys_uptime", "unix_secs", "unix_nsecs"]
-    extra_header = (
-        ["flow_sequence", "engine_type", "engine_id", "_sampling"] if all_fields else []
-    )
+    extra_header = ["flow_sequence", "engine_type", "engine_id", "_sampling"] if all_fields else []
     rows = classified.filter(F.col("reject_reason").isNull()).select(
-        *passthrough, *header, *extra_header, F.posexplode("records").alias("rec_no", "rec")
+        *passthrough,
+        *header,
+        *extra_header,
+        F.col(payload_col).alias("_payload"),
+        F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("rec_no"),
     )
-    # A record is six 8-byte words; each word is read with one conv and fields are cut out
-    # with shifts and masks (plain codegen'd arithmetic).
-    r = F.hex(F.col("rec"))
-    w0, w2, w3, w4 = hex_word(r, 0), hex_word(r, 2), hex_word(r, 3), hex_word(r, 4)
+    p, i = F.col("_payload"), F.col("rec_no")
+    # Record words: 0 = src|dst, 1 = nexthop|input|output, 2 = dPkts|dOctets,
+    # 3 = first|last, 4 = ports|pad1|tcp_flags|prot|tos, 5 = AS numbers|masks|pad2.
+    w0, w2, w3, w4 = (_record_word(p, i, k) for k in (0, 2, 3, 4))
     first, last = field_of(w3, 0, 4), field_of(w3, 4, 4)
     cols = [
         ipv4_text(field_of(w0, 0, 4)).alias("src_addr"),
@@ -121,9 +111,17 @@ def explode_v5(classified: DataFrame, passthrough: list[str], all_fields: bool =
         field_of(w2, 0, 4).alias("packets"),
     ]
     if all_fields:
-        cols += [hex_ipv4(r, 8).alias("next_hop")]
-        cols += [hex_field(r, off, w).cast("int").alias(name) for name, (off, w) in V5_RECORD_EXTRA.items()]
+        w1, w5 = _record_word(p, i, 1), _record_word(p, i, 5)
         cols += [
+            ipv4_text(field_of(w1, 0, 4)).alias("next_hop"),
+            field_of(w1, 4, 2).cast("int").alias("input_if"),
+            field_of(w1, 6, 2).cast("int").alias("output_if"),
+            field_of(w4, 5, 1).cast("int").alias("tcp_flags"),
+            field_of(w4, 7, 1).cast("int").alias("tos"),
+            field_of(w5, 0, 2).cast("int").alias("src_as"),
+            field_of(w5, 2, 2).cast("int").alias("dst_as"),
+            field_of(w5, 4, 1).cast("int").alias("src_mask"),
+            field_of(w5, 5, 1).cast("int").alias("dst_mask"),
             "flow_sequence",
             "engine_type",
             "engine_id",
@@ -155,7 +153,8 @@ def decode_v5(
         raise SchemaError(f"{payload_col} must be binary")
     passthrough = [c for c in payloads.columns if c != payload_col]
     classified = classify_v5(payloads, payload_col)
-    return explode_v5(classified, passthrough, all_fields), rejects_v5(classified, passthrough)
+    flows = explode_v5(classified, passthrough, all_fields, payload_col)
+    return flows, rejects_v5(classified, passthrough)
 
 
 # -- decoder registry ------------------------------------------------------------------------

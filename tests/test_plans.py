@@ -77,3 +77,13 @@ def test_result_page_is_a_pushed_range(spark, tmp_path):
     p = plan(results.results_page(spark, root, "j", 100, 10))
     assert "GreaterThanOrEqual(row_no,100)" in p and "LessThanOrEqual(row_no,109)" in p
     assert "PartitionFilters: [isnotnull(job_id" in p
+
+
+def test_decode_is_one_codegen_stage(spark):
+    # a single interpreted expression (e.g. a higher-order function) would drop its whole
+    # operator out of whole-stage codegen
+    flows, _ = decode(encode_v5(flows_view(spark, SF_SMALL, keep_keys=False)).select("payload"))
+    p = flows._jdf.queryExecution().executedPlan().toString()
+    lines = [ln for ln in p.splitlines() if any(op in ln for op in ("Project [", "Filter ", "Generate "))]
+    decode_ops = [ln for ln in lines if "sequence(" in ln or "conv(" in ln]
+    assert decode_ops and all("*(" in ln for ln in decode_ops), "\n".join(decode_ops)
