@@ -1,10 +1,12 @@
 """Flow rows -> NetFlow v5 packets (the decoder's inverse), for round trips and fixtures.
 
-Packets are bounded groups: at most 30 records, all starting on the same UTC day, so one
-header clock can express every record's start (``first``/``last`` are uptime offsets and
-an uptime of 4,000,000,000 ms covers a day with room to spare). Without ``packet_by`` the
-records are packed in the order of each input partition (``sortWithinPartitions`` by
-time, then runs of 30); no group ever grows with the data.
+Packets are bounded groups: at most 30 records, all starting on the same UTC day (the day
+is always part of the packet key). The header clock is the end of that day, so each record's
+``first``/``last`` uptime offsets depend only on the record itself and are encoded before
+grouping; the group only joins the record texts (no higher-order function, so the plan
+stays in whole-stage codegen). An uptime of 4,000,000,000 ms covers the day with room to
+spare. Without ``packet_by`` the records are packed in the order of each input partition
+(``sortWithinPartitions`` by time, then runs of 30); no group ever grows with the data.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def encode_v5(
 ) -> DataFrame:
     """One row per packet: the packet key columns, ``count`` and ``payload`` (binary)."""
     require_columns(flows, FLOW_COLUMNS, "flows")
-    day = F.floor(F.col("time_ms") / F.lit(MS_PER_DAY)).alias("_day")
+    day = F.floor(F.col("time_ms") / F.lit(MS_PER_DAY))
     if packet_by is None:
         keyed = (
             flows.sortWithinPartitions("time_ms")
@@ -44,31 +46,30 @@ def encode_v5(
             .withColumn("_run", F.floor(F.monotonically_increasing_id() / F.lit(V5_MAX_COUNT)))
         )
         keys = ["_part", "_run", "_day"]
-        keyed = keyed.withColumn("_day", day)
     else:
-        keys = list(packet_by)
         keyed = flows
-    pre = F.concat(
+        keys = [*packet_by, "_day"] if "_day" not in packet_by else list(packet_by)
+    keyed = keyed.withColumn("_day", day)
+    hdr_ms = (F.col("_day") + 1) * F.lit(MS_PER_DAY)  # end of the packet's UTC day
+    first = F.lit(uptime_ms) - (hdr_ms - F.col("time_ms"))
+    last = first + F.col("duration_ms")
+    rec = F.concat(
         F.hex(ip_to_bytes(F.col("src_addr"))),
         F.hex(ip_to_bytes(F.col("dst_addr"))),
         _zeros(8),  # next hop, input and output interfaces
         _hx(F.col("packets"), 4),
         _hx(F.col("bytes"), 4),
-    )
-    post = F.concat(
+        _hx(first, 4),
+        _hx(last, 4),
         _hx(F.col("src_port"), 2),
         _hx(F.col("dst_port"), 2),
         _zeros(2),  # pad1, tcp_flags
         _hx(F.col("protocol"), 1),
         _zeros(9),  # tos, src_as, dst_as, masks, pad2
     )
-    rec = F.struct(F.col("time_ms"), F.col("duration_ms"), pre.alias("pre"), post.alias("post"))
     packets = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.max(F.col("time_ms") + F.col("duration_ms")).alias("_hdr_ms"),
-        F.collect_list(rec).alias("_recs"),
+        F.count(F.lit(1)).alias("count"), F.collect_list(rec).alias("_recs")
     )
-    hdr_ms = F.col("_hdr_ms")
     header = F.concat(
         _hx(F.lit(V5_VERSION), 2),
         _hx(F.col("count"), 2),
@@ -77,13 +78,7 @@ def encode_v5(
         _hx(F.pmod(hdr_ms, F.lit(1000)) * 1_000_000, 4),
         _zeros(8),  # flow sequence, engine type and id, sampling
     )
-
-    def record_hex(r: Column) -> Column:
-        first = F.lit(uptime_ms) - (hdr_ms - r["time_ms"])
-        last = first + r["duration_ms"]
-        return F.concat(r["pre"], _hx(first, 4), _hx(last, 4), r["post"])
-
-    payload = F.unhex(F.concat(header, F.array_join(F.transform("_recs", record_hex), "")))
+    payload = F.unhex(F.concat(header, F.array_join("_recs", "")))
     checked = F.when(
         F.col("count") > V5_MAX_COUNT, F.raise_error(F.lit("v5 packet over 30 records"))
     ).otherwise(payload)

@@ -79,10 +79,13 @@ def test_result_page_is_a_pushed_range(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(job_id" in p
 
 
-def test_decode_is_one_codegen_stage(spark):
+def test_decode_is_one_codegen_stage(spark, tmp_path):
     # a single interpreted expression (e.g. a higher-order function) would drop its whole
-    # operator out of whole-stage codegen
-    flows, _ = decode(encode_v5(flows_view(spark, SF_SMALL, keep_keys=False)).select("payload"))
+    # operator out of whole-stage codegen; decode stored packets (a plan without a shuffle,
+    # whose codegen stages are visible before execution)
+    path = str(tmp_path / "packets")
+    encode_v5(flows_view(spark, SF_SMALL, keep_keys=False)).select("payload").write.parquet(path)
+    flows, _ = decode(spark.read.parquet(path))
     p = flows._jdf.queryExecution().executedPlan().toString()
     lines = [ln for ln in p.splitlines() if any(op in ln for op in ("Project [", "Filter ", "Generate "))]
     decode_ops = [ln for ln in lines if "sequence(" in ln or "conv(" in ln]
