@@ -107,3 +107,36 @@ def test_multi_spec_routes(spark, flows):
     for rows in (1_000_000, 0):  # broadcast and shuffle strategies
         got = sorted((r.job_id, r.dst_addr, r.time_ms) for r in multi_spec_query(flows, specs, rows).collect())
         assert [g[0] for g in got] == ["any", "by_dst", "by_dst", "by_src", "by_src"]
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_VALUES = {
+    "start": [None, "", "2017-04-01-00:00:00", "20170401000000", "2017-4-1", "yesterday", "2017-02-30-00:00:00"],
+    "end": [None, "", "2017-05-01-00:00:00", "20170501000000", "later"],
+    "src_addr": [None, "", "10.0.0.1", "1.2.3.256", "host", "255.255.255.255"],
+    "dst_addr": [None, "", "10.0.0.2", "01.2.3.4"],
+    "src_port": [None, "80", "65535", "65536", "http"],
+    "dst_port": [None, "53", "-1"],
+    "prot": [None, "TCP", "udp", "17", "300", "x"],
+    "tos": [None, "0"],
+}
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([None, "", "n"]), st.sampled_from(["FlowQuery", "Test", "Other"]),
+                          st.fixed_dictionaries({k: st.sampled_from(v) for k, v in _VALUES.items()})),
+                min_size=1, max_size=12))
+def test_property_driver_and_table_validation_agree(spark, jobs):
+    rows, expected = [], []
+    for i, (name, kind, params) in enumerate(jobs):
+        params = {k: v for k, v in params.items() if v is not None}
+        rows.append((f"j{i}", kind, name, params))
+        try:
+            spec.validate_spec({"name": name, "type": kind, "params": params})
+            expected.append(None)
+        except spec.SpecError as err:
+            expected.append(err.rule)
+    got = {r.job_id: r.validation_error for r in spec.validate_specs(spark.createDataFrame(rows, SPEC_SCHEMA)).collect()}
+    assert [got[f"j{i}"] for i in range(len(rows))] == expected
