@@ -89,7 +89,7 @@ latest as (
 
 @register("latest_per_pair", with_flows(f", {_LATEST_SQL}\nselect * from latest"))
 def latest_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toptalk.latest_per_pair(flows_view(spark, sf_dir), tie_breakers=ORDER_KEYS)
+    return toptalk.latest_per_pair(flows_view(spark, sf_dir, spread=True), tie_breakers=ORDER_KEYS)
 
 
 @register(
@@ -103,7 +103,7 @@ order by bytes desc, addr_a, addr_b limit {TOP_N}"""
     ),
 )
 def top_pairs_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toptalk.top_pairs_latest(flows_view(spark, sf_dir), TOP_N, tie_breakers=ORDER_KEYS)
+    return toptalk.top_pairs_latest(flows_view(spark, sf_dir, spread=True), TOP_N, tie_breakers=ORDER_KEYS)
 
 
 # -- F1..F7, P2, X7, X9, A3 ------------------------------------------------------------------
@@ -304,7 +304,7 @@ def keyed_src_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowbeam.sinks.keyed import upsert_keyed
     from flowbeam.sources.keyed import source_lookup
 
-    path = upsert_keyed(flows_view(spark, sf_dir), scratch_path(spark, "keyed"), tie_breakers=ORDER_KEYS)
+    path = upsert_keyed(flows_view(spark, sf_dir, spread=True), scratch_path(spark, "keyed"), tie_breakers=ORDER_KEYS)
     return source_lookup(spark, path, SRC_ADDR)
 
 
@@ -326,7 +326,7 @@ def keyed_upsert_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowbeam.sinks.keyed import upsert_keyed
     from flowbeam.sources.keyed import read_keyed
 
-    flows = flows_view(spark, sf_dir)
+    flows = flows_view(spark, sf_dir, spread=True)
     first = flows.filter(F.col("time_ms") >= BACKFILL_SPLIT_MS)
     later = flows.filter(F.col("time_ms") < BACKFILL_SPLIT_MS)
     v1 = upsert_keyed(first, scratch_path(spark, "keyed-v1"), tie_breakers=ORDER_KEYS)
@@ -391,7 +391,7 @@ def v5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowbeam.operators.decode import decode
     from flowbeam.operators.encode import encode_v5
 
-    packets = encode_v5(flows_view(spark, sf_dir, keep_keys=False))
+    packets = encode_v5(flows_view(spark, sf_dir, keep_keys=False, spread=True))
     flows, _ = decode(packets.select("payload"), "v5")
     return flows
 
@@ -429,7 +429,7 @@ def v5_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowbeam.operators.decode import classify_v5, explode_v5
     from flowbeam.operators.encode import encode_v5
 
-    flows = flows_view(spark, sf_dir).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
+    flows = flows_view(spark, sf_dir, spread=True).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
     packets = encode_v5(flows, packet_by=["l_orderkey", "_day"])
     damaged = packets.select("l_orderkey", _damage(F.col("payload"), F.col("l_orderkey")).alias("payload"))
     classified = classify_v5(damaged)
@@ -452,7 +452,7 @@ def _write_captures(spark: SparkSession, sf_dir: str) -> str:
     from flowbeam.operators.encode import encode_v5
     from flowbeam.sinks.capture import write_capture_files
 
-    flows = flows_view(spark, sf_dir).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
+    flows = flows_view(spark, sf_dir, spread=True).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
     packets = encode_v5(flows, packet_by=["l_orderkey", "_day"]).withColumn(
         "transport", F.when(F.col("l_orderkey") % 13 == 0, "tcp").otherwise("udp")
     )

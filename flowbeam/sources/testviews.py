@@ -16,9 +16,13 @@ from flowbeam.session import spread_small_input, use_utc
 ORDER_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; spread over the cores when its single row group makes it one task."""
-    return spread_small_input(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table; with ``spread``, over all cores when its single row group makes it one task.
+
+    Spreading costs a round-robin shuffle; it pays off only before heavy per-row work.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_input(df) if spread else df
 
 
 def _host(key):
@@ -57,10 +61,10 @@ def flows_from_lineitem(lineitem: DataFrame, keep_keys: bool = True) -> DataFram
     return li.select(*cols)
 
 
-def flows_view(spark: SparkSession, sf_dir: str, keep_keys: bool = True) -> DataFrame:
+def flows_view(spark: SparkSession, sf_dir: str, keep_keys: bool = True, spread: bool = False) -> DataFrame:
     """Flow rows derived from ``{sf_dir}/lineitem.parquet`` (session pinned to UTC)."""
     use_utc(spark)
-    return flows_from_lineitem(read_table(spark, sf_dir, "lineitem"), keep_keys)
+    return flows_from_lineitem(read_table(spark, sf_dir, "lineitem", spread), keep_keys)
 
 
 # The same rule for DuckDB (``string`` -> ``varchar``; ``epoch_ms`` of the ship timestamp).
@@ -134,7 +138,7 @@ def specs_from_orders(orders: DataFrame) -> DataFrame:
 
 def specs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
-    return specs_from_orders(read_table(spark, sf_dir, "orders"))
+    return specs_from_orders(read_table(spark, sf_dir, "orders", spread=True))
 
 
 # The same derivation for DuckDB, with the parameters as plain columns (NULL = absent).
