@@ -100,3 +100,10 @@ def test_protocols(spark):
 def test_pair_columns_text_order(spark):
     r = one(spark, *pair_columns(F.lit("9.0.0.1"), F.lit("10.0.0.1")))
     assert (r.addr_a, r.addr_b) == ("10.0.0.1", "9.0.0.1")
+
+
+def test_split_pair_key(spark):
+    from flowbeam.functions.pairs import split_pair_key
+
+    r = one(spark, *split_pair_key(F.lit("122.166.160.234,122.166.232.162")))
+    assert (r.addr_a, r.addr_b) == ("122.166.160.234", "122.166.232.162")
