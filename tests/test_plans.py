@@ -90,3 +90,29 @@ def test_decode_is_one_codegen_stage(spark, tmp_path):
     lines = [ln for ln in p.splitlines() if any(op in ln for op in ("Project [", "Filter ", "Generate "))]
     decode_ops = [ln for ln in lines if "sequence(" in ln or "conv(" in ln]
     assert decode_ops and all("*(" in ln for ln in decode_ops), "\n".join(decode_ops)
+
+
+def test_multi_spec_prunes_day_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from flowbeam.functions.time import parse_time_literal as ms
+    from flowbeam.operators.multispec import multi_spec_query
+    from flowbeam.sinks.flows import write_partitioned
+    from flowbeam.sources.flows import read_flows
+
+    path = str(tmp_path / "flows")
+    write_partitioned(flows_view(spark, SF_SMALL, keep_keys=False), path)
+    specs = spark.createDataFrame(
+        [("a", ms("1996-03-01-00:00:00"), ms("1996-03-03-23:59:59"), "10.0.1.5", None, None, None, None)],
+        "job_id string, start_ms long, end_ms long, src_addr string, dst_addr string, src_port int, "
+        "dst_port int, protocol int",
+    )
+    stored = read_flows(spark, path)
+    out = multi_spec_query(stored, specs)
+    p = plan(out)
+    assert "PartitionFilters: [" in p and "unix_date(make_date(year" in p
+    expected = flows_view(spark, SF_SMALL, keep_keys=False).filter(
+        F.col("time_ms").between(ms("1996-03-01-00:00:00"), ms("1996-03-03-23:59:59"))
+        & (F.col("src_addr") == "10.0.1.5")
+    )
+    assert sorted(map(tuple, out.drop("job_id").collect())) == sorted(map(tuple, expected.collect()))
