@@ -1,7 +1,8 @@
 """Headline timings at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each step forces full evaluation (``collect`` for small results, the ``noop`` sink for
-large ones) and is run twice: a warm-up run (code generation, JIT) and the timed run.
+large ones). Queries run once to warm up (code generation, JIT) and then three times; the
+median is reported. Writes run once to warm up and once timed, each into a fresh path.
 Inputs that a query reads from storage (keyed table, documents, v5 packets, capture files)
 are prepared first and not timed; their write rates are reported.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -21,12 +23,15 @@ from flowbeam.plans import catalog  # noqa: E402
 from flowbeam.session import get_session, scratch_path  # noqa: E402
 
 
-def timed(fn):
-    """(seconds of the second run, its result); the first run warms up."""
+def timed(fn, runs: int = 3):
+    """(median seconds of ``runs`` timed runs after one warm-up run, last result)."""
     fn()
-    t0 = time.perf_counter()
-    out = fn()
-    return time.perf_counter() - t0, out
+    times, out = [], None
+    for _ in range(runs):
+        t0 = time.perf_counter()
+        out = fn()
+        times.append(time.perf_counter() - t0)
+    return statistics.median(times), out
 
 
 def noop(df):
@@ -69,7 +74,7 @@ def main() -> None:
         """Time ``write(path)`` into a fresh path (warm-up run into another); returns the path."""
         paths = [scratch_path(spark, f"bench-{name}-warm"), scratch_path(spark, f"bench-{name}")]
         runs = iter(paths)
-        seconds, _ = timed(lambda: write(next(runs)))
+        seconds, _ = timed(lambda: write(next(runs)), runs=1)
         return seconds, paths[1]
 
     q["partitioned_write"], path = timed_write("flows", lambda p: write_partitioned(flows, p))
@@ -117,7 +122,7 @@ def main() -> None:
         "headline": headline,
         "rows": n_flows,
         "sf": os.path.basename(sf_dir).replace("sf", ""),
-        "timing": "second of two runs (first warms up)",
+        "timing": "queries: median of 3 runs after a warm-up; writes: 1 run after a warm-up",
     }))
     spark.stop()
 
