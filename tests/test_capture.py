@@ -3,7 +3,7 @@ import os
 import pytest
 
 from flowbeam.plans.ingest import decode_frames, ingest_captures
-from flowbeam.sources.capture import frames_from_files, scan_files
+from flowbeam.sources.capture import FILE_REJECTS, FRAME_REJECTS, frames_from_files, scan_files
 from flowbeam.sources.flows import read_flows
 from tests.wire import pcap_file, udp_frame, v5_packet, v5_record
 
@@ -53,6 +53,7 @@ def test_damaged_files(spark, tmp_dir):
     write(tmp_dir, "magic.pcap", b"\x00" * 40)
     write(tmp_dir, "short.pcap", b"\xd4\xc3\xb2\xa1")
     got = frames(spark, tmp_dir)
+    assert {r for _, _, r, _ in got if r} <= set(FILE_REJECTS + FRAME_REJECTS)
     assert [(n, no, r) for n, no, r, _ in got] == [
         ("cut.pcap", 0, None), ("cut.pcap", 1, "truncated_frame"),
         ("magic.pcap", 0, "bad_magic"), ("short.pcap", 0, "truncated_header"),

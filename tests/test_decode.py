@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowbeam.operators.decode import decode, decode_v5
+from flowbeam.operators.decode import REJECT_REASONS, V5_HEADER_EXTRA, decode, decode_v5
 from flowbeam.operators.encode import encode_v5
 from flowbeam.schema import FLOW_COLUMNS, PAYLOAD_SCHEMA
 from flowbeam.sources.testviews import flows_view
@@ -63,7 +63,9 @@ def test_all_fields(spark):
                     dst_as=7, src_mask=24, dst_mask=16)
     pkt = v5_packet([rec], sequence=77, engine_type=1, engine_id=2, sampling=(1 << 14) | 100)
     df = spark.createDataFrame([("p", 0, pkt)], PAYLOAD_SCHEMA)
-    r = decode_v5(df, all_fields=True)[0].first()
+    flows = decode_v5(df, all_fields=True)[0]
+    assert set(V5_HEADER_EXTRA) <= set(flows.columns)
+    r = flows.first()
     assert (r.next_hop, r.input_if, r.output_if, r.tcp_flags, r.tos) == ("1.2.3.4", 3, 4, 0x12, 5)
     assert (r.src_as, r.dst_as, r.src_mask, r.dst_mask) == (65000, 7, 24, 16)
     assert (r.flow_sequence, r.engine_type, r.engine_id, r.sampling_mode, r.sampling_interval) == (77, 1, 2, 1, 100)
@@ -93,8 +95,10 @@ def test_property_each_packet_rejected_once_or_fully_decoded(spark, blobs, count
     df = spark.createDataFrame([("p", i, p) for i, p in enumerate(payloads)], PAYLOAD_SCHEMA)
     flows, rejects = decode_v5(df)
     n_flows = {r.frame_no: r["count"] for r in flows.groupBy("frame_no").count().collect()}
-    rej = [r.frame_no for r in rejects.collect()]
+    rej_rows = rejects.collect()
+    rej = [r.frame_no for r in rej_rows]
     assert len(rej) == len(set(rej))
+    assert {r.reject_reason for r in rej_rows} <= set(REJECT_REASONS)
     for i, p in enumerate(payloads):
         declared = int.from_bytes(p[2:4], "big") if len(p) >= 4 else None
         if i in rej:
