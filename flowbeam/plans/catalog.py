@@ -443,9 +443,10 @@ def v5_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- S1, S2, K8, R1 (capture files, batch and streaming ingest) ------------------------------
 
-# Capture files are built from the flows: one v5 packet per (order, day); every 13th order's
-# packets were exported over TCP and must be rejected as not UDP.
-_CAPTURE_SQL = with_flows(f"select {_FLOW_COLS} from flows where l_orderkey % 13 <> 0")
+# Capture files are built from the flows: one v5 packet per (order, day). Packets of flows
+# that started on a Sunday (UTC) were exported over TCP and must be rejected as not UDP, so
+# the expected flows are those of the other six weekdays (DuckDB: Sunday = 0).
+_CAPTURE_SQL = with_flows(f"select {_FLOW_COLS} from flows where dayofweek(epoch_ms(time_ms)) <> 0")
 
 
 def _write_captures(spark: SparkSession, sf_dir: str) -> str:
@@ -453,8 +454,9 @@ def _write_captures(spark: SparkSession, sf_dir: str) -> str:
     from flowbeam.sinks.capture import write_capture_files
 
     flows = flows_view(spark, sf_dir, spread=True).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
+    sunday = F.dayofweek(F.date_from_unix_date(F.col("_day").cast("int"))) == 1  # Spark: Sunday = 1
     packets = encode_v5(flows, packet_by=["l_orderkey", "_day"]).withColumn(
-        "transport", F.when(F.col("l_orderkey") % 13 == 0, "tcp").otherwise("udp")
+        "transport", F.when(sunday, "tcp").otherwise("udp")
     )
     landing = scratch_path(spark, "captures")
     write_capture_files(packets, landing)
