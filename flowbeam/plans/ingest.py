@@ -34,14 +34,16 @@ def decode_frames(frames: DataFrame, fmt: str = "v5") -> tuple[DataFrame, DataFr
     return flows.drop("path", "frame_no"), rejects
 
 
-def write_batch(frames: DataFrame, flows_path: str, rejects_path: str, mode: str = "parquet") -> IngestCounts:
+def write_batch(
+    frames: DataFrame, flows_path: str, rejects_path: str, mode: str = "parquet", save_mode: str = "append"
+) -> IngestCounts:
     """Write one batch of framed rows to the flow sink and the rejects table."""
     frames = frames.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         flows, rejects = decode_frames(frames)
-        flow_obs = write_flows(flows, flows_path, mode)
+        flow_obs = write_flows(flows, flows_path, mode, save_mode)
         reject_obs = Observation("rejects")
-        rejects.observe(reject_obs, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(rejects_path)
+        rejects.observe(reject_obs, F.count(F.lit(1)).alias("rows")).write.mode(save_mode).parquet(rejects_path)
         return IngestCounts(int(flow_obs.get["rows"]), int(reject_obs.get["rows"]))
     finally:
         frames.unpersist()

@@ -58,16 +58,20 @@ def write_documents(flows: DataFrame, path: str, mode: str = "append") -> None:
     to_display(flows).write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).json(path)
 
 
-def write_flows(flows: DataFrame, path: str, mode: str = MODE_PARQUET) -> Observation:
-    """Write flows with the sink named by ``mode``; returns an Observation with the row count."""
+def write_flows(flows: DataFrame, path: str, mode: str = MODE_PARQUET, save_mode: str = "append") -> Observation:
+    """Write flows with the sink named by ``mode``; returns an Observation with the row count.
+
+    ``save_mode`` applies to the Parquet and document sinks (a keyed upsert always writes a
+    new table version at ``path``).
+    """
     mode = MODE_ALIASES.get(mode, mode)
     if mode not in MODES:
         raise ValueError(f"unknown write mode {mode!r}; want one of {MODES}")
     obs = Observation("flow_sink")
     if mode == MODE_PARQUET:
-        write_partitioned(flows, path, observation=obs)
+        write_partitioned(flows, path, mode=save_mode, observation=obs)
     elif mode == MODE_DOCUMENTS:
-        write_documents(flows.observe(obs, F.count(F.lit(1)).alias("rows")), path)
+        write_documents(flows.observe(obs, F.count(F.lit(1)).alias("rows")), path, save_mode)
     else:
         from flowbeam.sinks.keyed import upsert_keyed
 

@@ -1,16 +1,17 @@
 """Incremental capture ingest: ``readStream.format("binaryFile")`` -> framing -> decode -> sinks.
 
 Each micro-batch (bounded by ``maxFilesPerTrigger``) is written with ``foreachBatch`` to the
-partitioned flow table and the rejects table. Progress (which files are done) lives in the
-checkpoint under the shared ``spark.checkpoint.dir``; a restarted query continues where it
-stopped. Batches already committed to the sinks are recorded in ``<flows>/_ingest_batches``
-so a replayed batch after a crash is skipped rather than appended twice.
+flow table and the rejects table, into a directory named by the batch id:
+``<flows>/ingest_batch=<id>/year=/month=/day=/``. The batch overwrites its own directory, so
+a batch replayed after a failure replaces its earlier output instead of adding to it:
+exactly-once output. Readers see ``ingest_batch`` as one more partition column; date
+pruning works across batches. Progress (which files are done) lives in the checkpoint under
+the shared ``spark.checkpoint.dir``; a restarted query continues where it stopped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,9 +27,6 @@ BINARY_FILE_SCHEMA = T.StructType(
         T.StructField("content", T.BinaryType()),
     ]
 )
-_BATCHES = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("query", T.StringType())])
-
-
 def capture_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 64) -> DataFrame:
     """Streaming DataFrame of framed capture rows from files arriving under ``landing_dir``."""
     files = (
@@ -40,10 +38,12 @@ def capture_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger:
     return frames_from_files(files)
 
 
-def _committed(spark: SparkSession, log_path: str, query: str, batch_id: int) -> bool:
-    log = spark.read.schema(_BATCHES).parquet(log_path)
-    hit = log.filter((F.col("batch_id") == batch_id) & (F.col("query") == query)).limit(1)
-    return len(hit.collect()) > 0
+def write_stream_batch(frames: DataFrame, batch_id: int, flows_path: str, rejects_path: str) -> None:
+    """Write one micro-batch idempotently (a replay of ``batch_id`` overwrites its own output)."""
+    part = f"ingest_batch={int(batch_id)}"
+    write_batch(
+        frames, f"{flows_path.rstrip('/')}/{part}", f"{rejects_path.rstrip('/')}/{part}", save_mode="overwrite"
+    )
 
 
 def start_capture_ingest(
@@ -58,17 +58,9 @@ def start_capture_ingest(
 ) -> StreamingQuery:
     """Start the ingest query; ``available_now`` processes what is there and stops."""
     checkpoint = checkpoint or scratch_path(spark, "capture-ingest-checkpoint")
-    log_path = f"{flows_path.rstrip('/')}/_ingest_batches"
-    # An empty append creates the batch log (schema only) so lookups never miss the path.
-    spark.createDataFrame([], _BATCHES).write.mode("append").parquet(log_path)
 
     def each_batch(frames: DataFrame, batch_id: int) -> None:
-        if _committed(frames.sparkSession, log_path, checkpoint, batch_id):
-            return
-        write_batch(frames, flows_path, rejects_path)
-        frames.sparkSession.createDataFrame([(batch_id, checkpoint)], _BATCHES).write.mode(
-            "append"
-        ).parquet(log_path)
+        write_stream_batch(frames, batch_id, flows_path, rejects_path)
 
     writer = (
         capture_stream(spark, landing_dir, max_files_per_trigger)

@@ -25,3 +25,21 @@ def test_stream_ingest_resumes_and_skips_done_files(spark, tmp_dir):
     q.awaitTermination()
     assert read_flows(spark, flows).count() == 12
     assert spark.read.parquet(rejects).count() == 3
+
+
+def test_replayed_batch_is_not_duplicated(spark, tmp_dir):
+    from flowbeam.sources.capture import frames_from_files, scan_files
+    from flowbeam.streaming.ingest import write_stream_batch
+
+    caps = os.path.join(tmp_dir, "caps")
+    os.makedirs(caps)
+    pkt = v5_packet([v5_record(sport=i) for i in range(4)])
+    with open(os.path.join(caps, "a.pcap"), "wb") as fh:
+        fh.write(pcap_file([udp_frame(pkt), udp_frame(pkt, proto=6)]))
+    flows, rejects = os.path.join(tmp_dir, "flows"), os.path.join(tmp_dir, "rejects")
+    frames = frames_from_files(scan_files(spark, caps))
+    for _ in range(2):  # the same batch delivered twice (a retry after a failure)
+        write_stream_batch(frames, 7, flows, rejects)
+    assert read_flows(spark, flows).count() == 4
+    assert spark.read.parquet(rejects).count() == 1
+    assert {r.ingest_batch for r in read_flows(spark, flows).collect()} == {7}
