@@ -47,6 +47,8 @@ def write_partitioned(
     (
         out.sortWithinPartitions(*PARTITION_COLUMNS, "src_addr", "time_ms")
         .write.mode(mode)
+        # "overwrite" replaces everything under ``path`` whatever the session's default
+        .option("partitionOverwriteMode", "static")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .partitionBy(*PARTITION_COLUMNS)
         .parquet(path)

@@ -43,3 +43,19 @@ def test_replayed_batch_is_not_duplicated(spark, tmp_dir):
     assert read_flows(spark, flows).count() == 4
     assert spark.read.parquet(rejects).count() == 1
     assert {r.ingest_batch for r in read_flows(spark, flows).collect()} == {7}
+
+
+def test_batch_overwrite_is_static_even_in_dynamic_sessions(spark, tmp_dir):
+    from flowbeam.schema import FLOW_SCHEMA
+    from flowbeam.sinks.flows import write_partitioned
+
+    path = os.path.join(tmp_dir, "ingest_batch=1")
+    april = ("10.0.0.1", "10.0.0.2", 1, 2, 1491040800000, 5, 6, 10, 1)
+    may = ("10.0.0.1", "10.0.0.2", 1, 2, 1493632800000, 5, 6, 10, 1)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        write_partitioned(spark.createDataFrame([april, may], FLOW_SCHEMA), path, mode="overwrite")
+        write_partitioned(spark.createDataFrame([may], FLOW_SCHEMA), path, mode="overwrite")
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert read_flows(spark, tmp_dir).count() == 1
