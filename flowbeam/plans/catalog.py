@@ -510,5 +510,5 @@ def multi_spec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowbeam.operators.multispec import multi_spec_query as run
 
     specs = spec.parse_specs(spec.validate_specs(specs_view(spark, sf_dir)))
-    valid = specs.filter(F.col("validation_error").isNull() & (F.col("type") == spec.FLOW_QUERY))
-    return run(flows_view(spark, sf_dir, keep_keys=False), valid)
+    valid = F.col("validation_error").isNull() & (F.col("type") == spec.FLOW_QUERY)
+    return run(flows_view(spark, sf_dir, keep_keys=False), specs, valid=valid)
