@@ -243,8 +243,9 @@ def ip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "flows_per_day",
     with_flows(
-        """select year(epoch_ms(time_ms)) as year, month(epoch_ms(time_ms)) as month,
-  day(epoch_ms(time_ms)) as day, count(*) as flows, cast(sum(bytes) as bigint) as bytes
+        """select cast(year(epoch_ms(time_ms)) as integer) as year,
+  cast(month(epoch_ms(time_ms)) as integer) as month, cast(day(epoch_ms(time_ms)) as integer) as day,
+  count(*) as flows, cast(sum(bytes) as bigint) as bytes
 from flows group by 1, 2, 3"""
     ),
 )
