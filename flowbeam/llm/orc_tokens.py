@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowbeam.llm.frames import ROWS_AT_ONCE
 from flowbeam.session import ship_package
@@ -132,7 +133,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
                 columns = [part.column(f.name) for f in rest] + [pa.array(counts), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in rest] + ["n_tokens", "ids"])
 
-    schema = docs.select(*(f.name for f in rest)).schema.add("n_tokens", "long").add("ids", "array<int>")
+    schema = T.StructType(rest).add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema)
 
 
