@@ -133,7 +133,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
                 columns = [part.column(f.name) for f in rest] + [pa.array(counts), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in rest] + ["n_tokens", "ids"])
 
-    schema = T.StructType(rest).add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType(list(rest)).add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema)
 
 
