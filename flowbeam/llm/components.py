@@ -9,7 +9,7 @@ never gathered in one group. Every round is written to the shared scratch folder
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowbeam.llm.frames import stored
@@ -40,13 +40,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stored(now.filter("a <> b").distinct(), "edges")
     digest = None
     while True:
-        seen = Observation()
-        round_ = _small_star(_large_star(now)).distinct().observe(
-            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        now = stored(round_, "edges")
-        if seen.get == digest:
+        now = stored(_small_star(_large_star(now)).distinct(), "edges")
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if seen == digest or not seen[0]:
             break
-        digest = seen.get
+        digest = seen
     members = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     centres = now.select(F.col("b").alias("node"), F.col("b").alias("label"))
     return members.union(centres).union(loops).groupBy("node").agg(F.min("label").alias("label"))

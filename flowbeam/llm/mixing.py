@@ -5,7 +5,7 @@ every document a posterior over domains. Rates r_d >= 0 are then fitted so that
 tokens per domain, sum_d r_d * n_d * p_dk, meet the target shares of the token budget: least
 squares over all documents by projected gradient from r = 1. A step needs only the domain sums
 and the Gram matrix of the documents with a positive rate, one aggregate; the gradient is
-scaled by n_d and by that K x K matrix, so that a few steps suffice. A rate is a fold over the
+scaled by n_d and by that K x K matrix, so that a few steps suffice. A rate follows from the
 steps' K numbers, so no state per document is kept between steps.
 
 Only built-in column functions run; the driver holds K * (buckets) counts and K x K sums.
@@ -102,39 +102,41 @@ def _fold(weights: Column) -> Column:
     return F.aggregate("slots_", F.lit(0.0), lambda acc, s: acc + F.get(weights, s["a"]) + F.get(weights, s["b"]) * 0.25)
 
 
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions read as values: as a generator's output they are
+    not substituted into those expressions and computed again for every use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def with_posteriors(docs: DataFrame, model: Mixture, text: Column) -> DataFrame:
-    """Adds ``n_tokens`` and ``posterior`` (an array in the order of DOMAINS) to ``docs``."""
+    """Adds ``n_tokens`` and the posteriors ``p_<domain>`` to ``docs``."""
     slots = F.transform(words_of(text), lambda w: F.struct(_slot(w).alias("a"), _ending_slot(w).alias("b")))
-    rows = docs.withColumn("slots_", slots)
-    scores = [F.lit(model.priors[0])]
-    for prior, w in zip(model.priors[1:], model.weights):
-        scores.append(F.lit(prior) + _fold(_vector(w)))
-    rows = rows.withColumns({"n_tokens": F.size("slots_").cast("long"), "scores_": F.array(*scores)})
-    top = F.array_max("scores_")
-    odds = F.transform("scores_", lambda s: F.exp(s - top))
-    rows = rows.withColumn("odds_", odds)
-    total = F.aggregate("odds_", F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("posterior", F.transform("odds_", lambda x: x / total)).drop("slots_", "scores_", "odds_")
+    rows = _computed(docs, slots_=slots)
+    scores = {"score_0": F.lit(model.priors[0])}
+    for j, (prior, w) in enumerate(zip(model.priors[1:], model.weights), 1):
+        scores[f"score_{j}"] = F.lit(prior) + _fold(_vector(w))
+    rows = _computed(rows, n_tokens=F.size("slots_").cast("long"), **scores).drop("slots_")
+    top = F.greatest(*scores)
+    odds = [F.exp(F.col(s) - top) for s in scores]
+    return _computed(rows, **{f"p_{d}": o / sum(odds[1:], odds[0]) for d, o in zip(DOMAINS, odds)}).drop(*scores)
+
+
+def _posteriors() -> list[Column]:
+    return [F.col(f"p_{d}") for d in DOMAINS]
 
 
 def rate_of(steps: list[list[float]]) -> Column:
     """The rate after the steps so far: 1, then max(0, r - posterior . step) for each."""
     rate = F.lit(1.0)
-    if not steps:
-        return rate
-    flat = _vector([x for s in steps for x in s])
-    k = len(DOMAINS)
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(len(steps) - 1)), rate,
-        lambda r, i: F.greatest(F.lit(0.0), r - sum((F.get("posterior", F.lit(j)) * F.get(flat, i * k + j) for j in range(1, k)),
-                                                    F.get("posterior", F.lit(0)) * F.get(flat, i * k))))
+    for step in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((p * x for p, x in zip(_posteriors(), step)), F.lit(0.0)))
+    return rate
 
 
 def fit_rates(rows: DataFrame, model: Mixture, targets: dict[str, float], budget: float = 1.0, most_steps: int = 25, close: float = 1e-4) -> Mixture:
-    """Fit the rates on (n_tokens, posterior); the budget is a multiple of all tokens."""
-    k = len(DOMAINS)
+    """Fit the rates on (n_tokens, p_<domain>); the budget is a multiple of all tokens."""
+    k, p = len(DOMAINS), _posteriors()
     share = np.array([targets.get(d, 0.0) for d in DOMAINS], float)
-    p = [F.get("posterior", F.lit(j)) for j in range(k)]
     steps: list[list[float]] = []
     goal = None
     for _ in range(most_steps):
@@ -163,7 +165,7 @@ def copies_of(rate: Column, doc_id: Column) -> Column:
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = 20_000) -> tuple[Mixture, DataFrame]:
-    """The fitted mixture, and (doc_id, n_tokens, posterior) of every document."""
+    """The fitted mixture, and (doc_id, n_tokens, p_<domain>) of every document."""
     model = fit_classifier(docs, labels, sample)
     rows = with_posteriors(docs.select("doc_id", "text"), model, F.col("text")).drop("text")
     rows = stored(rows, "mix-posteriors")
@@ -175,8 +177,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     model, rows = fit_mixture(docs, labels, targets, sample)
     rows = rows.withColumn("rate", rate_of(model.steps))
     return rows.select(
-        "doc_id", "n_tokens", *(F.get("posterior", F.lit(j)).alias(f"p_{d}") for j, d in enumerate(DOMAINS)),
-        "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
+        "doc_id", "n_tokens", *_posteriors(), "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = 20_000) -> DataFrame:
@@ -184,5 +185,6 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     model, _ = fit_mixture(docs, labels, targets, sample)
     rows = with_posteriors(docs.select(F.struct("*").alias("row")), model, F.col("row.text"))
     copies = copies_of(rate_of(model.steps), F.col("row.doc_id"))
-    some = rows.select("row", copies.alias("copies")).filter("copies > 0")
-    return some.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    # a sequence from 1 up to 0 would run downwards
+    repeats = F.when(copies > 0, F.sequence(F.lit(1), copies))
+    return rows.select("row", F.explode(repeats).alias("copy")).select("row.*")
