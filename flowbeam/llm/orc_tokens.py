@@ -30,8 +30,8 @@ from flowbeam.llm.frames import ROWS_AT_ONCE
 from flowbeam.session import ship_package
 
 END_ID = 2
-#: Distinct words whose ids a worker remembers (about 200 bytes each).
-REMEMBERED_WORDS = 500_000
+#: Distinct words whose ids a worker remembers in each of two generations (about 200 bytes each).
+REMEMBERED_WORDS = 400_000
 
 
 class TextEncoder:
@@ -49,6 +49,7 @@ class TextEncoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before; words in use move up
         self.stops = {c: self._direct([c.decode()])[0] for c in (b".", b",")}
         self.by_word = self._splits_at_space()
 
@@ -69,6 +70,9 @@ class TextEncoder:
                 w = w[:-1]
                 if w in self.known or w in words:
                     continue
+                if w in self.older:
+                    self.known[w] = self.older[w]
+                    continue
             s = w.decode()
             # letters below U+0130 stay one letter each when lower-cased: one run, one end of word
             (plain if s.isalpha() and max(s) < "İ" else odd).append(s)
@@ -98,9 +102,11 @@ class TextEncoder:
             data = (t or "").encode()
             words.append(None if any(s in data for s in self.special) else data.lower().split())
         if len(self.known) > self.limit:
-            self.known.clear()
-        new = {w for ws in words if ws for w in ws if w not in self.known}
-        if new:
+            self.older, self.known = self.known, {}
+        new = set().union(*(ws for ws in words if ws)) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        if new := new - again:
             self._learn(new)
         get = self.known.__getitem__
         return [self._direct([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words)]
