@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: a dotted quad of decimal octets 0..255 without leading zeros (no host names, no IPv6).
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4_REGEX = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
-_IPV4_RE = re.compile(IPV4_REGEX)
+_IPV4 = rf"{_OCTET}(\.{_OCTET}){{3}}"
+IPV4_REGEX = rf"\A{_IPV4}\z"
+_IPV4_RE = re.compile(_IPV4)
 
 
 def is_ipv4(text: Column) -> Column:
@@ -34,7 +35,7 @@ def bytes_to_ip(b: Column) -> Column:
 
 def check_ipv4(text: str) -> str:
     """Driver-side validation of one address parameter; returns it unchanged or raises."""
-    if not isinstance(text, str) or not _IPV4_RE.match(text):
+    if not isinstance(text, str) or not _IPV4_RE.fullmatch(text):
         raise ValueError(f"not a dotted-quad IPv4 address: {text!r}")
     return text
 

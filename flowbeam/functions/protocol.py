@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def protocol_name(number: Column) -> Column:
 def protocol_number(text: Column) -> Column:
     """Protocol parameter text (a number 0..255 or a known name, any case) -> int; NULL if neither."""
     upper = F.upper(F.trim(text))
-    numeric = F.when(text.rlike(r"^[0-9]{1,3}$"), text.cast("int"))
+    numeric = F.when(text.rlike(r"\A[0-9]{1,3}\z"), text.cast("int"))
     expr = F.when(numeric.between(0, 255), numeric)
     for name, num in _NUMBER_BY_NAME.items():
         expr = expr.when(upper == name, F.lit(num))
@@ -35,10 +37,11 @@ def resolve_protocol(text: str | int) -> int:
     if isinstance(text, int):
         number = text
     else:
-        value = str(text).strip()
-        if value.upper() in _NUMBER_BY_NAME:
-            return _NUMBER_BY_NAME[value.upper()]
-        if not value.isdigit() or len(value) > 3:
+        value = str(text)
+        name = value.strip(" ").upper()
+        if name in _NUMBER_BY_NAME:
+            return _NUMBER_BY_NAME[name]
+        if not re.fullmatch(r"[0-9]{1,3}", value):
             raise ValueError(f"unknown protocol: {text!r}")
         number = int(value)
     if not 0 <= number <= 255:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # The display / parameter time format, and the compact parameter format.
 TIME_FORMAT = "yyyy-MM-dd-HH:mm:ss"
 COMPACT_TIME_FORMAT = "yyyyMMddHHmmss"
-_DASHED_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2}:[0-9]{2}:[0-9]{2}$"
-_COMPACT_RE = r"^[0-9]{14}$"
+_DASHED_RE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2}:[0-9]{2}:[0-9]{2}"
+_COMPACT_RE = r"[0-9]{14}"
 
 MS_PER_DAY = 86_400_000
 _2_31 = 1 << 31
@@ -41,25 +41,31 @@ def signed32_diff(last: Column, first: Column) -> Column:
 
 
 def format_time(ms: Column) -> Column:
-    """Epoch ms -> ``yyyy-MM-dd-HH:mm:ss`` (session time zone, pinned to UTC by the loaders)."""
-    return F.date_format(F.timestamp_millis(ms), TIME_FORMAT)
+    """Epoch ms -> ``yyyy-MM-dd-HH:mm:ss`` in UTC, whatever the session time zone."""
+    second = _idiv(F.pmod(ms, F.lit(MS_PER_DAY)), 1000)
+    parts = (_idiv(second, 3600), _idiv(F.pmod(second, F.lit(3600)), 60), F.pmod(second, F.lit(60)))
+    clock = F.concat_ws(":", *(F.lpad(p.cast("string"), 2, "0") for p in parts))
+    return F.concat(utc_date(ms).cast("string"), F.lit("-"), clock)
 
 
 def parse_time(text: Column) -> Column:
-    """Time parameter text (dashed or compact form, strictly zero-padded) -> epoch ms; NULL if bad."""
-    dashed = F.try_to_timestamp(text, F.lit(TIME_FORMAT))
-    compact = F.try_to_timestamp(text, F.lit(COMPACT_TIME_FORMAT))
-    ts = F.when(text.rlike(_DASHED_RE), dashed).when(text.rlike(_COMPACT_RE), compact)
-    return F.unix_millis(ts)
+    """Time parameter text (dashed or compact form, strictly zero-padded) -> epoch ms, read as
+    UTC whatever the session time zone; NULL if bad."""
+    shaped = text.rlike(rf"\A(?:{_DASHED_RE}|{_COMPACT_RE})\z")
+    digits = F.when(shaped, F.regexp_replace(text, "[-:]", ""))
+    day = F.unix_date(F.try_to_date(F.substring(digits, 1, 8), "yyyyMMdd"))
+    hour, minute, second = (F.substring(digits, at, 2).cast("int") for at in (9, 11, 13))
+    ms = (day.cast("long") * 86_400 + hour * 3600 + minute * 60 + second) * 1000
+    return F.when((hour < 24) & (minute < 60) & (second < 60) & (F.substring(digits, 1, 4) != "0000"), ms)
 
 
 def parse_time_literal(text: str) -> int:
     """Driver-side twin of ``parse_time`` for one spec: epoch ms (UTC), or ValueError."""
     if not isinstance(text, str):
         raise ValueError(f"time must be text: {text!r}")
-    if re.match(_DASHED_RE, text):
+    if re.fullmatch(_DASHED_RE, text):
         fmt = "%Y-%m-%d-%H:%M:%S"
-    elif re.match(_COMPACT_RE, text):
+    elif re.fullmatch(_COMPACT_RE, text):
         fmt = "%Y%m%d%H%M%S"
     else:
         raise ValueError(f"bad time {text!r}; want yyyy-MM-dd-HH:mm:ss or yyyyMMddHHmmss")

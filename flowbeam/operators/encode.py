@@ -6,14 +6,15 @@ is always part of the packet key). The header clock is the end of that day, so e
 grouping; the group only joins the record texts (no higher-order function, so the plan
 stays in whole-stage codegen). An uptime of 4,000,000,000 ms covers the day with room to
 spare. Without ``packet_by`` the records are packed in the order of each input partition
-(``sortWithinPartitions`` by time, then runs of 30); no group ever grows with the data.
+(``sortWithinPartitions`` by time, then runs of 30); with it, a key's records are numbered in
+time order and cut into runs of 30. No group ever grows with the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowbeam.functions.ip import ip_to_bytes
@@ -50,6 +51,10 @@ def encode_v5(
         keyed = flows
         keys = [*packet_by, "_day"] if "_day" not in packet_by else list(packet_by)
     keyed = keyed.withColumn("_day", day)
+    if packet_by is not None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("time_ms")) - 1
+        keyed = keyed.withColumn("_run", F.floor(place / F.lit(V5_MAX_COUNT)))
+        keys = [*keys, "_run"]
     hdr_ms = (F.col("_day") + 1) * F.lit(MS_PER_DAY)  # end of the packet's UTC day
     first = F.lit(uptime_ms) - (hdr_ms - F.col("time_ms"))
     last = first + F.col("duration_ms")
@@ -79,7 +84,4 @@ def encode_v5(
         _zeros(8),  # flow sequence, engine type and id, sampling
     )
     payload = F.unhex(F.concat(header, F.array_join("_recs", "")))
-    checked = F.when(
-        F.col("count") > V5_MAX_COUNT, F.raise_error(F.lit("v5 packet over 30 records"))
-    ).otherwise(payload)
-    return packets.select(*keys, F.col("count").cast("int").alias("count"), checked.alias("payload"))
+    return packets.select(*keys, F.col("count").cast("int").alias("count"), payload.alias("payload"))

@@ -8,6 +8,7 @@ executor-local state).
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from flowbeam.operators.decode import decode
 from flowbeam.schema import REJECT_SCHEMA
-from flowbeam.sinks.flows import write_flows
+from flowbeam.sinks.flows import MODE_ALIASES, MODE_DOCUMENTS, MODE_PARQUET, write_flows
 from flowbeam.sources.capture import frames_from_files, scan_files, udp_payloads
 
 
@@ -49,8 +50,27 @@ def write_batch(
         frames.unpersist()
 
 
+def source_id(*names: str) -> str:
+    """A short stable name for an input folder."""
+    return hashlib.sha256("\0".join(n.rstrip("/") for n in names).encode()).hexdigest()[:12]
+
+
 def ingest_captures(
-    spark: SparkSession, capture_path: str, flows_path: str, rejects_path: str, mode: str = "parquet"
+    spark: SparkSession,
+    capture_path: str,
+    flows_path: str,
+    rejects_path: str,
+    mode: str = "parquet",
+    batch_id: str | None = None,
 ) -> IngestCounts:
-    """Batch ingest of every capture file under ``capture_path``."""
-    return write_batch(frames_from_files(scan_files(spark, capture_path)), flows_path, rejects_path, mode)
+    """Batch ingest of every capture file under ``capture_path``.
+
+    Flows (Parquet or documents) and rejects go to ``ingest_batch=<batch id>`` below their
+    tables, the layout of streaming ingest; a rerun with the same id (by default a digest of
+    the input path) replaces its own earlier output and nothing else.
+    """
+    frames = frames_from_files(scan_files(spark, capture_path))
+    part = f"ingest_batch={batch_id or 'batch-' + source_id(capture_path)}"
+    keyed = MODE_ALIASES.get(mode, mode) not in (MODE_PARQUET, MODE_DOCUMENTS)
+    flows_to = flows_path if keyed else f"{flows_path.rstrip('/')}/{part}"
+    return write_batch(frames, flows_to, f"{rejects_path.rstrip('/')}/{part}", mode, save_mode="overwrite")

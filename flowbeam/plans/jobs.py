@@ -59,7 +59,7 @@ def run_top_pairs(spark: SparkSession, path: str, n: int = 10, kind: str = "parq
 
 
 def run_source_lookup(spark: SparkSession, keyed_path: str, src_addr: str, use_store_filter: bool = True) -> int:
-    """Number of keyed-table flows whose source is ``src_addr`` (prints it, like the reference)."""
+    """Number of keyed-table flows whose source is ``src_addr`` (and prints it)."""
     n = project.to_display(source_lookup(spark, keyed_path, src_addr, use_store_filter)).count()
-    print(f"Totally count: {n}")
+    print(f"flows from {src_addr}: {n}")
     return n

@@ -52,6 +52,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="flowbeam-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if sc is not None and not sc.getCheckpointDir():
@@ -92,21 +94,3 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zip_path)
     _SHIPPED.add(app)
-
-
-def spread_small_input(df, min_partitions: int | None = None):
-    """Round-robin an input read by fewer tasks than the cluster has cores.
-
-    A single file with one Parquet row group is read by one task however many cores exist;
-    the CPU-heavy projections and partial aggregates that follow would run single-threaded.
-    Inputs already split into at least ``min_partitions`` (default parallelism) pieces -
-    every table at real scale - are returned unchanged, so no shuffle is added there.
-    Round-robin (not hashed on columns): a hash on every column would force the scan to
-    read every column, while round-robin lets column pruning reach the scan.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # Spark Connect: leave the plan as it is
-        return df
-    return df.repartition(target) if current < target else df

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from flowbeam.schema import DISPLAY_SCHEMA
 from flowbeam.session import checkpoint_root
 
-_JOB_ID_RE = re.compile(r"^[A-Za-z0-9_.-]+$")
+_JOB_ID_RE = re.compile(r"[A-Za-z0-9_.-]+")
 RESULT_SCHEMA = T.StructType(
     DISPLAY_SCHEMA.fields
     + [T.StructField("row_no", T.LongType()), T.StructField("job_id", T.StringType())]
@@ -32,7 +33,7 @@ PAGE_ORDER = ["time", "srcAddress", "dstAddress", "srcPort", "dstPort", "protoco
 
 
 def _check_job_id(job_id: str) -> str:
-    if not isinstance(job_id, str) or not _JOB_ID_RE.match(job_id):
+    if not isinstance(job_id, str) or not _JOB_ID_RE.fullmatch(job_id):
         raise ValueError(f"job id must match {_JOB_ID_RE.pattern}: {job_id!r}")
     return job_id
 
@@ -76,8 +77,12 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def job_results(spark: SparkSession, root: str, job_id: str) -> DataFrame:
-    """One job's rows; the ``job_id`` predicate prunes to a single partition directory."""
-    return read_results(spark, root).filter(F.col("job_id") == F.lit(_check_job_id(job_id)))
+    """One job's rows, read from its own directory; KeyError for a job without a result."""
+    try:
+        rows = spark.read.schema(T.StructType(RESULT_SCHEMA.fields[:-1])).parquet(partition_path(root, job_id))
+    except AnalysisException as exc:
+        raise KeyError(f"no result of job {job_id!r}") from exc
+    return rows.withColumn("job_id", F.lit(job_id))
 
 
 def result_count(spark: SparkSession, root: str, job_id: str) -> DataFrame:

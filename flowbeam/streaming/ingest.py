@@ -1,12 +1,14 @@
 """Incremental capture ingest: ``readStream.format("binaryFile")`` -> framing -> decode -> sinks.
 
 Each micro-batch (bounded by ``maxFilesPerTrigger``) is written with ``foreachBatch`` to the
-flow table and the rejects table, into a directory named by the batch id:
-``<flows>/ingest_batch=<id>/year=/month=/day=/``. The batch overwrites its own directory, so
-a batch replayed after a failure replaces its earlier output instead of adding to it:
-exactly-once output. Readers see ``ingest_batch`` as one more partition column; date
-pruning works across batches. Progress (which files are done) lives in the checkpoint under
-the shared ``spark.checkpoint.dir``; a restarted query continues where it stopped.
+flow table and the rejects table, into a directory named by the stream and the batch:
+``<flows>/ingest_batch=<stream>-<id>/year=/month=/day=/``. The batch overwrites its own
+directory, so a batch replayed after a failure replaces its earlier output instead of adding
+to it: exactly-once output. Readers see ``ingest_batch`` as one more partition column, as for
+batch ingest; date pruning works across batches. The stream's name is a digest of the landing
+folder, and its checkpoint (which files are done) lies beside the flow table by that name: a
+restarted query continues where it stopped, and a stream from another folder into the same
+table neither repeats nor replaces anything.
 """
 
 from __future__ import annotations
@@ -15,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from flowbeam.plans.ingest import write_batch
-from flowbeam.session import scratch_path
+from flowbeam.plans.ingest import source_id, write_batch
 from flowbeam.sources.capture import frames_from_files
 
 BINARY_FILE_SCHEMA = T.StructType(
@@ -38,9 +39,11 @@ def capture_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger:
     return frames_from_files(files)
 
 
-def write_stream_batch(frames: DataFrame, batch_id: int, flows_path: str, rejects_path: str) -> None:
+def write_stream_batch(
+    frames: DataFrame, batch_id: int, flows_path: str, rejects_path: str, stream_id: str = "stream"
+) -> None:
     """Write one micro-batch idempotently (a replay of ``batch_id`` overwrites its own output)."""
-    part = f"ingest_batch={int(batch_id)}"
+    part = f"ingest_batch={stream_id}-{int(batch_id)}"
     write_batch(
         frames, f"{flows_path.rstrip('/')}/{part}", f"{rejects_path.rstrip('/')}/{part}", save_mode="overwrite"
     )
@@ -56,11 +59,15 @@ def start_capture_ingest(
     max_files_per_trigger: int = 64,
     processing_time: str = "30 seconds",
 ) -> StreamingQuery:
-    """Start the ingest query; ``available_now`` processes what is there and stops."""
-    checkpoint = checkpoint or scratch_path(spark, "capture-ingest-checkpoint")
+    """Start the ingest query; ``available_now`` processes what is there and stops.
+
+    An own ``checkpoint`` names a stream of its own: batch numbers belong to it.
+    """
+    stream_id = "stream-" + source_id(landing_dir, checkpoint or "")
+    checkpoint = checkpoint or f"{flows_path.rstrip('/')}/_checkpoints/{stream_id}"
 
     def each_batch(frames: DataFrame, batch_id: int) -> None:
-        write_stream_batch(frames, batch_id, flows_path, rejects_path)
+        write_stream_batch(frames, batch_id, flows_path, rejects_path, stream_id)
 
     writer = (
         capture_stream(spark, landing_dir, max_files_per_trigger)

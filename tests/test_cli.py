@@ -12,10 +12,10 @@ from tests.wire import pcap_file, udp_frame, v5_packet, v5_record
 def test_cli_ingest_query_page_top_lookup(spark, tmp_dir, capsys):
     caps = os.path.join(tmp_dir, "caps")
     os.makedirs(caps)
-    pkt = v5_packet([v5_record(src="122.166.26.132", dst="122.166.254.125", sport=2207, dport=53,
-                               octets=61, first=9_000, last=9_000, prot=17),
-                     v5_record(src="122.166.26.132", dst="173.109.204.137", sport=56610, dport=6667,
-                               octets=124, packets=2, first=9_000, last=9_064, prot=6)],
+    pkt = v5_packet([v5_record(src="10.9.8.7", dst="10.1.2.3", sport=4001, dport=53,
+                               octets=72, first=9_000, last=9_000, prot=17),
+                     v5_record(src="10.9.8.7", dst="198.51.100.7", sport=4002, dport=8080,
+                               octets=640, packets=2, first=9_000, last=9_064, prot=6)],
                     uptime=10_000, secs=1185488139)
     with open(os.path.join(caps, "a.pcap"), "wb") as fh:
         fh.write(pcap_file([udp_frame(pkt)]))
@@ -25,20 +25,20 @@ def test_cli_ingest_query_page_top_lookup(spark, tmp_dir, capsys):
 
     main(["query", flows, results, "--job-id", "j1", "--name", "src",
           "--param", "start=20070726221500", "--param", "end=2007-07-26-22:16:00",
-          "--param", "src_addr=122.166.26.132"], spark=spark)
+          "--param", "src_addr=10.9.8.7"], spark=spark)
     assert "rows: 2" in capsys.readouterr().out
     main(["page", results, "--job-id", "j1", "--limit", "1"], spark=spark)
     doc = json.loads(capsys.readouterr().out.strip())
-    assert doc == {"srcAddress": "122.166.26.132", "dstAddress": "122.166.254.125", "srcPort": 2207,
+    assert doc == {"srcAddress": "10.9.8.7", "dstAddress": "10.1.2.3", "srcPort": 4001,
                    "dstPort": 53, "time": "2007-07-26-22:15:38", "duration": 0, "protocol": "UDP",
-                   "bytes": 61, "packets": 1}
+                   "bytes": 72, "packets": 1}
 
     main(["top-pairs", flows, "--print", "1"], spark=spark)
-    assert capsys.readouterr().out.strip() == "(122.166.26.132,173.109.204.137,124)"
+    assert capsys.readouterr().out.strip() == "(10.9.8.7,198.51.100.7,640)"
 
     keyed = upsert_keyed(spark.read.parquet(flows).select(*FLOW_SCHEMA.fieldNames()), os.path.join(tmp_dir, "k"))
-    main(["lookup", keyed, "122.166.26.132", "--scan-filter", "false"], spark=spark)
-    assert "Totally count: 2" in capsys.readouterr().out
+    main(["lookup", keyed, "10.9.8.7", "--scan-filter", "false"], spark=spark)
+    assert "flows from 10.9.8.7: 2" in capsys.readouterr().out
 
 
 def test_cli_rejects_bad_arguments(spark, tmp_dir):

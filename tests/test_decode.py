@@ -133,3 +133,16 @@ def test_property_encode_decode_round_trip(spark, rows):
     decoded, rejects = decode(encode_v5(flows).select("payload"))
     assert rejects.count() == 0
     assert sorted(tuple(r) for r in decoded.select(*FLOW_COLUMNS).collect()) == sorted(data)
+
+
+def test_hot_packet_key_is_cut_into_runs(spark):
+    from pyspark.sql import functions as F
+
+    from flowbeam.operators.encode import encode_v5
+
+    rows = spark.range(1000).select(
+        F.lit("10.0.0.1").alias("src_addr"), F.lit("10.0.0.2").alias("dst_addr"), F.lit(1).alias("src_port"),
+        F.lit(2).alias("dst_port"), (F.col("id") + 1_000_000).alias("time_ms"), F.lit(5).cast("long").alias("duration_ms"),
+        F.lit(6).alias("protocol"), F.lit(10).cast("long").alias("bytes"), F.lit(1).cast("long").alias("packets"), F.lit(7).alias("k"))
+    counts = [r["count"] for r in encode_v5(rows, packet_by=["k"]).collect()]
+    assert sum(counts) == 1000 and max(counts) == 30 and len(counts) == 34

@@ -116,14 +116,3 @@ def test_multi_spec_prunes_day_partitions(spark, tmp_path):
         & (F.col("src_addr") == "10.0.1.5")
     )
     assert sorted(map(tuple, out.drop("job_id").collect())) == sorted(map(tuple, expected.collect()))
-
-
-def test_spread_is_a_no_op_on_split_inputs(spark):
-    from flowbeam.session import spread_small_input
-
-    many = spark.range(0, 1000, numPartitions=16)
-    assert spread_small_input(many, min_partitions=8) is many
-    one = spark.range(0, 1000, numPartitions=1)
-    spread = spread_small_input(one, min_partitions=8)
-    assert spread.rdd.getNumPartitions() == 8
-    assert sorted(r.id for r in spread.collect()) == list(range(1000))
