@@ -168,10 +168,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, row_no long, n_tokens long, ids array<int>").orc(path)
 
 
-def with_starts(narrow: DataFrame) -> DataFrame:
-    """Adds ``start``, the number of ids before each row, to columns row_no and n_tokens."""
+def with_starts(narrow: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Adds ``start``, the number of ids before each row, to columns row_no and n_tokens.
+
+    ``counts`` has the same two columns where they can be read more cheaply (from the files
+    without their ids); the files' totals are taken from it.
+    """
     part = F.shiftright("row_no", 33)
-    totals = narrow.groupBy(part.alias("part")).agg(F.sum("n_tokens").alias("tokens"))
+    totals = (narrow if counts is None else counts).groupBy(part.alias("part")).agg(F.sum("n_tokens").alias("tokens"))
     # one row per file
     before = totals.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("before"))
     inside = Window.partitionBy("part").orderBy("row_no")

@@ -71,8 +71,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     orc_tokens.write_tokens(table(spark, sf_dir, "documents"), path, TOKENIZER)
-    digests = orc_tokens.token_digests(orc_tokens.read_tokens(spark, path))
-    return orc_tokens.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
+    tokens = orc_tokens.read_tokens(spark, path)
+    return orc_tokens.with_starts(orc_tokens.token_digests(tokens), tokens.select("row_no", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

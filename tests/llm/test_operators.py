@@ -428,7 +428,7 @@ def test_token_files_round_trip(edges, none, spark, tmp_path):
     path = str(tmp_path / "tokens")
     orc_tokens.write_tokens(docs, path, TOKENIZER)
     back = orc_tokens.read_tokens(spark, path)
-    got = orc_tokens.with_starts(orc_tokens.token_digests(back)).orderBy("row_no").collect()
+    got = orc_tokens.with_starts(orc_tokens.token_digests(back), back.select("row_no", "n_tokens")).orderBy("row_no").collect()
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start = 0
     for r, (doc_id, text) in zip(got, rows, strict=True):
