@@ -31,7 +31,7 @@ from flowbeam.session import ship_package
 
 END_ID = 2
 #: Distinct words whose ids a worker remembers in each of two generations (about 200 bytes each).
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 
 
 class TextEncoder:
