@@ -83,7 +83,7 @@ def main() -> None:
         read_flows(spark, path), catalog._ms(catalog.RANGE_SPEC["start"]), catalog._ms(catalog.RANGE_SPEC["end"]))))
 
     t_keyed, keyed = timed_write(
-        "keyed", lambda p: upsert_keyed(flows_view(spark, sf_dir, spread=True), p, tie_breakers=ORDER_KEYS)
+        "keyed", lambda p: upsert_keyed(flows_view(spark, sf_dir), p, tie_breakers=ORDER_KEYS)
     )
     rates["keyed_write_rows_per_s"] = n_flows / t_keyed
     q["source_lookup"], _ = timed(lambda: source_lookup(spark, keyed, catalog.SRC_ADDR).collect())
@@ -95,12 +95,12 @@ def main() -> None:
     )
 
     packets = scratch_path(spark, "bench-packets")
-    encode_v5(flows_view(spark, sf_dir, keep_keys=False, spread=True)).select("payload").write.parquet(packets)
+    encode_v5(flows_view(spark, sf_dir, keep_keys=False)).select("payload").write.parquet(packets)
     q["v5_decode"], _ = timed(lambda: noop(decode(spark.read.parquet(packets))[0]))
     rates["v5_decode_records_per_s"] = n_flows / q["v5_decode"]
 
     caps = scratch_path(spark, "bench-captures")
-    fl = flows_view(spark, sf_dir, spread=True).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
+    fl = flows_view(spark, sf_dir).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
     write_capture_files(encode_v5(fl, packet_by=["l_orderkey", "_day"]), caps)
 
     def capture_decode():

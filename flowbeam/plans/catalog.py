@@ -281,6 +281,16 @@ def partitioned_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.in_time_range(read_flows(spark, path), s.start_ms, s.end_ms).select(*FLOW_COLUMNS)
 
 
+@register("stored_flow_query", ORACLE_SQL["flow_query_full"])
+def stored_flow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.flows import write_partitioned
+    from flowbeam.sources.flows import load_flows
+
+    path = scratch_path(spark, "flows")
+    write_partitioned(flows_view(spark, sf_dir, keep_keys=False), path)
+    return project.to_display(filters.flow_query(load_flows(spark, path), spec.FlowSpec.from_params(FULL_SPEC)))
+
+
 # -- K2, S7, F10 (documents and a term lookup) -----------------------------------------------
 
 
@@ -294,6 +304,39 @@ def doc_term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_query(read_documents(spark, path), "srcAddress", SRC_ADDR)
 
 
+# -- P3, S7 (documents as text, rejects of unreadable ones) ----------------------------------
+
+
+@register(
+    "document_rejects",
+    with_flows(
+        """select case src_port % 7 when 0 then 'unreadable' when 1 then 'unreadable'
+         when 2 then 'missing_field' else 'ok' end as outcome,
+       count(*) as documents,
+       cast(sum(case when src_port % 7 > 2 then bytes else 0 end) as bigint) as bytes
+from flows group by 1"""
+    ),
+)
+def document_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sources.documents import split_documents
+
+    texts = project.to_document(project.to_display(flows_view(spark, sf_dir, keep_keys=False)), "srcPort")
+    rule = F.col("srcPort") % 7
+    damaged = (
+        F.when(rule == 0, F.substring("value", 1, 20))
+        .when(rule == 1, F.regexp_replace("value", '"bytes":[0-9]+', '"bytes":"many"'))
+        .when(rule == 2, F.regexp_replace("value", '"time":"[^"]*",', ""))
+        .otherwise(F.col("value"))
+    )
+    path = scratch_path(spark, "doc-text")
+    texts.select(damaged.alias("value")).write.text(path)
+    docs, rejects = split_documents(spark, path)
+    judged = docs.select(F.lit("ok").alias("outcome"), "bytes").unionByName(
+        rejects.select(F.col("reject_reason").alias("outcome"), F.lit(0).cast("long").alias("bytes"))
+    )
+    return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"))
+
+
 # -- K3, S8, F8 (keyed last-write-wins table, source lookup) ---------------------------------
 
 
@@ -335,6 +378,17 @@ def keyed_upsert_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_keyed(spark, v2)
 
 
+@register("keyed_ingest_twice", ORACLE_SQL["keyed_upsert_backfill"])
+def keyed_ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.keyed import update_keyed
+    from flowbeam.sources.keyed import read_keyed
+
+    flows, path = flows_view(spark, sf_dir), scratch_path(spark, "keyed-table")
+    update_keyed(flows.filter(F.col("time_ms") >= BACKFILL_SPLIT_MS), path, tie_breakers=ORDER_KEYS)
+    update_keyed(flows.filter(F.col("time_ms") < BACKFILL_SPLIT_MS), path, tie_breakers=ORDER_KEYS)
+    return read_keyed(spark, path)
+
+
 # -- K5, K6, S9, T3, A4 (stored result sets) -------------------------------------------------
 
 PAGE_OFFSET, PAGE_LIMIT = 10, 25
@@ -348,9 +402,11 @@ def _store_count_job(spark: SparkSession, sf_dir: str) -> str:
     s = spec.FlowSpec.from_params(COUNT_SPEC)
     rows = project.to_display(filters.flow_query(flows_view(spark, sf_dir, keep_keys=False), s))
     write_results(rows, root, "job-count")
-    # A second job written and then emptied: its rows must not survive.
-    write_results(project.to_display(flows_view(spark, sf_dir, keep_keys=False)), root, "job-empty")
+    # A second job written, dropped and written again without rows: the first rows must not survive.
+    everything = project.to_display(flows_view(spark, sf_dir, keep_keys=False))
+    write_results(everything, root, "job-empty")
     drop_results(spark, root, "job-empty")
+    write_results(everything.filter(F.lit(False)), root, "job-empty")
     return root
 
 
@@ -368,6 +424,25 @@ def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results_page(spark, root, "job-count", PAGE_OFFSET, PAGE_LIMIT)
 
 
+_JSON_SQL = ", ".join(
+    f"'{c}', \"{c}\"" for c in ("srcAddress", "dstAddress", "srcPort", "dstPort", "time", "duration", "protocol", "bytes", "packets")
+)
+
+
+@register(
+    "page_json",
+    with_flows(
+        f"select cast(json_object({_JSON_SQL}) as varchar) as value from (select {_DISPLAY_SQL} from flows "
+        f"where {_count_where()} order by {_PAGE_ORDER_SQL} limit {PAGE_LIMIT} offset {PAGE_OFFSET})"
+    ),
+)
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.results import page_as_json, results_page
+
+    root = _store_count_job(spark, sf_dir)
+    return page_as_json(results_page(spark, root, "job-count", PAGE_OFFSET, PAGE_LIMIT))
+
+
 @register(
     "result_count",
     with_flows(
@@ -450,7 +525,8 @@ def v5_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CAPTURE_SQL = with_flows(f"select {_FLOW_COLS} from flows where dayofweek(epoch_ms(time_ms)) <> 0")
 
 
-def _write_captures(spark: SparkSession, sf_dir: str) -> str:
+def _write_captures(spark: SparkSession, sf_dir: str, parts: int = 1) -> list[str]:
+    """Landing folders of capture files; with ``parts`` the orders are dealt over several."""
     from flowbeam.operators.encode import encode_v5
     from flowbeam.sinks.capture import write_capture_files
 
@@ -459,9 +535,11 @@ def _write_captures(spark: SparkSession, sf_dir: str) -> str:
     packets = encode_v5(flows, packet_by=["l_orderkey", "_day"]).withColumn(
         "transport", F.when(sunday, "tcp").otherwise("udp")
     )
-    landing = scratch_path(spark, "captures")
-    write_capture_files(packets, landing)
-    return landing
+    landings = []
+    for part in range(parts):
+        landings.append(scratch_path(spark, "captures"))
+        write_capture_files(packets.filter(F.col("l_orderkey") % parts == part), landings[-1])
+    return landings
 
 
 @register("capture_ingest", _CAPTURE_SQL)
@@ -469,18 +547,69 @@ def capture_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowbeam.plans.ingest import ingest_captures
     from flowbeam.sources.flows import read_flows
 
-    landing = _write_captures(spark, sf_dir)
+    landing, = _write_captures(spark, sf_dir)
     flows_path, rejects_path = scratch_path(spark, "ingest-flows"), scratch_path(spark, "ingest-rejects")
     ingest_captures(spark, landing, flows_path, rejects_path)
     return read_flows(spark, flows_path).select(*FLOW_COLUMNS)
 
 
+@register(
+    "capture_rejects",
+    with_flows(
+        """select 'not_udp' as reject_reason, count(*) as packets from (
+  select distinct l_orderkey, time_ms // 86400000 as d from flows where dayofweek(epoch_ms(time_ms)) = 0)"""
+    ),
+)
+def capture_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.plans.ingest import ingest_captures
+
+    landing, = _write_captures(spark, sf_dir)
+    flows_path, rejects_path = scratch_path(spark, "ingest-flows"), scratch_path(spark, "ingest-rejects")
+    ingest_captures(spark, landing, flows_path, rejects_path)
+    return spark.read.parquet(rejects_path).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("packets"))
+
+
+def _stream(spark: SparkSession, landing: str, flows_path: str, rejects_path: str) -> None:
+    from flowbeam.streaming.ingest import start_capture_ingest
+
+    query = start_capture_ingest(spark, landing, flows_path, rejects_path)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+@register("stream_restart_ingest", _CAPTURE_SQL)
+def stream_restart_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders streamed into one table, the first one once more; no checkpoint is named."""
+    from flowbeam.sources.flows import read_flows
+
+    one, two = _write_captures(spark, sf_dir, parts=2)
+    flows_path, rejects_path = scratch_path(spark, "stream-flows"), scratch_path(spark, "stream-rejects")
+    for landing in (one, two, one):
+        _stream(spark, landing, flows_path, rejects_path)
+    return read_flows(spark, flows_path).select(*FLOW_COLUMNS)
+
+
+@register("mixed_ingest", _CAPTURE_SQL)
+def mixed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder by stream and one by batch (twice) into one table."""
+    from flowbeam.plans.ingest import ingest_captures
+    from flowbeam.sources.flows import read_flows
+
+    one, two = _write_captures(spark, sf_dir, parts=2)
+    flows_path, rejects_path = scratch_path(spark, "mixed-flows"), scratch_path(spark, "mixed-rejects")
+    _stream(spark, one, flows_path, rejects_path)
+    for _ in range(2):
+        ingest_captures(spark, two, flows_path, rejects_path)
+    return read_flows(spark, flows_path).select(*FLOW_COLUMNS)
+
+
 @register("stream_ingest", _CAPTURE_SQL)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowbeam.sources.flows import read_flows
     from flowbeam.streaming.ingest import start_capture_ingest
 
-    landing = _write_captures(spark, sf_dir)
+    landing, = _write_captures(spark, sf_dir)
     flows_path, rejects_path = scratch_path(spark, "stream-flows"), scratch_path(spark, "stream-rejects")
     query = start_capture_ingest(spark, landing, flows_path, rejects_path)
     query.awaitTermination()
@@ -513,3 +642,20 @@ def multi_spec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = spec.parse_specs(spec.validate_specs(specs_view(spark, sf_dir)))
     valid = F.col("validation_error").isNull() & (F.col("type") == spec.FLOW_QUERY)
     return run(flows_view(spark, sf_dir, keep_keys=False), specs, valid=valid)
+
+
+# The same specs without an end, over the stored table.
+OPEN_END_MS = 253402300799000  # 9999-12-31T23:59:59Z
+
+
+@register("multi_spec_open_range", ORACLE_SQL["multi_spec_query"].replace("s.end_ms", str(OPEN_END_MS)))
+def multi_spec_open_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.operators.multispec import multi_spec_query as run
+    from flowbeam.sinks.flows import write_partitioned
+    from flowbeam.sources.flows import read_flows
+
+    path = scratch_path(spark, "flows")
+    write_partitioned(flows_view(spark, sf_dir, keep_keys=False), path)
+    specs = spec.parse_specs(spec.validate_specs(specs_view(spark, sf_dir)))
+    valid = F.col("validation_error").isNull() & (F.col("type") == spec.FLOW_QUERY)
+    return run(read_flows(spark, path), specs.withColumn("end_ms", F.lit(OPEN_END_MS)), valid=valid)

@@ -62,6 +62,9 @@ KEYED_SCHEMA = T.StructType(
     ]
 )
 
+# The stored keyed table is partitioned by a hash bucket of the source address.
+STORED_KEYED_SCHEMA = T.StructType(KEYED_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())])
+
 # Query spec ("job document"): parameters as a string map.
 SPEC_SCHEMA = T.StructType(
     [

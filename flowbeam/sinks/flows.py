@@ -24,7 +24,7 @@ MODE_KEYED = "keyed"
 MODES = (MODE_PARQUET, MODE_DOCUMENTS, MODE_KEYED)
 MODE_ALIASES = {"elastic": MODE_DOCUMENTS, "hbase": MODE_KEYED}
 
-# Rows per output file; the reference flushed Parquet batches of 2^20 rows.
+# Rows per output file.
 MAX_RECORDS_PER_FILE = 1 << 20
 
 
@@ -63,8 +63,8 @@ def write_documents(flows: DataFrame, path: str, mode: str = "append") -> None:
 def write_flows(flows: DataFrame, path: str, mode: str = MODE_PARQUET, save_mode: str = "append") -> Observation:
     """Write flows with the sink named by ``mode``; returns an Observation with the row count.
 
-    ``save_mode`` applies to the Parquet and document sinks (a keyed upsert always writes a
-    new table version at ``path``).
+    ``save_mode`` applies to the Parquet and document sinks (the keyed table at ``path`` is
+    updated in place, and created by the first write).
     """
     mode = MODE_ALIASES.get(mode, mode)
     if mode not in MODES:
@@ -75,7 +75,7 @@ def write_flows(flows: DataFrame, path: str, mode: str = MODE_PARQUET, save_mode
     elif mode == MODE_DOCUMENTS:
         write_documents(flows.observe(obs, F.count(F.lit(1)).alias("rows")), path, save_mode)
     else:
-        from flowbeam.sinks.keyed import upsert_keyed
+        from flowbeam.sinks.keyed import update_keyed
 
-        upsert_keyed(flows.observe(obs, F.count(F.lit(1)).alias("rows")), path)
+        update_keyed(flows.observe(obs, F.count(F.lit(1)).alias("rows")), path)
     return obs

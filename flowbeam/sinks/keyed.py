@@ -2,39 +2,47 @@
 
 Row key = 4 source-address bytes || 4 destination-address bytes; value cells are big-endian
 (``srcPort``, ``dstPort``, ``dur`` 4 bytes; ``time``, ``bytes``, ``packs`` 8 bytes; ``prot``
-1 byte). A store with keyed puts has no Spark equivalent, so an upsert writes a new version
-of the table: previous version UNION new rows, reduced to the winner per key.
+1 byte). The table is partitioned by a hash bucket of the source address. ``update_keyed``
+changes a table in place: the batch is reduced to one row per pair, merged with the buckets it
+touches (other buckets are neither read nor written), stored in the shared scratch folder, and
+then replaces exactly those bucket directories. ``upsert_keyed`` writes a new version elsewhere.
 
 Plan: the reduction is a ``max(struct(...))`` aggregate with a map-side partial step (a hot
-pair is combined before the shuffle), then the deduplicated rows are range-partitioned on
-(src_addr, dst_addr) and sorted, so each file covers a disjoint address range and source
-lookups skip files and row groups by Parquet statistics.
+pair is combined before the shuffle); the write is rebalanced by bucket (AQE splits a large
+bucket over several files) and sorted by source and key, so a source lookup reads one bucket
+and skips row groups by Parquet statistics.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbeam.functions.binary import uint_to_be
 from flowbeam.functions.ip import ip_to_bytes
 from flowbeam.operators.toptalk import latest_per_pair
-from flowbeam.schema import FLOW_COLUMNS, KEYED_SCHEMA, require_columns
+from flowbeam.schema import FLOW_COLUMNS, KEYED_SCHEMA, STORED_KEYED_SCHEMA, require_columns
+from flowbeam.session import scratch_path
 
 KEY_COLUMNS = ["src_addr", "dst_addr"]
 # File layout: source-address text first (what lookups filter on), then the 8-byte key,
 # which splits one busy source across files by destination.
 LAYOUT_COLUMNS = ["src_addr", "key"]
+# Directories of a keyed table; large ones hold several files.
+KEY_BUCKETS = 64
 
 
 def encode_keyed(flows: DataFrame) -> DataFrame:
     """Flow rows -> keyed rows (key + big-endian cells), one per input row."""
     require_columns(flows, FLOW_COLUMNS, "flows")
     src, dst = ip_to_bytes(F.col("src_addr")), ip_to_bytes(F.col("dst_addr"))
+    no_key = F.raise_error(F.lit("a flow without IPv4 source and destination has no key")).cast("binary")
     return flows.select(
-        F.concat(src, dst).alias("key"),
+        F.coalesce(F.concat(src, dst), no_key).alias("key"),
         F.col("src_addr"),
         src.alias("src"),
         dst.alias("dst"),
@@ -70,26 +78,61 @@ def _newest_version(both: DataFrame) -> DataFrame:
     )
 
 
+def source_bucket(src_addr: Column) -> Column:
+    return F.pmod(F.crc32(src_addr.cast("binary")), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def source_bucket_literal(src_addr: str) -> int:
+    return zlib.crc32(src_addr.encode()) % KEY_BUCKETS
+
+
+def _write(rows: DataFrame, path: str, mode: str) -> None:
+    (
+        rows.hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", *LAYOUT_COLUMNS)
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
+
+
 def upsert_keyed(
-    flows: DataFrame,
-    path: str,
-    previous_path: str | None = None,
-    tie_breakers: Sequence[str] = (),
-    num_files: int | None = None,
+    flows: DataFrame, path: str, previous_path: str | None = None, tie_breakers: Sequence[str] = ()
 ) -> str:
     """Write a new keyed-table version at ``path``: ``previous_path`` (if any) updated by ``flows``."""
-    spark = flows.sparkSession
-    previous = read_keyed_raw(spark, previous_path) if previous_path else None
+    previous = read_keyed_raw(flows.sparkSession, previous_path) if previous_path else None
     rows = encode_keyed(merge_versions(flows, previous, tie_breakers))
-    n = num_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        rows.repartitionByRange(n, *LAYOUT_COLUMNS)
-        .sortWithinPartitions(*LAYOUT_COLUMNS)
-        .write.mode("errorifexists")
-        .parquet(path)
-    )
+    _write(rows.withColumn("bucket", source_bucket(F.col("src_addr"))), path, "errorifexists")
+    return path
+
+
+def update_keyed(flows: DataFrame, path: str, tie_breakers: Sequence[str] = ()) -> str:
+    """Update the keyed table at ``path`` (created when absent) by ``flows``, in place.
+
+    The same flows written again change nothing. Writers of one table must take turns.
+    """
+    spark = flows.sparkSession
+    batch = encode_keyed(merge_versions(flows, None, tie_breakers))
+    batch = batch.withColumn("bucket", source_bucket(F.col("src_addr")))
+    stored = scratch_path(spark, "keyed-batch")
+    batch.write.parquet(stored)
+    batch = spark.read.schema(STORED_KEYED_SCHEMA).parquet(stored)
+    try:
+        previous = read_keyed_raw(spark, path)
+    except AnalysisException:  # no table yet
+        _write(batch, path, "errorifexists")
+        return path
+    # at most KEY_BUCKETS numbers
+    touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
+    kept = previous.filter(F.col("bucket").isin(touched)).join(batch.select("key"), "key", "left_anti")
+    merged = scratch_path(spark, "keyed-merged")
+    kept.select(*batch.columns).unionByName(batch).write.parquet(merged)
+    _write(spark.read.schema(STORED_KEYED_SCHEMA).parquet(merged), path, "overwrite")
     return path
 
 
 def read_keyed_raw(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(KEYED_SCHEMA).parquet(path)
+    """Stored keyed rows with their bucket; SchemaError when the files lack a column."""
+    require_columns(spark.read.parquet(path), KEYED_SCHEMA, f"keyed table {path}")
+    return spark.read.schema(STORED_KEYED_SCHEMA).parquet(path)

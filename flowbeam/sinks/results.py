@@ -66,10 +66,10 @@ def write_results(display_rows: DataFrame, root: str, job_id: str) -> None:
     rows.sortWithinPartitions("row_no").write.mode("overwrite").parquet(partition_path(root, job_id))
 
 
-def drop_results(spark: SparkSession, root: str, job_id: str) -> None:
-    """Empty a job's result set (its partition then holds no rows)."""
-    empty = spark.createDataFrame([], RESULT_SCHEMA).drop("job_id")
-    empty.write.mode("overwrite").parquet(partition_path(root, job_id))
+def drop_results(spark: SparkSession, root: str, job_id: str) -> bool:
+    """Remove a job's result set; afterwards the job is unknown. False if there was none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(partition_path(root, job_id))
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,14 @@ def append_specs(specs: DataFrame, path: str) -> None:
 
 
 def insert_spec(spark: SparkSession, path: str, job_id: str, kind: str, name: str, params: Mapping[str, str]) -> None:
-    """Validate one spec on the driver and append it."""
+    """Validate one spec on the driver and append it; ValueError for an id that is taken."""
     validate_spec({"name": name, "type": kind, "params": dict(params)})
+    try:
+        find_spec(spark, path, job_id)
+    except (KeyError, AnalysisException):  # no such id, or no table yet
+        pass
+    else:
+        raise ValueError(f"spec {job_id!r} exists")
     row = [(job_id, kind, name, {str(k): str(v) for k, v in params.items()})]
     append_specs(spark.createDataFrame(row, SPEC_SCHEMA), path)
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowbeam.operators.project import from_document
 from flowbeam.schema import DISPLAY_SCHEMA
@@ -19,6 +23,23 @@ def read_document_text(spark: SparkSession, path: str) -> DataFrame:
     return from_document(spark.read.text(path), "value")
 
 
+def split_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(display rows, rejects) of JSON lines: rejects are (value, reject_reason).
+
+    ``unreadable``: no JSON object, or a field of the wrong type. ``missing_field``: a field of
+    the display schema is absent or null. Blank lines are no documents.
+    """
+    schema = T.StructType([*DISPLAY_SCHEMA.fields, T.StructField("_unread", T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_unread"}).alias("d"))
+    fields = [F.col(f"d.{c}") for c in DISPLAY_SCHEMA.fieldNames()]
+    missing = functools.reduce(operator.or_, [c.isNull() for c in fields])
+    reason = F.when(F.col("d").isNull() | F.col("d._unread").isNotNull(), "unreadable").when(missing, "missing_field")
+    judged = parsed.withColumn("reject_reason", reason)
+    docs = judged.filter(F.col("reject_reason").isNull()).select("d.*").drop("_unread")
+    return docs, judged.filter(F.col("reject_reason").isNotNull()).select("value", "reject_reason")
+
+
 def term_query(docs: DataFrame, field: str, value) -> DataFrame:
     """Documents whose ``field`` equals ``value`` (a pushed-down equality on the scan)."""
     if field not in DISPLAY_SCHEMA.fieldNames():

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from flowbeam.functions.binary import be_int32, be_int64, be_uint
 from flowbeam.functions.ip import bytes_to_ip, ip_literal_bytes
-from flowbeam.schema import KEYED_SCHEMA
+from flowbeam.sinks.keyed import read_keyed_raw, source_bucket_literal
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     """Keyed rows at ``path`` decoded to flow rows."""
-    return decode_keyed(spark.read.schema(KEYED_SCHEMA).parquet(path))
+    return decode_keyed(read_keyed_raw(spark, path))
 
 
 def decode_keyed(rows: DataFrame) -> DataFrame:
@@ -33,12 +33,12 @@ def decode_keyed(rows: DataFrame) -> DataFrame:
 def source_lookup(spark: SparkSession, path: str, src_addr: str, use_store_filter: bool = True) -> DataFrame:
     """Flows of the keyed table whose source is ``src_addr``.
 
-    With ``use_store_filter`` the stored ``src_addr`` column is compared first; it reaches
-    the Parquet scan (file and row-group pruning on the range-partitioned layout). Either
+    With ``use_store_filter`` only the source's bucket directory is listed and the stored
+    ``src_addr`` column is compared in the Parquet scan (row-group pruning). Either
     way the key's first four bytes are re-checked, as a store-side filter would be.
     """
-    raw = spark.read.schema(KEYED_SCHEMA).parquet(path)
+    raw = read_keyed_raw(spark, path)
     if use_store_filter:
-        raw = raw.filter(F.col("src_addr") == F.lit(src_addr))
+        raw = raw.filter((F.col("bucket") == source_bucket_literal(src_addr)) & (F.col("src_addr") == F.lit(src_addr)))
     raw = raw.filter(F.substring(F.col("key"), 1, 4) == F.lit(ip_literal_bytes(src_addr)))
     return decode_keyed(raw)

@@ -53,7 +53,7 @@ def test_multi_spec_falls_back_to_shuffle_join(spark):
         F.lit(None).cast("int").alias("dst_port"),
         F.lit(None).cast("int").alias("protocol"),
     )
-    big = multi_spec_query(flows, specs, broadcast_rows=0)
+    big = multi_spec_query(flows, specs, broadcast_bytes=0)
     small = multi_spec_query(flows, specs)
     assert "SortMergeJoin" in plan(big) or "ShuffledHashJoin" in plan(big)
     assert big.exceptAll(small).count() == 0 and small.exceptAll(big).count() == 0
@@ -74,9 +74,11 @@ def test_result_page_is_a_pushed_range(spark, tmp_path):
 
     root = str(tmp_path / "results")
     results.write_results(to_display(flows_view(spark, SF_SMALL, keep_keys=False)), root, "j")
-    p = plan(results.results_page(spark, root, "j", 100, 10))
+    page = results.results_page(spark, root, "j", 100, 10)
+    p = plan(page)
     assert "GreaterThanOrEqual(row_no,100)" in p and "LessThanOrEqual(row_no,109)" in p
-    assert "PartitionFilters: [isnotnull(job_id" in p
+    assert all("/job_id=j/" in f for f in page.inputFiles())
+    assert "Location: InMemoryFileIndex(1 paths)" in p  # the job's own folder, not the root
 
 
 def test_decode_is_one_codegen_stage(spark, tmp_path):
@@ -116,3 +118,34 @@ def test_multi_spec_prunes_day_partitions(spark, tmp_path):
         & (F.col("src_addr") == "10.0.1.5")
     )
     assert sorted(map(tuple, out.drop("job_id").collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_multi_spec_open_range_keeps_the_plan(spark, tmp_path):
+    from flowbeam.operators.multispec import multi_spec_query
+    from flowbeam.sinks.flows import write_partitioned
+    from flowbeam.sources.flows import read_flows
+
+    path = str(tmp_path / "flows")
+    flows = flows_view(spark, SF_SMALL, keep_keys=False)
+    write_partitioned(flows, path)
+    specs = spark.createDataFrame(
+        [("a", 0, 253402300799000, "10.0.1.5", None, None, None, None)],
+        "job_id string, start_ms long, end_ms long, src_addr string, dst_addr string, src_port int, "
+        "dst_port int, protocol int",
+    )
+    out = multi_spec_query(read_flows(spark, path), specs)
+    p = plan(out)
+    assert "unix_date(make_date(year" in p and "SortMergeJoin" not in p and "BroadcastHashJoin" in p
+    assert out.count() == flows.filter("src_addr = '10.0.1.5'").count()
+
+
+def test_day_cover_is_exact_and_short(spark):
+    from pyspark.sql import functions as F
+
+    from flowbeam.operators.multispec import day_cover
+
+    ranges = [(0, 0), (5, 70), (-40, 3), (31, 32), (0, 2932896), (9000, 12000), (-719162, 2932896)]
+    df = spark.createDataFrame(ranges, "a long, b long")
+    for r in df.select("a", "b", day_cover(F.col("a"), F.col("b")).alias("c")).collect():
+        days = [d for x in r.c for d in range(x.bucket << 5 * x.level, (x.bucket + 1) << 5 * x.level)]
+        assert sorted(days) == list(range(r.a, r.b + 1)) and len(r.c) < 300

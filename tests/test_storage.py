@@ -3,12 +3,12 @@ import os
 from pyspark.sql import functions as F
 
 from flowbeam.operators import filters, project
-from flowbeam.schema import FLOW_SCHEMA
+from flowbeam.schema import FLOW_SCHEMA, SchemaError
 from flowbeam.sinks import results
 from flowbeam.sinks.flows import write_flows, write_partitioned
-from flowbeam.sinks.keyed import upsert_keyed
+from flowbeam.sinks.keyed import source_bucket_literal, update_keyed, upsert_keyed
 from flowbeam.sinks.specs import find_spec, insert_spec
-from flowbeam.sources.documents import read_documents, term_query
+from flowbeam.sources.documents import read_documents, split_documents, term_query
 from flowbeam.sources.flows import load_flows, read_flows
 from flowbeam.sources.keyed import read_keyed, source_lookup
 from flowbeam.sources.testviews import flows_view
@@ -62,6 +62,44 @@ def test_keyed_upsert_last_write_wins(spark, tmp_dir):
     assert obs.get["rows"] == 3
 
 
+def test_keyed_update_touches_only_its_buckets(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "keyed")
+    update_keyed(spark.createDataFrame(ROWS, FLOW_SCHEMA), path)
+
+    def files():
+        return {d: sorted(os.listdir(os.path.join(path, d))) for d in os.listdir(path) if d.startswith("bucket=")}
+
+    before = files()
+    update_keyed(spark.createDataFrame([("10.0.0.1", "10.0.0.9", 7, 8, 1, 5, 6, 99, 1)], FLOW_SCHEMA), path)
+    after = files()
+    hit = f"bucket={source_bucket_literal('10.0.0.1')}"
+    assert {d for d in after if before.get(d) != after[d]} == {hit}
+    got = {(r.src_addr, r.dst_addr): r.bytes for r in read_keyed(spark, path).collect()}
+    assert got == {("10.0.0.1", "10.0.0.2"): 20, ("10.0.0.1", "10.0.0.9"): 99, ("10.0.0.3", "10.0.0.1"): 30}
+    # the same batch again changes nothing
+    assert write_flows(spark.createDataFrame(ROWS, FLOW_SCHEMA), path, "keyed").get["rows"] == 3
+    assert read_keyed(spark, path).count() == 3
+
+
+def test_keyed_rows_need_a_key(spark, tmp_dir):
+    bad = spark.createDataFrame([("host", "10.0.0.2", 1, 2, 1, 5, 6, 10, 1)], FLOW_SCHEMA)
+    with pytest.raises(Exception, match="has no key"):
+        update_keyed(bad, os.path.join(tmp_dir, "keyed"))
+    spark.range(3).write.parquet(os.path.join(tmp_dir, "other"))
+    with pytest.raises(SchemaError):
+        read_keyed(spark, os.path.join(tmp_dir, "other"))
+
+
+def test_document_rejects(spark, tmp_dir):
+    good = project.to_document(project.to_display(spark.createDataFrame(ROWS, FLOW_SCHEMA))).first().value
+    lines = [good, "not json", "", "{}", good.replace('"bytes":10', '"bytes":"x"'), "[1]"]
+    path = os.path.join(tmp_dir, "docs")
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    docs, rejects = split_documents(spark, path)
+    assert [r.bytes for r in docs.collect()] == [10]
+    assert sorted(r.reject_reason for r in rejects.collect()) == ["missing_field", "unreadable", "unreadable", "unreadable"]
+
+
 def test_results_overwrite_drop_and_page(spark, tmp_dir):
     root = os.path.join(tmp_dir, "results")
     flows = flows_view(spark, SF_SMALL, keep_keys=False)
@@ -72,8 +110,10 @@ def test_results_overwrite_drop_and_page(spark, tmp_dir):
     assert results.result_count(spark, root, "tcp").first().rows == n_tcp
     results.write_results(project.to_display(flows.filter(F.col("protocol") == 99)), root, "tcp")
     assert results.result_count(spark, root, "tcp").first().rows == 0  # empty rerun replaces rows
-    results.drop_results(spark, root, "all")
-    assert results.result_count(spark, root, "all").first().rows == 0
+    assert results.drop_results(spark, root, "all")
+    assert not results.drop_results(spark, root, "all")
+    with pytest.raises(KeyError):
+        results.result_count(spark, root, "all")
     results.write_results(project.to_display(flows), root, "all")
     page1 = results.results_page(spark, root, "all", 0, 7).collect()
     page2 = results.results_page(spark, root, "all", 7, 7).collect()
@@ -94,6 +134,8 @@ def test_spec_table_insert_and_find(spark, tmp_dir):
         find_spec(spark, path, "missing")
     with pytest.raises(ValueError):
         insert_spec(spark, path, "j3", "FlowQuery", "bad", {"start": "x"})
+    with pytest.raises(ValueError, match="exists"):
+        insert_spec(spark, path, "j1", "FlowQuery", "again", params)
 
 
 def test_jobs_end_to_end(spark, tmp_dir, capsys):
