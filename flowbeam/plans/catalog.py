@@ -310,18 +310,18 @@ def doc_term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "document_rejects",
     with_flows(
-        """select case src_port % 7 when 0 then 'unreadable' when 1 then 'unreadable'
+        """select case bytes % 7 when 0 then 'unreadable' when 1 then 'unreadable'
          when 2 then 'missing_field' else 'ok' end as outcome,
        count(*) as documents,
-       cast(sum(case when src_port % 7 > 2 then bytes else 0 end) as bigint) as bytes
+       cast(sum(case when bytes % 7 > 2 then bytes else 0 end) as bigint) as bytes
 from flows group by 1"""
     ),
 )
 def document_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowbeam.sources.documents import split_documents
 
-    texts = project.to_document(project.to_display(flows_view(spark, sf_dir, keep_keys=False)), "srcPort")
-    rule = F.col("srcPort") % 7
+    texts = project.to_document(project.to_display(flows_view(spark, sf_dir, keep_keys=False)), "bytes")
+    rule = F.col("bytes") % 7
     damaged = (
         F.when(rule == 0, F.substring("value", 1, 20))
         .when(rule == 1, F.regexp_replace("value", '"bytes":[0-9]+', '"bytes":"many"'))
