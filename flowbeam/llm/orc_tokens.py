@@ -8,8 +8,8 @@ run-length encoding; Spark reads stripes in parallel. ``row_no`` orders rows ove
 and a running sum within the file; only narrow columns take part in that.
 
 The tokenizer splits at white space, and no merge or normalisation crosses it, so a text's ids
-are its words' ids in order. Words are encoded by the library once and remembered. Texts that
-may hold special tokens are encoded whole.
+are its words' ids in order. Words are encoded by the library once and remembered; letters followed
+by punctuation are the letters' ids and the punctuation's. Texts that may hold special tokens are encoded whole.
 
 Null and empty texts have only the end id. Null ids come first. Rows that repeat an id are
 kept, ordered by text among themselves.
@@ -17,6 +17,7 @@ kept, ordered by text among themselves.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +33,8 @@ from flowbeam.session import ship_package
 END_ID = 2
 #: Distinct words whose ids a worker remembers in each of two generations (about 200 bytes each).
 REMEMBERED_WORDS = 400_000
+#: ASCII punctuation that ends a run of letters and is one run itself (an apostrophe may not).
+_TAIL = string.punctuation.replace("'", "")
 
 
 class TextEncoder:
@@ -50,48 +53,69 @@ class TextEncoder:
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the generation before; words in use move up
-        self.stops = {c: self._direct([c.decode()])[0] for c in (b".", b",")}
+        self.ascii_words = self._ascii_word_tokenizer()
         self.by_word = self._splits_at_space()
 
+    def _ascii_word_tokenizer(self):
+        """The model behind a plain split at white space: lower-case ASCII words need no more."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        short = Tokenizer(self.tokenizer.model)
+        short.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = [" ".join(w for w in self.tokenizer.get_vocab() if w.isascii() and w.isalpha() and w.islower())]
+        a, b = (t.encode_batch_fast(probe, add_special_tokens=False)[0].ids for t in (short, self.tokenizer))
+        return short if a == b else self.tokenizer
+
     def _splits_at_space(self) -> bool:
         """Whether words can be encoded one by one (the tokenizer drops white space)."""
-        probe = ["one two", "one\n two,", "É a\tb."]
+        probe = ["one two", "one\n two,", "É a\tb.", f"a{_TAIL} é{_TAIL} b"]
         return bool(self.ends.any()) and all(
-            self._direct([p])[0] == b"".join(self._direct(p.split())) for p in probe)
+            self._direct([p])[0] == b"".join(self._direct(p.replace(_TAIL, f" {_TAIL}").split())) for p in probe)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[bytes]) -> None:
-        plain, odd, tails = [], [], []
+        ascii_runs, runs, odd, tailed = {}, {}, [], []  # dicts as ordered sets
         for w in words:
-            if len(w) > 1 and w[-1:] in self.stops and w[-2:-1].isalpha():
-                tails.append(w)  # a letter run ends before a final stop
-                w = w[:-1]
-                if w in self.known or w in words:
-                    continue
-                if w in self.older:
-                    self.known[w] = self.older[w]
-                    continue
             s = w.decode()
+            run = s.rstrip(_TAIL)
             # letters below U+0130 stay one letter each when lower-cased: one run, one end of word
-            (plain if s.isalpha() and max(s) < "İ" else odd).append(s)
-        plain = list(dict.fromkeys(plain))
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            if not run.isalpha() or max(run) >= "İ":
+                odd.append(s)
+                continue
+            key = w[: len(w) - len(s) + len(run)]
+            if key != w:
+                tailed.append((w, key, s[len(run):]))
+                if key in self.known:
+                    continue
+                if key in self.older:
+                    self.known[key] = self.older[key]
+                    continue
+            (ascii_runs if run.isascii() else runs)[run] = None
+        self._learn_runs(list(ascii_runs), self.ascii_words)
+        self._learn_runs(list(runs), self.tokenizer)
+        for s, ids in zip(odd, self._direct(odd)):
+            self.known[s.encode()] = ids
+        tails = list(dict.fromkeys(t for _, _, t in tailed))
+        tail_ids = dict(zip(tails, self._direct(tails)))
+        for w, key, tail in tailed:
+            self.known[w] = self.known[key] + tail_ids[tail]
+
+    def _learn_runs(self, runs: list[str], tokenizer) -> None:
+        """Words of letters only, many at a time; each one's last id is an end of word."""
+        size = self.dtype.itemsize
+        for at in range(0, len(runs), 1000):
+            part = runs[at : at + 1000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise ValueError("the tokenizer does not end every word")
-            data, size = ids.tobytes(), self.dtype.itemsize
+            data = ids.tobytes()
             a = 0
             for s, b in zip(part, cuts.tolist()):
                 self.known[s.encode()] = data[a * size : b * size]
                 a = b
-        for s, ids in zip(odd, self._direct(odd)):
-            self.known[s.encode()] = ids
-        for w in tails:
-            self.known[w] = self.known[w[:-1]] + self.stops[w[-1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids (``dtype``) of each text."""
@@ -103,11 +127,12 @@ class TextEncoder:
             words.append(None if any(s in data for s in self.special) else data.lower().split())
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
-        new = set().union(*(ws for ws in words if ws)) - self.known.keys()
-        again = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        if new := new - again:
-            self._learn(new)
+        # difference() with the dict itself looks the words up; with its keys it would walk them all
+        new = set().union(*(ws for ws in words if ws)).difference(self.known)
+        unseen = new.difference(self.older)
+        self.known.update((w, self.older[w]) for w in new.difference(unseen))
+        if unseen:
+            self._learn(unseen)
         get = self.known.__getitem__
         return [self._direct([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words)]
 
