@@ -441,6 +441,24 @@ def test_token_files_round_trip(edges, none, spark, tmp_path):
     assert orc_tokens.read_tokens(spark, path + "0").count() == 0
 
 
+def test_remembered_words_equal_whole_texts():
+    from random import Random
+
+    from tokenizers import Tokenizer
+
+    direct, rnd = Tokenizer.from_file(TOKENIZER), Random(5)
+    letters = ["a", "th", "ing", "Q", "é", "ß", "ñ", "Σ", "ı", "İ", "中", "e\u0301", "ŉ"]
+    marks = ["", "", ".", ",", "###", "!?", "'", "'s", ".'", "_", "%.\u0338", "7", "🙂", "\xa0", "</w>", "\x1c."]
+    words = ["".join(rnd.choices(letters, k=rnd.randint(0, 3))) + rnd.choice(marks) + rnd.choice(["", "", "x", "."]) for _ in range(1500)]
+    texts = [" ".join(rnd.choices(words, k=40)) for _ in range(200)]
+    for limit in (0, 100, 10_000):  # words are forgotten, moved between generations, kept
+        encoder = orc_tokens.TextEncoder(TOKENIZER, limit)
+        assert encoder.by_word and encoder.ascii_words is not encoder.tokenizer
+        got = [ids for at in range(0, 200, 20) for ids in encoder.encode(texts[at : at + 20])]
+        want = [np.array(direct.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+        assert got == want
+
+
 # -- pipeline -----------------------------------------------------------------------------------
 
 
