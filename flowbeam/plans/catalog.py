@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from flowbeam.functions.binary import be_uint
 from flowbeam.functions.ip import bytes_to_ip, ip_to_bytes
+from flowbeam.functions.pairs import split_pair_key
 from flowbeam.functions.protocol import resolve_protocol
 from flowbeam.operators import aggregates, filters, project, spec, toptalk
-from flowbeam.schema import FLOW_COLUMNS
+from flowbeam.schema import FLOW_COLUMNS, FLOW_SCHEMA
 from flowbeam.session import scratch_path
 from flowbeam.sources.testviews import (
     ORDER_KEYS,
     SPEC_CHECK_SQL,
+    SPECS_SQL,
     flows_view,
     specs_view,
     with_flows,
@@ -618,6 +620,130 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_flows(spark, flows_path).select(*FLOW_COLUMNS)
 
 
+# -- K10, S10, T4 (stored specs, lookup by id) -----------------------------------------------
+
+
+@register(
+    "spec_lookup",
+    f"""with s as ({SPECS_SQL})
+select job_id, type, name, p_end as "end", false as refused from s where job_id = (select min(job_id) from s)
+union all select 'new-job', 'FlowQuery', 'count', '{COUNT_SPEC["end"]}', true""",
+)
+def spec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived spec stored, one inserted twice (the second time refused), two looked up."""
+    from flowbeam.sinks.specs import append_specs, find_spec, insert_spec, read_specs
+
+    path = scratch_path(spark, "specs")
+    append_specs(specs_view(spark, sf_dir), path)
+    insert_spec(spark, path, "new-job", spec.FLOW_QUERY, "count", COUNT_SPEC)
+    try:
+        insert_spec(spark, path, "new-job", spec.FLOW_QUERY, "count", COUNT_SPEC)
+        refused = False
+    except ValueError:
+        refused = True
+    first = read_specs(spark, path).agg(F.min("job_id")).first()[0]
+    found = [(find_spec(spark, path, first), False), (find_spec(spark, path, "new-job"), refused)]
+    rows = [(s["job_id"], s["type"], s["name"], s["params"].get("end"), r) for s, r in found]
+    return spark.createDataFrame(rows, "job_id string, type string, name string, end string, refused boolean")
+
+
+# -- P3, P4, X17 (documents as text and back) ------------------------------------------------
+
+
+@register("document_text", with_flows(f"select {_DISPLAY_SQL} from flows"))
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sources.documents import read_document_text
+
+    path = scratch_path(spark, "doc-text")
+    project.to_document(project.to_display(flows_view(spark, sf_dir, keep_keys=False))).write.text(path)
+    return read_document_text(spark, path)
+
+
+# -- X11 (pair keys as text) -----------------------------------------------------------------
+
+
+@register(
+    "pair_key_totals",
+    with_flows(
+        "select src_addr as addr_a, dst_addr as addr_b, cast(sum(bytes) as bigint) as bytes from flows group by 1, 2"
+    ),
+)
+def pair_key_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat_ws(",", "src_addr", "dst_addr").alias("pair")
+    totals = flows_view(spark, sf_dir, keep_keys=False).groupBy(key).agg(F.sum("bytes").alias("bytes"))
+    return totals.select(*split_pair_key(F.col("pair")), "bytes")
+
+
+# -- K8, K9 (sink by mode, counts) -----------------------------------------------------------
+
+
+@register(
+    "sink_modes",
+    with_flows(
+        """, n as (select count(*) as n, count(distinct (src_addr, dst_addr)) as pairs from flows)
+select 'parquet' as mode, n as written, n as stored from n
+union all select 'elastic', n, n from n union all select 'hbase', n, pairs from n"""
+    ),
+)
+def sink_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sinks.flows import write_flows
+    from flowbeam.sources.documents import read_documents
+    from flowbeam.sources.flows import read_flows
+    from flowbeam.sources.keyed import read_keyed
+
+    flows, out = flows_view(spark, sf_dir, keep_keys=False), None
+    for mode, read in (("parquet", read_flows), ("elastic", read_documents), ("hbase", read_keyed)):
+        path = scratch_path(spark, f"sink-{mode}")
+        written = int(write_flows(flows, path, mode).get["rows"])
+        row = read(spark, path).agg(F.count(F.lit(1)).alias("stored"))
+        row = row.select(F.lit(mode).alias("mode"), F.lit(written).cast("long").alias("written"), "stored")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# -- U1, F13, U2 (other packet formats, other flow sources) ----------------------------------
+
+
+def _decode_text(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One flow per packet, its fields as text between commas."""
+    parts = payloads.select(F.split(F.col("payload").cast("string"), ",").alias("p"))
+    whole = F.size("p") == len(FLOW_COLUMNS)
+    fields = [F.col("p")[i].cast(f.dataType).alias(f.name) for i, f in enumerate(FLOW_SCHEMA.fields)]
+    return parts.filter(whole).select(*fields), parts.filter(~whole).select(F.lit("bad_field_count").alias("reject_reason"))
+
+
+@register(
+    "custom_decoder",
+    with_flows(
+        """select case when packets % 5 = 0 then 'bad_field_count' else 'ok' end as outcome, count(*) as flows,
+       cast(sum(case when packets % 5 = 0 then 0 else bytes + time_ms % 1000 + src_port + protocol end) as bigint) as total
+from flows group by 1"""
+    ),
+)
+def custom_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.operators.decode import decode, register_decoder
+
+    register_decoder("text", _decode_text)
+    fields = [F.col(c).cast("string") for c in FLOW_COLUMNS]
+    text = F.when(F.col("packets") % 5 == 0, F.concat_ws(",", *fields[:-1])).otherwise(F.concat_ws(",", *fields))
+    flows, rejects = decode(flows_view(spark, sf_dir, keep_keys=False).select(text.cast("binary").alias("payload")), "text")
+    total = F.col("bytes") + F.col("time_ms") % 1000 + F.col("src_port") + F.col("protocol")
+    judged = flows.select(F.lit("ok").alias("outcome"), total.alias("total")).unionByName(
+        rejects.select(F.col("reject_reason").alias("outcome"), F.lit(0).cast("long").alias("total"))
+    )
+    return judged.groupBy("outcome").agg(F.count(F.lit(1)).alias("flows"), F.sum("total").alias("total"))
+
+
+@register("custom_loader", with_flows(f"select {_FLOW_COLS} from flows"))
+def custom_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowbeam.sources.flows import load_flows, register_loader
+
+    register_loader("json", lambda session, path: session.read.schema(FLOW_SCHEMA).json(path))
+    path = scratch_path(spark, "flows-json")
+    flows_view(spark, sf_dir, keep_keys=False).write.json(path)
+    return load_flows(spark, path, "json")
+
+
 # -- J1 (many specs in one pass) -------------------------------------------------------------
 
 
