@@ -73,6 +73,17 @@ def test_secret_patterns_and_entropy():
     assert not secrets.scan_text("0b5f3c1a-9d7e-4f60-8a2b-1c3d5e7f9a0b /usr/local/share/documentation/index")[0]
 
 
+def test_secrets_of_letters_only_and_long_slugs():
+    for key in ("kJvXqZmBtRwLpHdNsGfYcKxQzTb", "xkqjzvbnmtgrwplkdfhcysqaeuio", "GdQv-XkTzWbJ_NfRpLsHcYmKxZq", "XQJZKVBWMFGPHTDCYLRNSUOIEA"):
+        assert [(k, a, b) for k, a, b in secrets.scan_text(f"see {key} here")[0]] == [("entropy", 4, 4 + len(key))]
+    for words in ("/usr/local/share/documentation/index", "getCustomerAccountBalanceFromHistory", "wiki/List_of_countries_by_population"):
+        assert secrets.allowed(words)
+    # with nested repeats these took hours and more
+    for slug in ("wiki/List_of_countries_by_population_in_1900", "a" * 200_000 + "1", "ab/" * 70_000 + "1"):
+        assert not secrets.allowed(slug)
+        secrets.scan_text(slug)
+
+
 def test_window_entropy_equals_direct_count():
     rng = np.random.default_rng(3)
     text = "".join(rng.choice(list("abcdefgh01234567"), 200))
