@@ -1,12 +1,12 @@
 """License scan by conditional compression.
 
 Candidate blocks are the lines of a text that mention licensing, joined with following lines
-while these continue the mention. Each block is compressed by zstandard alone and with each
-template as raw dictionary; the template that saves the largest share of the bytes wins. The
-winner is confirmed by exact wording: the fewest word changes (insert, delete, replace) that
-turn the template into some run of the block's words, after lower-casing and dropping
-punctuation at word ends. A block is a match when these are at most ``most_changes`` of the
-template's words.
+while these continue the mention. Every template is confirmed by exact wording at every place
+of a block: the fewest word changes (insert, delete, replace) that turn the template into a run
+of the block's words, after lower-casing and dropping punctuation at word ends. A run is a match
+when these are at most ``most_changes`` of the template's words; of overlapping runs one stays,
+all others are rows of their own, with their own start and end. For each match the share of
+bytes is given that zstandard saves with the template as raw dictionary.
 
 Null and empty texts have no blocks. Every input row is scanned by itself, so null and
 repeated ids give rows of their own; a text without a match gives none.
@@ -14,6 +14,7 @@ repeated ids give rows of their own; a text without a match gives none.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -64,8 +65,12 @@ def candidate_blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: A word: from its first to its last letter or digit, so quotes and comment signs are left out.
+_WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in (x.strip(".,;:!?\"'()[]").lower() for x in text.split()) if w]
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 @lru_cache(maxsize=1)
@@ -75,17 +80,16 @@ def _compressors(templates: tuple[tuple[str, str], ...]):
     made = {}
     for name, t in templates:
         # small dictionaries are padded: zstandard takes raw content of eight bytes and more
-        raw = zstandard.ZstdCompressionDict(t.encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw = zstandard.ZstdCompressionDict(" ".join(words_of(t)).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         made[name] = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_dict_id=False)
     return plain, made
 
 
-def size_reductions(block: str, templates: dict[str, str] = TEMPLATES) -> tuple[int, list[tuple[float, str, int]]]:
-    """Bytes of the block alone, and per template (share saved, name, bytes), best first."""
-    data = block.encode("utf-8", "surrogatepass")
+def share_saved(words: list[str], name: str, templates: dict[str, str] = TEMPLATES) -> float:
+    """Share of the compressed bytes of a run of words that the template as dictionary saves."""
+    data = " ".join(words).encode("utf-8", "surrogatepass")
     plain, made = _compressors(tuple(templates.items()))
-    alone = len(plain.compress(data))
-    return alone, sorted(((1 - (n := len(c.compress(data))) / alone, name, n) for name, c in made.items()), key=lambda x: (-x[0], x[1]))
+    return 1 - len(made[name].compress(data)) / len(plain.compress(data))
 
 
 def word_changes(template: list[str], words: list[str]) -> int:
@@ -99,36 +103,86 @@ def word_changes(template: list[str], words: list[str]) -> int:
     return min(above)
 
 
-def scan_text(text: str | None, templates: dict[str, str], most_changes: float, confirm: int) -> list[tuple]:
-    """(start, end, license, share saved, words changed, template words) of each confirmed block."""
-    out = []
-    for a, b in candidate_blocks(text or ""):
-        block = text[a:b]
-        _, ranked = size_reductions(block, templates)
-        words = words_of(block)
-        best = None
-        for saved, name, _ in ranked[:confirm]:
-            t = words_of(templates[name])
-            changes = word_changes(t, words)
-            if saved > 0 and changes <= most_changes * len(t) and (best is None or (changes / len(t), -len(t)) < best[0]):
-                best = ((changes / len(t), -len(t)), (a, b, name, round(saved, 6), changes, len(t)))
-        if best:
-            out.append(best[1])
+def changes_by_end(template: list[str], words: list[str]) -> list[int]:
+    """Per word, the fewest changes that turn the template into some run that ends with it.
+
+    Myers' bit vectors: a few operations on whole numbers of as many bits as the template has words.
+    """
+    places: dict[str, int] = {}
+    for i, t in enumerate(template):
+        places[t] = places.get(t, 0) | 1 << i
+    full, high = (1 << len(template)) - 1, 1 << len(template) - 1
+    up, down, score, out = full, 0, len(template), []
+    for w in words:
+        eq = places.get(w, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = (down | ~(xh | up)) & full, up & xh & full
+        score += bool(ph & high) - bool(mh & high)
+        ph, mh = ph << 1 & full, mh << 1 & full
+        up, down = (mh | ~(xv | ph)) & full, ph & xv
+        out.append(score)
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, most_changes: float = 0.2, confirm: int = 4) -> DataFrame:
-    """Per confirmed block: doc_id, start, end, license, saved, n_changes, n_template, exact.
+def run_start(template: list[str], words: list[str], end: int, changes: int) -> int:
+    """Start of the run before ``end`` that is ``changes`` away, of several the one nearest in length."""
+    n = len(template)
+    row = list(range(n + 1))
+    found = [0] if n == changes else []
+    for k in range(1, min(end, n + changes) + 1):
+        w, above = words[end - k], row
+        row = [k]
+        for j in range(1, n + 1):
+            row.append(min(above[j - 1] + (template[n - j] != w), above[j] + 1, row[-1] + 1))
+        if row[n] == changes:
+            found.append(k)
+    return end - min(found, key=lambda k: abs(k - n))
+
 
-    The ``confirm`` best templates by compression are compared word by word; the fewest
-    changes decide between them, then the longer template.
+def find_matches(words: list[str], templates: dict[str, list[str]], most_changes: float) -> list[tuple[int, int, str, int]]:
+    """(start, end, license, words changed) of runs that do not overlap.
+
+    Every template is compared at every place. Of overlapping runs the one with the smaller
+    share of changes stays, then that of the longer template.
     """
+    near, seen = [], set(words)
+    for name, t in templates.items():
+        most = math.floor(most_changes * len(t) + 1e-9)
+        # a run holds all words of the template but those changed
+        if t and sum(w in seen for w in t) >= len(t) - most:
+            near += [(c / len(t), -len(t), j, name, c) for j, c in enumerate(changes_by_end(t, words), 1) if c <= most]
+    taken, out = bytearray(len(words)), []
+    for _, _, end, name, changes in sorted(near):
+        if not taken[end - 1]:
+            start = run_start(templates[name], words, end, changes)
+            if start < end and not any(taken[start:end]):
+                taken[start:end] = b"\1" * (end - start)
+                out.append((start, end, name, changes))
+    return sorted(out)
+
+
+def scan_text(text: str | None, templates: dict[str, str], most_changes: float) -> list[tuple]:
+    """(start, end, license, share saved, words changed, template words) of each match."""
+    out = []
+    held = {name: words_of(t) for name, t in templates.items()}
+    for a, b in candidate_blocks(text or ""):
+        spans = [m.span() for m in _WORD.finditer(text, a, b)]
+        words = [text[x:y].lower() for x, y in spans]
+        for i, j, name, changes in find_matches(words, held, most_changes):
+            saved = share_saved(words[i:j], name, templates)
+            out.append((spans[i][0], spans[j - 1][1], name, round(saved, 6), changes, len(held[name])))
+    return out
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, most_changes: float = 0.2) -> DataFrame:
+    """Per match: doc_id, start, end, license, saved, n_changes, n_template, exact."""
     held = dict(templates or TEMPLATES)
 
     def make():
         return lambda doc_id, text: [
             (doc_id, a, b, name, saved, changes, size, changes == 0)
-            for a, b, name, saved, changes, size in scan_text(text, held, most_changes, confirm)]
+            for a, b, name, saved, changes, size in scan_text(text, held, most_changes)]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_rows(docs, ["doc_id", "text"], make,

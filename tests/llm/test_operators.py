@@ -427,6 +427,27 @@ def test_word_changes_equal_edit_distance_to_a_run():
     assert license_scan.word_changes("a b".split(), []) == 2
 
 
+def test_every_license_of_a_block_is_found():
+    text = "Code is released under the MIT License. Text is licensed under CC BY 4.0.\nLicensed under the Apache License, Version 2.0.\n"
+    got = license_scan.scan_text(text, license_scan.TEMPLATES, 0.2)
+    assert [(text[a:b], name, n) for a, b, name, _, n, _ in got] == [
+        ("released under the MIT License", "MIT", 0), ("licensed under CC BY 4.0", "CC-BY-4.0", 0),
+        ("Licensed under the Apache License, Version 2.0", "Apache-2.0", 0)]
+    every = " ".join(license_scan.TEMPLATES.values())
+    assert [r[2] for r in license_scan.scan_text(every, license_scan.TEMPLATES, 0.2)] == list(license_scan.TEMPLATES)
+
+
+def test_changes_by_end_equal_edit_distance():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        t, w = (list(rng.choice(list("abcd"), rng.integers(1, n))) for n in (9, 20))
+        found = license_scan.changes_by_end(t, w)
+        assert min([len(t), *found]) == license_scan.word_changes(t, w)
+        for end, c in enumerate(found, 1):
+            start = license_scan.run_start(t, w, end, c)
+            assert license_scan.word_changes(t, w[start:end]) <= c and 0 <= start <= end
+
+
 # -- token files --------------------------------------------------------------------------------
 
 
