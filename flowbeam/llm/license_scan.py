@@ -1,7 +1,7 @@
 """License scan by conditional compression.
 
-Candidate blocks are the lines of a text that mention licensing, joined with following lines
-while these continue the mention. Every template is confirmed by exact wording at every place
+Candidate blocks are the words around each mention of licensing, as many both ways as the longest
+template has with its changes, over line ends and comment signs. Every template is confirmed by exact wording at every place
 of a block: the fewest word changes (insert, delete, replace) that turn the template into a run
 of the block's words, after lower-casing and dropping punctuation at word ends. A run is a match
 when these are at most ``most_changes`` of the template's words; of overlapping runs one stays,
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import zstandard
@@ -40,39 +42,40 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
 }
-_MENTION = re.compile(r"(?i)licen[sc]e|copyright|redistribution and use|permission is hereby|creative commons|spdx")
-#: Characters of a line around a mention that belong to the block (a line may be a whole text).
-REACH = 400
-
-
-def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """Spans around each mention of licensing: its line, at most REACH characters each way."""
-    out: list[tuple[int, int]] = []
-    for m in _MENTION.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
-        a = max(text.rfind("\n", max(0, m.start() - REACH), m.start()) + 1, m.start() - REACH, 0)
-        b = text.find("\n", m.end(), m.end() + REACH)
-        b = min(m.end() + REACH, len(text)) if b < 0 else b
-        while b < len(text):  # a notice wrapped over lines
-            end = text.find("\n", b + 1, b + 1 + REACH)
-            end = min(b + 1 + REACH, len(text)) if end < 0 else end
-            if not _MENTION.search(text, b + 1, end) or end <= b + 1:
-                break
-            b = end
-        a = max(a, out[-1][1] if out else 0)
-        out.append((a, b))
-    return out
-
-
+# Single words, as a notice may be wrapped between any two.
+_MENTION = re.compile(r"(?i)licen[sc]|copyright|redistribution|permission|creative[\W_]+commons|spdx")
 #: A word: from its first to its last letter or digit, so quotes and comment signs are left out.
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
+_BROKEN = re.compile(r"-\r?\n[\W_]*")
 
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def candidate_blocks(text: str, reach: int) -> list[list[tuple[int, int]]]:
+    """Spans of the words within ``reach`` words of a mention, over line ends; blocks do not touch."""
+    mentions = [m.start() for m in _MENTION.finditer(text)]
+    if not mentions:
+        return []
+    starts, ends = array("q"), array("q")
+    for m in _WORD.finditer(text):
+        if ends and text.startswith(("-\n", "-\r\n"), ends[-1]):  # a line ends after a hyphen in the word
+            ends[-1] = m.end()
+        else:
+            starts.append(m.start())
+            ends.append(m.end())
+    runs: list[tuple[int, int]] = []
+    for at in mentions:
+        k = bisect_right(starts, at)
+        a, b = max(k - 1 - reach, 0), min(k + reach, len(starts))
+        if runs and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], b)
+        else:
+            runs.append((a, b))
+    return [list(zip(starts[a:b], ends[a:b])) for a, b in runs]
+
+
 @lru_cache(maxsize=1)
 def _compressors(templates: tuple[tuple[str, str], ...]):
     """A compressor without, and one with each template as raw dictionary."""
@@ -166,9 +169,9 @@ def scan_text(text: str | None, templates: dict[str, str], most_changes: float)
     """(start, end, license, share saved, words changed, template words) of each match."""
     out = []
     held = {name: words_of(t) for name, t in templates.items()}
-    for a, b in candidate_blocks(text or ""):
-        spans = [m.span() for m in _WORD.finditer(text, a, b)]
-        words = [text[x:y].lower() for x, y in spans]
+    reach = max((math.ceil(len(t) * (1 + most_changes)) for t in held.values()), default=0)
+    for spans in candidate_blocks(text or "", reach):
+        words = [_BROKEN.sub("-", text[x:y]).lower() for x, y in spans]
         for i, j, name, changes in find_matches(words, held, most_changes):
             saved = share_saved(words[i:j], name, templates)
             out.append((spans[i][0], spans[j - 1][1], name, round(saved, 6), changes, len(held[name])))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -448,6 +449,15 @@ def test_changes_by_end_equal_edit_distance():
             assert license_scan.word_changes(t, w[start:end]) <= c and 0 <= start <= end
 
 
+@pytest.mark.parametrize("width", [60, 70, 80])
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_wrapped_notices_are_found(width, prefix):
+    for name, t in license_scan.TEMPLATES.items():
+        text = "\n".join(prefix + x for x in ["Some text.", *textwrap.wrap("It begins here. " + t, width), "More text follows."])
+        got = license_scan.scan_text(text, license_scan.TEMPLATES, 0.2)
+        assert [(r[2], r[4]) for r in got] == [(name, 0)], (name, text)
+
+
 # -- token files --------------------------------------------------------------------------------
 
 
