@@ -41,9 +41,72 @@ TEMPLATES = {
     "except in compliance with the License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    # short forms beside the above, so that a near wording is not given to another license
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD": "Released under the BSD License.",
+    "ISC": "Released under the ISC License.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-4.0-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-ND-4.0-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+    "International License.",
+    "CC-BY-NC-ND-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+    "International License.",
+    # header notices as the licenses themselves give them
+    **{f"{name}-header": f"{what} is free software{sep} you can redistribute it and/or modify it under the terms of the GNU {kind}General "
+       f"Public License as published by the Free Software Foundation{sep2} either version {version} of the License, or (at your "
+       "option) any later version."
+       for name, what, sep, kind, sep2, version in (
+           ("GPL-2.0", "This program", ";", "", ";", "2"), ("GPL-3.0", "This program", ":", "", ",", "3"),
+           ("LGPL-2.1", "This library", ";", "Lesser ", ";", "2.1"), ("LGPL-3.0", "This library", ":", "Lesser ", ",", "3"),
+           ("AGPL-3.0", "This program", ":", "Affero ", ",", "3"))},
+    "GPL-2.0-only-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    "General Public License version 2 as published by the Free Software Foundation.",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions",
+    "BSL-1.0-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+    "and accompanying documentation covered by this license",
+    "BSD-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC0-1.0-dedication": "The person who associated a work with this deed has dedicated the work to the public domain by waiving all "
+    "of his or her rights to the work worldwide under copyright law",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+    "2.0 which is available at",
+    "OFL-1.1-header": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    # titles that full texts open with
+    "GPL-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2.1-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0-text": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004",
+    "MPL-2.0-text": "Mozilla Public License Version 2.0 1. Definitions",
+    "EPL-2.0-text": "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE",
+    "BSL-1.0-text": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "OFL-1.1-text": "SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007",
+    "CC0-1.0-text": "Creative Commons Legal Code CC0 1.0 Universal",
+    **{f"CC-{short}-4.0-text": f"Creative Commons {long} 4.0 International Public License" for short, long in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
 }
+#: SPDX lines; the identifiers of an expression are looked up here too.
+SPDX_LINES = {f"{name}-spdx": f"SPDX-License-Identifier: {name}" for name in (
+    "MIT MIT-0 Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD ISC Zlib BSL-1.0 MPL-2.0 EPL-2.0 EUPL-1.2 OFL-1.1 Unlicense CC0-1.0 "
+    "WTFPL Artistic-2.0 PostgreSQL CC-BY-4.0 CC-BY-SA-4.0 CC-BY-ND-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 "
+    "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later").split()}
 # Single words, as a notice may be wrapped between any two.
-_MENTION = re.compile(r"(?i)licen[sc]|copyright|redistribution|permission|creative[\W_]+commons|spdx")
+_MENTION = re.compile(r"(?i)licen[sc]|copyright|redistribution|permission|creative[\W_]+commons|spdx|public[\W_]+domain|unencumbered")
 #: A word: from its first to its last letter or digit, so quotes and comment signs are left out.
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 _BROKEN = re.compile(r"-\r?\n[\W_]*")
@@ -143,19 +206,44 @@ def run_start(template: list[str], words: list[str], end: int, changes: int) ->
     return end - min(found, key=lambda k: abs(k - n))
 
 
+_SPDX = "spdx-license-identifier"
+
+
+def spdx_identifiers(words: list[str]) -> list[tuple[int, int]]:
+    """Per SPDX line, the line's word and each identifier's in its expression, exceptions left out."""
+    out = []
+    for i, w in enumerate(words):
+        j = i + 1
+        while w == _SPDX and j < len(words):
+            out.append((i, j))
+            if words[j + 1 : j + 2] == ["with"]:
+                j += 2
+            if words[j + 1 : j + 2] not in (["or"], ["and"]):
+                break
+            j += 2
+    return out
+
+
 def find_matches(words: list[str], templates: dict[str, list[str]], most_changes: float) -> list[tuple[int, int, str, int]]:
     """(start, end, license, words changed) of runs that do not overlap.
 
     Every template is compared at every place. Of overlapping runs the one with the smaller
-    share of changes stays, then that of the longer template.
+    share of changes stays, then that of the longer template. The further identifiers of an SPDX
+    line are matches of their own, each one word long.
     """
-    near, seen = [], set(words)
+    near, seen, taken, out = [], set(words), bytearray(len(words)), []
+    if _SPDX in seen:
+        named = {t[1]: name for name, t in templates.items() if len(t) == 2 and t[0] == _SPDX}
+        for i, j in spdx_identifiers(words):
+            if words[j] in named:
+                start = i if j == i + 1 else j
+                taken[start : j + 1] = b"\1" * (j + 1 - start)
+                out.append((start, j + 1, named[words[j]], 0))
     for name, t in templates.items():
         most = math.floor(most_changes * len(t) + 1e-9)
         # a run holds all words of the template but those changed
         if t and sum(w in seen for w in t) >= len(t) - most:
             near += [(c / len(t), -len(t), j, name, c) for j, c in enumerate(changes_by_end(t, words), 1) if c <= most]
-    taken, out = bytearray(len(words)), []
     for _, _, end, name, changes in sorted(near):
         if not taken[end - 1]:
             start = run_start(templates[name], words, end, changes)
@@ -167,6 +255,8 @@ def find_matches(words: list[str], templates: dict[str, list[str]], most_changes
 
 def scan_text(text: str | None, templates: dict[str, str], most_changes: float) -> list[tuple]:
     """(start, end, license, share saved, words changed, template words) of each match."""
+    if not _MENTION.search(text or ""):
+        return []
     out = []
     held = {name: words_of(t) for name, t in templates.items()}
     reach = max((math.ceil(len(t) * (1 + most_changes)) for t in held.values()), default=0)
@@ -180,7 +270,7 @@ def scan_text(text: str | None, templates: dict[str, str], most_changes: float)
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, most_changes: float = 0.2) -> DataFrame:
     """Per match: doc_id, start, end, license, saved, n_changes, n_template, exact."""
-    held = dict(templates or TEMPLATES)
+    held = dict(templates or TEMPLATES | SPDX_LINES)
 
     def make():
         return lambda doc_id, text: [

@@ -458,6 +458,28 @@ def test_wrapped_notices_are_found(width, prefix):
         assert [(r[2], r[4]) for r in got] == [(name, 0)], (name, text)
 
 
+@pytest.mark.parametrize("text, names", [
+    ("/* This file is part of Foo.\n *\n * Foo is free software: you can redistribute it and/or modify\n * it under the terms of the GNU "
+     "General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) "
+     "any later version.\n */", ["GPL-3.0-header"]),
+    ("; This program is free software; you can redistribute it and/or\n; modify it under the terms of the GNU General Public License\n; as "
+     "published by the Free Software Foundation; either version 2\n; of the License, or (at your option) any later version.", ["GPL-2.0-header"]),
+    ("    This server is free software: you can redistribute it and/or modify\n    it under the terms of the GNU Affero General Public License as "
+     "published by\n    the Free Software Foundation, either version 3 of the License, or\n    any later version.", ["AGPL-3.0-header"]),
+    ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause\n#include <x.h>", ["GPL-2.0-only-spdx", "BSD-3-Clause-spdx"]),
+    ("<!-- SPDX-License-Identifier: MIT -->", ["MIT-spdx"]),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Everyone", ["GPL-2.0-text"]),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n   http://www.apache.org/", ["Apache-2.0-text"]),
+    ("The library is released under the BSD license.", ["BSD"]), ("Photos are licensed under CC BY-ND 4.0, ask us.", ["CC-BY-ND-4.0"]),
+    ("This is free and unencumbered software released into the\npublic domain.", ["Unlicense"]),
+    ("Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the "
+     "above\ncopyright notice and this permission notice appear in all copies.", ["ISC-grant"]),
+    ("He has a driving license and holds the copyright; spdx is a word.", []),
+])
+def test_real_wordings(text, names):
+    assert [r[2] for r in license_scan.scan_text(text, license_scan.TEMPLATES | license_scan.SPDX_LINES, 0.2)] == names
+
+
 # -- token files --------------------------------------------------------------------------------
 
 
