@@ -2,7 +2,8 @@
 
 Pattern spans (e-mail, IP address, card and phone number) are found leftmost and
 non-overlapping per kind and always stay. The CRF labels the tokens that hold a digit or an
-``@``; every other token is fixed to "none", which cuts the chain into short runs. Factors:
+``@``, a number written over several tokens as one; every other token is fixed to "none", which
+cuts the chain into short runs. Factors:
 
 * a unary factor per token from its shape, fitted by multinomial logistic regression,
 * a chain factor between neighbouring such tokens,
@@ -100,6 +101,82 @@ def candidate_tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+# Digit groups joined over single separators, a bracket also with a space.
+_GROUPS = re.compile(r"[0-9]+(?:(?:[\x20.-]|\)[\x20.-]?|[\x20.-]?\()[0-9]+)+")
+_DIGITS = re.compile(r"[0-9]+")
+LEAST_DIGITS, MOST_DIGITS = 7, 19
+
+
+def digits_of(text: str) -> str:
+    return "".join(_DIGITS.findall(text))
+
+
+def repeated_groups(text: str, a: int, b: int, known: set[str]) -> list[tuple[int, int]]:
+    """Spans of whole digit groups in a run, over white space, whose digits are known; the longest first from the left."""
+    groups = [m.span() for m in _DIGITS.finditer(text, a, b)]
+    out, i = [], 0
+    while i < len(groups):
+        digits, best = "", i
+        for j in range(i, len(groups)):
+            if len(digits) + groups[j][1] - groups[j][0] > MOST_DIGITS:
+                break
+            digits += text[groups[j][0] : groups[j][1]]
+            if j > i and (digits in known or digits.lstrip("0") in known):
+                best = j
+        if best > i:
+            start = groups[i][0]
+            start -= start > 0 and text[start - 1] == "("
+            if " " in text[start : groups[best][1]]:
+                out.append((start, groups[best][1]))
+        i = best + 1
+    return out
+
+
+def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """Tokens with a digit or an @; numbers written over several tokens are one candidate.
+
+    These are the recognised card and phone numbers, and runs of digit groups whose digits equal
+    the end (seven digits and more) of a recognised number or of a token elsewhere.
+    """
+    tokens = candidate_tokens(text)
+    wide, end = [], 0
+    for a, b in sorted(base["card"] + base["phone"]):
+        if a >= end:
+            wide.append((a, b))
+            end = b
+    known = set()
+    for a, b in wide + [t for t in tokens if t[1] - t[0] >= LEAST_DIGITS]:
+        if b - a <= 4 * MOST_DIGITS and LEAST_DIGITS <= len(d := digits_of(text[a:b])) <= MOST_DIGITS:
+            known.update(d[k:] for k in range(len(d) - LEAST_DIGITS + 1))
+    if known:
+        taken = iter([*wide, (len(text) + 1, len(text) + 1)])
+        x, y = next(taken)
+        for m in _GROUPS.finditer(text):
+            if " " not in m[0]:
+                continue
+            parts, at = [], m.start()
+            while x < m.end():  # the run without the recognised numbers in it
+                parts.append((at, x))
+                at = max(at, y)
+                if y > m.end():
+                    break
+                x, y = next(taken)
+            parts.append((at, m.end()))
+            for a, b in parts:
+                if a < b:
+                    wide += repeated_groups(text, a, b, known)
+    wide = sorted(s for s in wide if " " in text[s[0] : s[1]])
+    if not wide:
+        return tokens
+    out, i = [], 0
+    for a, b in tokens:
+        while i < len(wide) and wide[i][1] <= a:
+            i += 1
+        if i == len(wide) or b <= wide[i][0]:
+            out.append((a, b))
+    return sorted(out + wide)
+
+
 FEATURES = 20
 
 
@@ -107,6 +184,10 @@ def token_features(token: str) -> list[float]:
     """Shape of a token: lengths, digits, separators."""
     core = token.strip(".,;:!?\"'()[]")
     digits = sum("0" <= ch <= "9" for ch in core)
+    if digits >= LEAST_DIGITS and len(core) <= 4 * MOST_DIGITS and _GROUPS.fullmatch(core):
+        groups = _DIGITS.findall(core)
+        if len(groups) > 2 and not (len(groups) == 4 and core.count(".") == 3):  # separators of a number are alike
+            core = "-".join(groups)
     letters = sum(ch.isalpha() for ch in core)
     parts = core.split(".")
     return [
@@ -203,7 +284,7 @@ def label_text(text: str | None, crf: SkipChainCRF, least: float = 0.9):
     """(pattern spans by kind, added spans): spans are (kind, start, end)."""
     text = text or ""
     base = pattern_spans(text)
-    tokens = candidate_tokens(text)
+    tokens = candidates(text, base)
     fixed = _fixed(tokens, base)
     free = fixed < 0
     if not free.any():
@@ -233,10 +314,11 @@ def fit_crf(texts: list[str], steps: int = 300, penalty: float = 1e-3) -> SkipCh
     x, y = [np.zeros((0, FEATURES))], [np.zeros(0, np.int64)]
     pairs = {"chain": np.ones((k, k)), "skip": np.ones((k, k))}
     for text in texts:
-        tokens = candidate_tokens(text)
+        base = pattern_spans(text)
+        tokens = candidates(text, base)
         if not tokens:
             continue
-        label = np.maximum(_fixed(tokens, pattern_spans(text)), 0)
+        label = np.maximum(_fixed(tokens, base), 0)
         x.append(np.array([token_features(text[a:b]) for a, b in tokens]))
         y.append(label)
         for name, links in zip(pairs, _graph(text, tokens)):

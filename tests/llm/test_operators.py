@@ -372,6 +372,23 @@ def test_skip_links_find_the_repeated_number():
     assert pii_crf.label_text("page 12 of 40 and 2.0. then 1999", crf)[1] == []
 
 
+@pytest.mark.parametrize("again", ["555 010 2233", "555.010.2233", "(555) 010 2233", "(555)010-2233", "(555) 010.2233"])
+def test_skip_links_find_other_separators(again):
+    shown = ["call +1 (555) 010-%04d now or 4.5 ok 7 of 12" % i for i in range(60)]
+    crf = pii_crf.fit_crf(shown + ["mail a%d@mail.example.com please" % i for i in range(60)])
+    for text in (f"call +1 (555) 010-2233 first. Later she wrote {again} again, page 12 of 40.",
+                 f"She wrote {again} before, page 12 of 40, then call +1 555-010-2233 now."):
+        assert [(k, text[a:b]) for k, a, b in pii_crf.label_text(text, crf)[1]] == [("phone", again)]
+    assert pii_crf.label_text("call +1 (555) 010-2233 then 555 010 9944 or 12 40 1999", crf)[1] == []
+
+
+def test_numbers_over_several_tokens_are_one_candidate():
+    text = "pay 4111 1111 1111 1111 now, x 12 4111 1111.1111-1111 40"
+    base = pii_crf.pattern_spans(text[:28])
+    got = [text[a:b] for a, b in pii_crf.candidates(text, base)]
+    assert got == ["4111 1111 1111 1111", "12", "4111 1111.1111-1111", "40"]
+
+
 def test_personal_data_edges(edges, none):
     crf = pii_crf.train_crf(edges)
     rows = pii_crf.find_personal_data(edges, crf).collect()
