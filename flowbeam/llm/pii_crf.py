@@ -10,8 +10,9 @@ cuts the chain into short runs. Factors:
 * a skip factor between tokens with the same key (the last seven digits, or the lower-cased
   token), each linked to the key's previous place, so a key found n times costs n - 1 links.
 
-Labels for the fit are the pattern spans on a bounded sample of documents; chain and skip
-factors are log odds of label pairs counted there (piecewise training). Tokens inside pattern
+Labels for the fit are the pattern spans of all documents; shapes with their labels, and label
+pairs, are counted over whole texts, and chain and skip factors are log odds of these pairs
+(piecewise training). Tokens inside pattern
 spans are fixed to their kind. Loopy belief propagation (sum-product) passes messages over both
 kinds of links; a free token becomes a span when its belief in a kind is at least ``least``,
 so a number that a pattern recognised in one place is found where it is written differently.
@@ -24,13 +25,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flowbeam.llm.frames import map_rows
+from flowbeam.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -181,7 +188,7 @@ FEATURES = 20
 
 
 def token_features(token: str) -> list[float]:
-    """Shape of a token: lengths, digits, separators."""
+    """Shape of a token: lengths, digits, separators; shares in sixteenths, so that distinct shapes are few."""
     core = token.strip(".,;:!?\"'()[]")
     digits = sum("0" <= ch <= "9" for ch in core)
     if digits >= LEAST_DIGITS and len(core) <= 4 * MOST_DIGITS and _GROUPS.fullmatch(core):
@@ -191,7 +198,7 @@ def token_features(token: str) -> list[float]:
     letters = sum(ch.isalpha() for ch in core)
     parts = core.split(".")
     return [
-        1.0, digits / max(len(core), 1), letters / max(len(core), 1), float(digits == len(core)),
+        1.0, round(16 * digits / max(len(core), 1)) / 16, round(16 * letters / max(len(core), 1)) / 16, float(digits == len(core)),
         float(digits <= 2), float(3 <= digits <= 4), float(5 <= digits <= 8), float(9 <= digits <= 12),
         float(13 <= digits <= 19), float(digits > 19), float("@" in core[1:-1]),
         float("@" in core and "." in core.rpartition("@")[2]), float(core.startswith("+")),
@@ -308,33 +315,44 @@ def label_text(text: str | None, crf: SkipChainCRF, least: float = 0.9):
     return base, added
 
 
-def fit_crf(texts: list[str], steps: int = 300, penalty: float = 1e-3) -> SkipChainCRF:
-    """Fit on texts whose pattern spans serve as labels; all other candidate tokens are "none"."""
+def count_text(text: str, counts: Counter) -> None:
+    """Add a whole text's statistics: (shape, label) of candidates, label pairs of chain and skip links."""
+    base = pattern_spans(text)
+    tokens = candidates(text, base)
+    if not tokens:
+        return
+    label = np.maximum(_fixed(tokens, base), 0)
+    counts.update(("unary", np.array(token_features(text[a:b])).tobytes(), x) for (a, b), x in zip(tokens, label.tolist()))
+    for name, links in zip(("chain", "skip"), _graph(text, tokens)):
+        counts.update((name, b"", p) for p in (label[links[:, 0]] * len(LABELS) + label[links[:, 1]]).tolist())
+
+
+def fit_counts(counts: dict[tuple[str, bytes, int], int], steps: int = 300, penalty: float = 1e-3) -> SkipChainCRF:
+    """Fit on the totals of ``count_text``. A kind that occurs weighs a hundredth of the candidates at least."""
     k = len(LABELS)
-    x, y = [np.zeros((0, FEATURES))], [np.zeros(0, np.int64)]
     pairs = {"chain": np.ones((k, k)), "skip": np.ones((k, k))}
-    for text in texts:
-        base = pattern_spans(text)
-        tokens = candidates(text, base)
-        if not tokens:
-            continue
-        label = np.maximum(_fixed(tokens, base), 0)
-        x.append(np.array([token_features(text[a:b]) for a, b in tokens]))
-        y.append(label)
-        for name, links in zip(pairs, _graph(text, tokens)):
-            np.add.at(pairs[name], (label[links[:, 0]], label[links[:, 1]]), 1)
-            np.add.at(pairs[name], (label[links[:, 1]], label[links[:, 0]]), 1)
-    xs, ys = np.concatenate(x), np.concatenate(y)
+    shapes: dict[bytes, np.ndarray] = {}
+    for (name, shape, label), n in sorted(counts.items()):
+        if name == "unary":
+            shapes.setdefault(shape, np.zeros(k))[label] += n
+        else:
+            i, j = divmod(label, k)
+            pairs[name][i, j] += n
+            pairs[name][j, i] += n
     w = np.zeros((FEATURES, k))
-    if len(ys):
-        onehot = np.eye(k)[ys]
-        rate = 2.0 / (1e-9 + np.linalg.eigvalsh(xs.T @ xs / len(xs))[-1] + penalty)
+    if shapes:
+        xs, ys = np.array([np.frombuffer(x) for x in shapes]), np.array(list(shapes.values()))
+        share = ys.sum(axis=0) / ys.sum()
+        ys = ys / ys.sum() * np.maximum(0.01 / np.where(share > 0, share, 1), 1)
+        ys /= ys.sum()
+        weight = ys.sum(axis=1, keepdims=True)
+        rate = 2.0 / (1e-9 + np.linalg.eigvalsh(xs.T @ (xs * weight))[-1] + penalty)
         for _ in range(steps):
             z = xs @ w
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
-            w -= rate * (xs.T @ (p - onehot) / len(xs) + penalty * w)
+            w -= rate * (xs.T @ (p * weight - ys) + penalty * w)
     else:
         w[0, 0] = 5.0
 
@@ -347,26 +365,43 @@ def fit_crf(texts: list[str], steps: int = 300, penalty: float = 1e-3) -> SkipCh
     return SkipChainCRF(w, odds(pairs["chain"]), skip)
 
 
-def train_crf(docs: DataFrame, sample: int = 2_000) -> SkipChainCRF:
-    """Fit on at most ``sample`` documents that hold a digit or an @, by hash of id and text."""
-    held = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    h = F.xxhash64("doc_id", "text")
-    ids = held.select(h.alias("h")).distinct().orderBy("h").limit(sample)
-    # texts are cut to the neighbourhood that training looks at, so the driver's share is bounded
-    rows = held.withColumn("h", h).join(F.broadcast(ids), "h").dropDuplicates(["h"]).select("h", "text")
-    near = map_rows(rows, ["h", "text"], lambda: lambda h_, t: (h_, _excerpt(t)), "h long, text string")
-    return fit_crf([r["text"] for r in near.orderBy("h").limit(sample).collect()])
-
-
-def _excerpt(text: str, tokens: int = 200) -> str:
-    """The first candidate tokens, with a word between those that are not neighbours."""
-    out, last = [], None
-    for a, b in candidate_tokens(text)[:tokens]:
-        if last is not None:
-            out.append(" " if not text[last:a].strip() and a - last <= 2 else " ~ ")
-        out.append(text[a:b][:200])
-        last = b
-    return "".join(out)
+def fit_crf(texts: list[str], steps: int = 300, penalty: float = 1e-3) -> SkipChainCRF:
+    """Fit on texts whose pattern spans serve as labels; all other candidate tokens are "none"."""
+    counts: Counter = Counter()
+    for text in texts:
+        count_text(text, counts)
+    return fit_counts(counts, steps, penalty)
+
+
+#: Distinct statistics that a task holds before it sends them on.
+HELD_COUNTS = 100_000
+
+
+def train_crf(docs: DataFrame) -> SkipChainCRF:
+    """Fit on the statistics of all whole texts, counted in tasks and added up in Spark."""
+    ship_package(docs.sparkSession)
+    kind = T._parse_datatype_string("name string, shape binary, label int, n long")
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def held():
+            rows = [(*key, n) for key, n in counts.items()]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+        for batch in batches:
+            for text in batch.column(0):
+                count_text(text.as_py() or "", counts)
+                if len(counts) >= HELD_COUNTS:
+                    yield held()
+        if counts:
+            yield held()
+
+    # shapes are discrete, so what reaches the driver does not grow with the documents
+    totals = docs.filter(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(run, kind).groupBy("name", "shape", "label").agg(F.sum("n").alias("n"))
+    return fit_counts({(r["name"], bytes(r["shape"]), r["label"]): r["n"] for r in totals.toLocalIterator()})
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -389,6 +389,18 @@ def test_numbers_over_several_tokens_are_one_candidate():
     assert got == ["4111 1111 1111 1111", "12", "4111 1111.1111-1111", "40"]
 
 
+def test_training_counts_whole_texts_of_all_documents(spark):
+    # the repeat comes after more than 200 other tokens, and one document of 2,100 has the only address
+    late = " ".join(f"n{i} and" for i in range(400)) + " call +1 555-010-2233 or +1 (555) 010-2233 now"
+    rows = [(i, "page 12 of 40", "en", "a") for i in range(2100)] + [(5000, "x 10.20.30.40 y", "en", "a"), (5001, late, "en", "a")]
+    crf, same = pii_crf.train_crf(docs_of(spark, rows)), pii_crf.fit_crf([r[1] for r in rows])
+    assert np.allclose(crf.unary, same.unary) and np.allclose(crf.skip, same.skip) and np.allclose(crf.chain, same.chain)
+    without = pii_crf.fit_crf([r[1] for r in rows[:2100]])
+    assert crf.skip[-1, 0] < without.skip[-1, 0]  # a link of two phone numbers was counted
+    shape = np.array(pii_crf.token_features("10.20.30.41"))
+    assert (shape @ crf.unary).argmax() == pii_crf.LABELS.index("ip") != (shape @ without.unary).argmax()
+
+
 def test_personal_data_edges(edges, none):
     crf = pii_crf.train_crf(edges)
     rows = pii_crf.find_personal_data(edges, crf).collect()
