@@ -154,15 +154,37 @@ def _blocks(kind: str, level: int, columns, counts, shard: np.ndarray) -> Iterat
     names, starts = np.unique(shard[order], return_index=True)
     for s, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
         at = order[a:b]
-        yield (kind, level, int(s), b"".join(len(p := _pack(c[at])).to_bytes(8, "little") + p for c in columns), _pack(counts[at]))
+        yield (kind, level, int(s), _encode([c[at] for c in columns]), _pack(counts[at]))
+
+
+def _encode(columns: list[np.ndarray]) -> bytes:
+    """Packed columns; several share a table of their words, the most frequent first, and hold places in it by byte."""
+    parts = columns
+    if len(columns) > 1:
+        words, at, n = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+        by_count = np.argsort(-n, kind="stable")
+        place = np.empty(len(words), "<u4")
+        place[by_count] = np.arange(len(words))
+        width = 2 if len(words) <= 1 << 16 else 4
+        places = place[at].view(np.uint8).reshape(-1, 4)[:, :width]
+        size = len(columns[0])
+        parts = [words[by_count], *(places[i * size : (i + 1) * size].T for i in range(len(columns)))]
+    return len(columns).to_bytes(8, "little") + b"".join(len(p := _pack(c)).to_bytes(8, "little") + p for c in parts)
 
 
 def _columns(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    parts, at = [], 8
     while at < len(data):
         n = int.from_bytes(data[at : at + 8], "little")
-        out.append(_unpack(data[at + 8 : at + 8 + n], "<u8"))
+        parts.append(data[at + 8 : at + 8 + n])
         at += 8 + n
+    words = _unpack(parts[0], "<u8")
+    if int.from_bytes(data[:8], "little") == 1:
+        return [words]
+    width, out = 2 if len(words) <= 1 << 16 else 4, []
+    for part in parts[1:]:
+        planes = _unpack(part, "u1").reshape(width, -1)
+        out.append(words[sum(planes[i].astype(np.uint32) << np.uint32(8 * i) for i in range(width))])
     return out
 
 
@@ -195,6 +217,11 @@ def _batches(rows: Iterable[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch
 _ARROW = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("columns", pa.binary()), ("counts", pa.binary())])
 
 
+def _sums_kind(level: int) -> str:
+    """How a context's totals are stored: longer contexts are many, with small totals."""
+    return "<f8" if level < 3 else "<f4"
+
+
 def _merge(pdf: pd.DataFrame, folder: str, shards: int) -> pd.DataFrame:
     """Merge one shard's blocks, write its arrays, and return parts of what follows from them."""
     kind, level, shard = pdf["kind"].iloc[0], int(pdf["level"].iloc[0]), int(pdf["shard"].iloc[0])
@@ -207,7 +234,7 @@ def _merge(pdf: pd.DataFrame, folder: str, shards: int) -> pd.DataFrame:
         keys, at = np.unique(columns[0], return_inverse=True)
         sums = np.zeros((len(keys), 4), np.float64)
         np.add.at(sums, at, counts)
-        write_arrays(folder, f"C{level}-{shard}", [keys.astype("<u8"), *(c.astype("<f8") for c in sums.T)])
+        write_arrays(folder, f"C{level}-{shard}", [keys.astype("<u8"), *(c.astype(_sums_kind(level)) for c in sums.T)])
     else:
         columns, counts = _grouped(columns, counts[:, 0])
         key = columns[0] if len(columns) == 1 else _key(columns)
@@ -284,7 +311,7 @@ class KneserNey:
             else:
                 context = _key(grams[:-1])
                 names, at = np.unique(context, return_inverse=True)
-                stats = self._lookup(f"C{level}", ["<u8", *["<f8"] * 4], names, _shard(None, names, self.shards))
+                stats = self._lookup(f"C{level}", ["<u8", *[_sums_kind(level)] * 4], names, _shard(None, names, self.shards))
                 total, *seen = (s[at] for s in stats)
                 shard = _shard(context, grams[-1], self.shards)
             count = self._lookup(f"L{level}", ["<u8", "<f8" if level < 2 else "<f4"], distinct, shard)[0]

@@ -51,7 +51,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return kn_lm.score(docs, kn_lm.train(docs, order=2))
+    return kn_lm.score(docs, kn_lm.train(docs, order=3))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

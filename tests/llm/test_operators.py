@@ -21,6 +21,7 @@ from flowbeam.llm import (
     orc_tokens,
     pii_crf,
     quality_rules,
+    queries,
     rule_quality,
     secrets,
     stats,
@@ -437,6 +438,26 @@ def test_rule_ensemble_edges(edges, labels, none):
     assert rule_quality.score_quality(none, rule_quality.fit_quality(edges, labels)).count() == 0
 
 
+# -- blocks of the language model -----------------------------------------------------------------
+
+
+def test_blocks_keep_their_columns():
+    rng = np.random.default_rng(2)
+    for words, size, n in ((50, 1000, 3), (50, 0, 2), (1 << 18, 100_000, 3), (9, 40, 1)):
+        table = rng.integers(0, 1 << 63, words).astype("<u8")
+        columns = [table[rng.integers(0, words, size)] for _ in range(n)]
+        assert all(np.array_equal(a, b) for a, b in zip(columns, kn_lm._columns(kn_lm._encode(columns)), strict=True))
+
+
+def test_registered_model_has_two_words_of_context(monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "table", lambda *_: None)
+    monkeypatch.setattr(kn_lm, "train", lambda docs, order=2: seen.append(order))
+    monkeypatch.setattr(kn_lm, "score", lambda docs, model: docs)
+    queries.op6_language_model(None, "")
+    assert seen == [3]
+
+
 # -- licenses -----------------------------------------------------------------------------------
 
 
