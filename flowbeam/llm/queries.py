@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowbeam.llm import (
     decontam,
     kn_lm,
     license_scan,
+    line_dedup,
     mixing,
     near_dedup,
     orc_tokens,
@@ -75,11 +77,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.with_starts(orc_tokens.token_digests(tokens), tokens.select("row_no", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_decontamination, op3_mixing, op4_quality_rules, op5_near_duplicates,
         op6_language_model, op7_personal_data, op8_quality_classifier, op9_licenses, op10_token_files,
+        op11_line_dedup,
     )
 }
 
@@ -103,4 +112,13 @@ with d as ({_five_word_sets('documents', 'doc_id')}),
      n as (select item_id, count(*) as n_item from q group by 1),
      c as (select doc_id, item_id, count(*) as n_common from d join q using (sh) group by 1, 2)
 select doc_id, item_id, n_item, n_common from c join n using (item_id) where n_common >= 0.8 * n_item""",
+    "op11_line_dedup": f"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+     k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_AZ}', '{_AZ.lower()}') as key from l),
+     f as (select key, min(doc_id) as first from k where length(key) >= 10 group by key),
+     j as (select k.doc_id, k.pos, k.line, coalesce(k.doc_id > f.first, false) as gone from k left join f using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from j group by doc_id""",
 }
