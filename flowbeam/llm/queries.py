@@ -20,6 +20,7 @@ from flowbeam.llm import (
     quality_rules,
     rule_quality,
     secrets,
+    whitening,
 )
 from flowbeam.session import scratch_path
 
@@ -83,12 +84,17 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_decontamination, op3_mixing, op4_quality_rules, op5_near_duplicates,
         op6_language_model, op7_personal_data, op8_quality_classifier, op9_licenses, op10_token_files,
-        op11_line_dedup,
+        op11_line_dedup, op12_whitening,
     )
 }
 
