@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowbeam.llm import (
@@ -16,6 +16,7 @@ from flowbeam.llm import (
     mixing,
     near_dedup,
     orc_tokens,
+    periodic,
     pii_crf,
     quality_rules,
     rule_quality,
@@ -89,12 +90,40 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit_whitening(vectors))
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in texts that the hash of the doc_id picks, a tail repeats its first words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        first = (g % n).cast("int")
+        period = (1 + F.floor((n - first) / (3 + g % 8))).cast("int")
+        place = lambda i: F.when(i >= first, first + (i - first) % period).otherwise(i)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
+    # as a lambda's variable the words are split once, not once a word
+    tail = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(tail, F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", periodic.longest_run(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(periodic.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_decontamination, op3_mixing, op4_quality_rules, op5_near_duplicates,
         op6_language_model, op7_personal_data, op8_quality_classifier, op9_licenses, op10_token_files,
-        op11_line_dedup, op12_whitening,
+        op11_line_dedup, op12_whitening, op13_periodic_runs,
     )
 }
 
