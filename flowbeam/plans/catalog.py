@@ -391,6 +391,22 @@ def keyed_ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_keyed(spark, path)
 
 
+@register("keyed_compacted", ORACLE_SQL["keyed_upsert_backfill"])
+def keyed_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two named batches, the first offered again, merged into one version; then the second again."""
+    from flowbeam.sinks.keyed import compact_keyed, drop_old_versions, update_keyed
+    from flowbeam.sources.keyed import read_keyed
+
+    flows, path = flows_view(spark, sf_dir), scratch_path(spark, "keyed-table")
+    first, later = (flows.filter(F.col("time_ms") >= BACKFILL_SPLIT_MS), "new"), (flows.filter(F.col("time_ms") < BACKFILL_SPLIT_MS), "old")
+    for batch, token in (first, later, first):
+        update_keyed(batch, path, tie_breakers=ORDER_KEYS, token=token)
+    compact_keyed(spark, path)
+    drop_old_versions(spark, path)
+    update_keyed(later[0], path, tie_breakers=ORDER_KEYS, token=later[1])
+    return read_keyed(spark, path)
+
+
 # -- K5, K6, S9, T3, A4 (stored result sets) -------------------------------------------------
 
 PAGE_OFFSET, PAGE_LIMIT = 10, 25
@@ -426,6 +442,23 @@ def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results_page(spark, root, "job-count", PAGE_OFFSET, PAGE_LIMIT)
 
 
+@register("result_rewrite", ORACLE_SQL["result_page"])
+def result_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result whose rewrite fails half-way is still there."""
+    from pyspark.errors import PySparkException
+
+    from flowbeam.sinks.results import results_page, write_results
+
+    root = _store_count_job(spark, sf_dir)
+    rows = project.to_display(flows_view(spark, sf_dir, keep_keys=False))
+    broken = F.when(F.col("bytes") > 0, F.raise_error(F.lit("broken off")).cast("long")).otherwise(F.col("bytes"))
+    try:
+        write_results(rows.withColumn("bytes", broken), root, "job-count")
+    except PySparkException:
+        pass
+    return results_page(spark, root, "job-count", PAGE_OFFSET, PAGE_LIMIT)
+
+
 _JSON_SQL = ", ".join(
     f"'{c}', \"{c}\"" for c in ("srcAddress", "dstAddress", "srcPort", "dstPort", "time", "duration", "protocol", "bytes", "packets")
 )
@@ -527,17 +560,22 @@ def v5_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CAPTURE_SQL = with_flows(f"select {_FLOW_COLS} from flows where dayofweek(epoch_ms(time_ms)) <> 0")
 
 
-def _write_captures(spark: SparkSession, sf_dir: str, parts: int = 1) -> list[str]:
-    """Landing folders of capture files; with ``parts`` the orders are dealt over several."""
+def _capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One v5 packet (or more, over 30 flows) per (order, day); those of a Sunday travel by TCP."""
     from flowbeam.operators.encode import encode_v5
-    from flowbeam.sinks.capture import write_capture_files
 
     flows = flows_view(spark, sf_dir).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
     sunday = F.dayofweek(F.date_from_unix_date(F.col("_day").cast("int"))) == 1  # Spark: Sunday = 1
-    packets = encode_v5(flows, packet_by=["l_orderkey", "_day"]).withColumn(
+    return encode_v5(flows, packet_by=["l_orderkey", "_day"]).withColumn(
         "transport", F.when(sunday, "tcp").otherwise("udp")
     )
-    landings = []
+
+
+def _write_captures(spark: SparkSession, sf_dir: str, parts: int = 1) -> list[str]:
+    """Landing folders of capture files; with ``parts`` the orders are dealt over several."""
+    from flowbeam.sinks.capture import write_capture_files
+
+    packets, landings = _capture_packets(spark, sf_dir), []
     for part in range(parts):
         landings.append(scratch_path(spark, "captures"))
         write_capture_files(packets.filter(F.col("l_orderkey") % parts == part), landings[-1])
@@ -571,10 +609,107 @@ def capture_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(rejects_path).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("packets"))
 
 
-def _stream(spark: SparkSession, landing: str, flows_path: str, rejects_path: str) -> None:
+@register("capture_ranges", _CAPTURE_SQL)
+def capture_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large capture files, each read by many tasks in ranges of 64 KB."""
+    from flowbeam.plans.ingest import decode_frames
+    from flowbeam.sinks.capture import write_capture_files
+    from flowbeam.sources.capture import frames_from_files, scan_files
+
+    landing = scratch_path(spark, "large-captures")
+    write_capture_files(_capture_packets(spark, sf_dir), landing, frames_per_file=1 << 30)
+    flows, _ = decode_frames(frames_from_files(scan_files(spark, landing), range_bytes=1 << 16))
+    return flows.select(*FLOW_COLUMNS)
+
+
+_SPOILT = {0: "udp", 1: "tcp", 2: "ipv6", 3: "ip_header", 4: "fragment", 5: "cut"}
+
+
+@register(
+    "frame_rejects",
+    with_flows(
+        """, pk as (select l_orderkey % 7 as r, count(*) as n from (
+  select distinct l_orderkey, time_ms // 86400000 as d from flows) group by 1)
+select case r when 0 then 'ok' when 1 then 'not_udp' when 2 then 'not_ipv4' when 3 then 'bad_ip_header'
+         when 4 then 'fragment' when 5 then 'truncated_frame' else 'unsupported_link' end as outcome,
+       n as frames from pk"""
+    ),
+)
+def frame_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames spoilt by the order's key in each way that the reader tells apart."""
+    from flowbeam.sinks.capture import write_capture_files
+    from flowbeam.sources.capture import frames_from_files, scan_files
+
+    packets, rule, landing = _capture_packets(spark, sf_dir), F.col("l_orderkey") % 7, scratch_path(spark, "spoilt-captures")
+    spoilt = F.element_at(F.create_map(*[F.lit(x) for pair in _SPOILT.items() for x in pair]), rule.cast("int"))
+    write_capture_files(packets.filter(rule < 6).withColumn("transport", spoilt), f"{landing}/ethernet")
+    write_capture_files(packets.filter(rule == 6).withColumn("transport", F.lit("udp")), f"{landing}/other", link_type=105)
+    frames = frames_from_files(scan_files(spark, landing))
+    return frames.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("frames"))
+
+
+_CAPTURE_DISPLAY_SQL = with_flows(f"select {_DISPLAY_SQL} from flows where dayofweek(epoch_ms(time_ms)) <> 0")
+
+
+@register("drop_folder_ingest", _CAPTURE_DISPLAY_SQL)
+def drop_folder_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder, ingested; its files replaced by the next ones, ingested; and once more as it is."""
+    from flowbeam.plans.ingest import ingest_captures
+    from flowbeam.sinks.capture import write_capture_files
+    from flowbeam.sources.documents import read_documents
+
+    packets, landing = _capture_packets(spark, sf_dir), scratch_path(spark, "drop-folder")
+    docs, rejects_path = scratch_path(spark, "drop-docs"), scratch_path(spark, "drop-rejects")
+    for part in (0, 1):
+        write_capture_files(packets.filter(F.col("l_orderkey") % 2 == part), landing)
+        ingest_captures(spark, landing, docs, rejects_path, "documents")
+    ingest_captures(spark, landing, docs, rejects_path, "documents")
+    return read_documents(spark, docs)
+
+
+@register(
+    "stream_sinks",
+    with_flows(
+        """, f as (select * from flows where dayofweek(epoch_ms(time_ms)) <> 0)
+select 'documents' as mode, count(*) as stored from f
+union all select 'keyed', count(distinct (src_addr, dst_addr)) from f"""
+    ),
+)
+def stream_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files streamed into documents and into a keyed table, each stream run twice."""
+    from flowbeam.sources.documents import read_documents
+    from flowbeam.sources.keyed import read_keyed
+
+    landing, = _write_captures(spark, sf_dir)
+    out = None
+    for mode, read in (("documents", read_documents), ("keyed", read_keyed)):
+        table, rejects_path = scratch_path(spark, f"stream-{mode}"), scratch_path(spark, "stream-rejects")
+        for _ in range(2):
+            _stream(spark, landing, table, rejects_path, mode)
+        row = read(spark, table).agg(F.count(F.lit(1)).alias("stored")).select(F.lit(mode).alias("mode"), "stored")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("compacted_flows", _CAPTURE_SQL)
+def compacted_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of a flow table, rewritten as one that replaces them."""
+    from flowbeam.plans.ingest import ingest_captures
+    from flowbeam.sinks.flows import compact_flows, drop_replaced_batches
+    from flowbeam.sources.flows import read_flows
+
+    flows_path, rejects_path = scratch_path(spark, "compact-flows"), scratch_path(spark, "compact-rejects")
+    for landing in _write_captures(spark, sf_dir, parts=2):
+        ingest_captures(spark, landing, flows_path, rejects_path)
+    compact_flows(spark, flows_path)
+    drop_replaced_batches(spark, flows_path)
+    return read_flows(spark, flows_path).select(*FLOW_COLUMNS)
+
+
+def _stream(spark: SparkSession, landing: str, flows_path: str, rejects_path: str, mode: str = "parquet") -> None:
     from flowbeam.streaming.ingest import start_capture_ingest
 
-    query = start_capture_ingest(spark, landing, flows_path, rejects_path)
+    query = start_capture_ingest(spark, landing, flows_path, rejects_path, mode=mode)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
@@ -647,6 +782,28 @@ def spec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "job_id string, type string, name string, end string, refused boolean")
 
 
+@register(
+    "spec_ids",
+    f"""with s as ({SPECS_SQL})
+select job_id, name, p_end as "end" from s""",
+)
+def spec_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived spec in two batches; batches with a taken or a doubled id are refused whole."""
+    from flowbeam.sinks.specs import append_specs, read_specs
+
+    specs, path = specs_view(spark, sf_dir), scratch_path(spark, "specs")
+    half = F.pmod(F.xxhash64("job_id"), F.lit(2)) == 0
+    append_specs(specs.filter(half), path)
+    for refused in (specs, specs.filter(~half).unionAll(specs.filter(~half))):
+        try:
+            append_specs(refused, path)
+        except ValueError:
+            continue
+        raise RuntimeError("a batch with a taken id was added")
+    append_specs(specs.filter(~half), path)
+    return read_specs(spark, path).select("job_id", "name", F.col("params")["end"].alias("end"))
+
+
 # -- P3, P4, X17 (documents as text and back) ------------------------------------------------
 
 

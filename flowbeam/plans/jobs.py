@@ -1,4 +1,4 @@
-"""End-to-end jobs: what a user of the reference runs, as Spark jobs over flow tables.
+"""End-to-end jobs: what a user runs, as Spark jobs over flow tables.
 
 * ``run_flow_query``   - validate a spec, filter the flow table, store display rows per job.
 * ``run_top_pairs``    - host pairs exchanging the most bytes (all flows, or keyed semantics).
@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from flowbeam.operators import filters, project, spec, toptalk
-from flowbeam.sinks.results import result_count, write_results
+from flowbeam.sinks.results import write_results
 from flowbeam.sources.documents import read_documents
 from flowbeam.sources.flows import load_flows
 from flowbeam.sources.keyed import read_keyed, source_lookup
@@ -23,16 +23,14 @@ def run_flow_query(
 ) -> int:
     """Validate ``job`` (job_id, name, type, params), run it, store its rows; returns the row count.
 
-    The rows are written once and counted from the stored partition (no second pass over
-    the flow table).
+    The rows are counted while they are written (no second pass over the flow table).
     """
     flow_spec = spec.validate_spec(job)
     if flow_spec is None:
         raise ValueError(f"spec {job.get('job_id')!r} is not a flow query")
     flows = load_flows(spark, flows_path, loader)
     rows = project.to_display(filters.flow_query(flows, flow_spec))
-    write_results(rows, results_root, job["job_id"])
-    return result_count(spark, results_root, job["job_id"]).first()["rows"]
+    return write_results(rows, results_root, job["job_id"])
 
 
 def top_pairs_source(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:

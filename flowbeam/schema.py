@@ -62,8 +62,10 @@ KEYED_SCHEMA = T.StructType(
     ]
 )
 
-# The stored keyed table is partitioned by a hash bucket of the source address.
-STORED_KEYED_SCHEMA = T.StructType(KEYED_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())])
+# The stored keyed table is partitioned by a hash bucket of the source address and by write.
+STORED_KEYED_SCHEMA = T.StructType(
+    KEYED_SCHEMA.fields + [T.StructField("bucket", T.IntegerType()), T.StructField("version", T.StringType())]
+)
 
 # Query spec ("job document"): parameters as a string map.
 SPEC_SCHEMA = T.StructType(

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from flowbeam.functions.binary import be_uint
 
-# Big-endian pcap global header (magic a1b2c3d4, v2.4, snaplen 65535, Ethernet).
-PCAP_HEADER_HEX = "A1B2C3D4" + "00020004" + "00000000" + "00000000" + "0000FFFF" + "00000001"
-ETH_HEADER_HEX = "000000000002" + "000000000001" + "0800"
+# Big-endian pcap global header (magic a1b2c3d4, v2.4, snaplen 65535; the link type
+# follows, 1 for Ethernet).
+PCAP_HEADER_HEX = "A1B2C3D4" + "00020004" + "00000000" + "00000000" + "0000FFFF"
+ETH_ADDRESSES_HEX = "000000000002" + "000000000001"
+# How a frame may be spoilt, beside being "udp" (whole) or "tcp".
+TRANSPORTS = ("udp", "tcp", "ipv6", "ip_header", "fragment", "cut")
 NETFLOW_PORT = 2055
 
 
@@ -26,22 +29,29 @@ def _hx(x: Column, width: int) -> Column:
 
 
 def frame_hex(payload: Column, transport: Column, ts_sec: Column) -> Column:
-    """Hex of one pcap record (16-byte record header + frame) carrying ``payload``."""
+    """Hex of one pcap record (16-byte record header + frame) carrying ``payload``.
+
+    ``transport`` is one of TRANSPORTS: ``ipv6`` has another ethertype, ``ip_header`` too short a
+    header length, ``fragment`` the more-fragments flag, and ``cut`` lacks its last byte.
+    """
     n = F.length(payload)
     tcp = transport == "tcp"
     l4_len = F.when(tcp, F.lit(20)).otherwise(F.lit(8))
     ip_total = n + l4_len + 20
+    ethertype = F.when(transport == "ipv6", F.lit("86DD")).otherwise(F.lit("0800"))
     ip = F.concat(
-        F.lit("4500"), _hx(ip_total, 2), F.lit("00000000"), F.lit("40"),
+        F.when(transport == "ip_header", F.lit("4400")).otherwise(F.lit("4500")), _hx(ip_total, 2), F.lit("0000"),
+        F.when(transport == "fragment", F.lit("2000")).otherwise(F.lit("0000")), F.lit("40"),
         F.when(tcp, F.lit("06")).otherwise(F.lit("11")), F.lit("0000"),
         F.lit("0A000001"), F.lit("0A000002"),
     )
     l4 = F.when(
         tcp, F.concat(_hx(F.lit(40000), 2), _hx(F.lit(NETFLOW_PORT), 2), F.lit("0" * 16), F.lit("50000000"), F.lit("0" * 8))
     ).otherwise(F.concat(_hx(F.lit(40000), 2), _hx(F.lit(NETFLOW_PORT), 2), _hx(n + 8, 2), F.lit("0000")))
-    frame_len = ip_total + 14
-    rec_header = F.concat(_hx(ts_sec, 4), F.lit("00000000"), _hx(frame_len, 4), _hx(frame_len, 4))
-    return F.concat(rec_header, F.lit(ETH_HEADER_HEX), ip, l4, F.hex(payload))
+    frame = F.concat(F.lit(ETH_ADDRESSES_HEX), ethertype, ip, l4, F.hex(payload))
+    kept = ip_total + 14 - F.when(transport == "cut", F.lit(1)).otherwise(F.lit(0))
+    rec_header = F.concat(_hx(ts_sec, 4), F.lit("00000000"), _hx(kept, 4), _hx(ip_total + 14, 4))
+    return F.concat(rec_header, F.substring(frame, F.lit(1), kept * 2))
 
 
 def _writer(out_dir: str):
@@ -61,8 +71,11 @@ def _writer(out_dir: str):
     return write
 
 
-def write_capture_files(packets: DataFrame, out_dir: str, frames_per_file: int = 1000) -> int:
-    """Write ``packets`` (payload [, transport 'udp'|'tcp']) as pcap files; returns file count."""
+def write_capture_files(packets: DataFrame, out_dir: str, frames_per_file: int = 1000, link_type: int = 1) -> int:
+    """Write ``packets`` (payload [, transport]) as pcap files; returns the file count.
+
+    Files of the same name in ``out_dir`` are replaced.
+    """
     transport = F.col("transport") if "transport" in packets.columns else F.lit("udp")
     ts = F.coalesce(be_uint(F.col("payload"), 8, 4), F.lit(0))
     frames = packets.select(
@@ -73,6 +86,6 @@ def write_capture_files(packets: DataFrame, out_dir: str, frames_per_file: int =
     files = frames.groupBy("_part", "_run").agg(F.collect_list("_rec").alias("_recs"))
     named = files.select(
         F.format_string("capture-%05d-%012d.pcap", "_part", "_run").alias("name"),
-        F.unhex(F.concat(F.lit(PCAP_HEADER_HEX), F.array_join("_recs", ""))).alias("content"),
+        F.unhex(F.concat(F.lit(PCAP_HEADER_HEX + f"{link_type:08X}"), F.array_join("_recs", ""))).alias("content"),
     )
     return named.mapInPandas(_writer(out_dir), "name string, bytes long").count()

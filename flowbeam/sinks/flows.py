@@ -10,12 +10,15 @@ sorted by ``src_addr`` and time, so Parquet row-group statistics prune address l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowbeam.functions.time import date_parts
 from flowbeam.operators.project import to_display
 from flowbeam.schema import FLOW_COLUMNS, FLOW_SCHEMA, PARTITION_COLUMNS, require_columns
+from flowbeam.sinks import log
 
 # Sink modes (search documents and a keyed store are written as files here).
 MODE_PARQUET = "parquet"
@@ -55,16 +58,48 @@ def write_partitioned(
     )
 
 
+def compact_flows(spark: SparkSession, path: str, everything: bool = False) -> int:
+    """Rewrite the batches added since the last compaction (or ``everything``) as one batch.
+
+    Small files of a day become few sized ones. The new batch replaces the old ones in a single
+    ledger entry: readers see either. Returns how many batches were replaced; their directories
+    stay until ``drop_replaced_batches``.
+    """
+    from flowbeam.sinks.ledger import BATCH_COLUMN, Ledger
+    from flowbeam.sources.flows import read_flows
+
+    ledger = Ledger(spark, path)
+    old = [b for b in ledger.live() if everything or not b.startswith("compact-")]
+    if len(old) < 2:
+        return 0
+    batch = f"compact-{uuid.uuid4().hex[:16]}"
+    rows = read_flows(spark, path).filter(F.col(BATCH_COLUMN).isin(old)).select(*FLOW_COLUMNS)
+    write_partitioned(rows, f"{path.rstrip('/')}/{BATCH_COLUMN}={batch}", "overwrite")
+    ledger.close(batch, replaces=old)
+    return len(old)
+
+
+def drop_replaced_batches(spark: SparkSession, path: str) -> int:
+    """Remove directories of replaced batches; run it when no reader is under way."""
+    from flowbeam.sinks.ledger import BATCH_COLUMN, Ledger
+
+    ledger = Ledger(spark, path)
+    replaced = sorted(ledger.closed() - set(ledger.live()))
+    return sum(log.remove(spark, f"{path.rstrip('/')}/{BATCH_COLUMN}={b}") for b in replaced)
+
+
 def write_documents(flows: DataFrame, path: str, mode: str = "append") -> None:
     """Flows as JSON-lines documents of display rows (one document per flow)."""
     to_display(flows).write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).json(path)
 
 
-def write_flows(flows: DataFrame, path: str, mode: str = MODE_PARQUET, save_mode: str = "append") -> Observation:
+def write_flows(
+    flows: DataFrame, path: str, mode: str = MODE_PARQUET, save_mode: str = "append", token: str | None = None
+) -> Observation:
     """Write flows with the sink named by ``mode``; returns an Observation with the row count.
 
-    ``save_mode`` applies to the Parquet and document sinks (the keyed table at ``path`` is
-    updated in place, and created by the first write).
+    ``save_mode`` applies to the Parquet and document sinks. The keyed table at ``path`` is
+    updated, and created by the first write; a ``token`` it has seen is counted but not written.
     """
     mode = MODE_ALIASES.get(mode, mode)
     if mode not in MODES:
@@ -77,5 +112,7 @@ def write_flows(flows: DataFrame, path: str, mode: str = MODE_PARQUET, save_mode
     else:
         from flowbeam.sinks.keyed import update_keyed
 
-        update_keyed(flows.observe(obs, F.count(F.lit(1)).alias("rows")), path)
+        counted = flows.observe(obs, F.count(F.lit(1)).alias("rows"))
+        if not update_keyed(counted, path, token=token):
+            counted.write.format("noop").mode("overwrite").save()
     return obs

@@ -1,7 +1,9 @@
-"""Stored query results: one partition per job under a results root, paged reads.
+"""Stored query results: one directory per job under a results root, paged reads.
 
-``write_results`` overwrites exactly the job's partition directory (``job_id=<id>``), so a
-rerun replaces earlier rows even when the new result is empty; other jobs are untouched.
+``write_results`` writes a new version of the job's rows beside the old one; an entry of the
+job's commit log, written last, makes it the result. Until then, and after a write that fails,
+the old result stays readable; a rerun with no rows replaces it too. Other jobs are untouched.
+The entry holds the row count.
 
 Rows are stored in a total order with a dense ``row_no`` (0-based), numbered without
 collecting anything: the sorted rows are checkpointed (into the shared checkpoint folder),
@@ -14,14 +16,15 @@ deep page costs the same as the first one.
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowbeam.schema import DISPLAY_SCHEMA
 from flowbeam.session import checkpoint_root
+from flowbeam.sinks import log
 
 _JOB_ID_RE = re.compile(r"[A-Za-z0-9_.-]+")
 RESULT_SCHEMA = T.StructType(
@@ -60,33 +63,58 @@ def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
     return numbered.select(*rows.columns, (F.col("_start") + F.col("_i")).alias("row_no"))
 
 
-def write_results(display_rows: DataFrame, root: str, job_id: str) -> None:
-    """Materialise one job's result rows (display schema), replacing any earlier result."""
+def write_results(display_rows: DataFrame, root: str, job_id: str) -> int:
+    """Materialise one job's result rows (display schema) in place of any earlier result.
+
+    Returns the number of rows. Earlier versions are removed when the new one counts, but for
+    the last, which a reader may still be at.
+    """
+    spark, path = display_rows.sparkSession, partition_path(root, job_id)
     rows = number_rows(display_rows.select(*DISPLAY_SCHEMA.fieldNames()), PAGE_ORDER)
-    rows.sortWithinPartitions("row_no").write.mode("overwrite").parquet(partition_path(root, job_id))
+    counted, version = Observation("result"), f"version={uuid.uuid4().hex}"
+    rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
+    rows.sortWithinPartitions("row_no").write.parquet(f"{path}/{version}")
+    entries = log.CommitLog(spark, path)
+    earlier = entries.entries()
+    entries.commit({"version": version, "rows": int(counted.get["rows"])})
+    current = earlier[max(earlier)]["version"] if earlier else None
+    for old in {e["version"] for e in earlier.values()} - {current}:
+        log.remove(spark, f"{path}/{old}")
+    return int(counted.get["rows"])
 
 
 def drop_results(spark: SparkSession, root: str, job_id: str) -> bool:
     """Remove a job's result set; afterwards the job is unknown. False if there was none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(partition_path(root, job_id))
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return log.remove(spark, partition_path(root, job_id))
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(RESULT_SCHEMA).option("basePath", root).parquet(root)
+def _current(spark: SparkSession, root: str, job_id: str) -> dict:
+    """The entry of the job's result; KeyError for a job without one."""
+    entries = log.CommitLog(spark, partition_path(root, job_id)).entries()
+    if not entries:
+        raise KeyError(f"no result of job {job_id!r}")
+    return entries[max(entries)]
 
 
 def job_results(spark: SparkSession, root: str, job_id: str) -> DataFrame:
     """One job's rows, read from its own directory; KeyError for a job without a result."""
-    try:
-        rows = spark.read.schema(T.StructType(RESULT_SCHEMA.fields[:-1])).parquet(partition_path(root, job_id))
-    except AnalysisException as exc:
-        raise KeyError(f"no result of job {job_id!r}") from exc
+    path = f"{partition_path(root, job_id)}/{_current(spark, root, job_id)['version']}"
+    rows = spark.read.schema(T.StructType(RESULT_SCHEMA.fields[:-1])).parquet(path)
     return rows.withColumn("job_id", F.lit(job_id))
 
 
+def read_results(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of every job's result."""
+    jobs = [n.removeprefix("job_id=") for n in log.names(spark, root) if n.startswith("job_id=")]
+    paths = [f"{partition_path(root, j)}/{_current(spark, root, j)['version']}" for j in jobs if log.names(spark, f"{partition_path(root, j)}/_log")]
+    if not paths:
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    return spark.read.schema(RESULT_SCHEMA).option("basePath", root).parquet(*paths).select(*RESULT_SCHEMA.fieldNames())
+
+
 def result_count(spark: SparkSession, root: str, job_id: str) -> DataFrame:
-    return job_results(spark, root, job_id).agg(F.count(F.lit(1)).alias("rows"))
+    """The number of a job's rows, as its result was written with."""
+    return spark.createDataFrame([(_current(spark, root, job_id)["rows"],)], "rows long")
 
 
 def job_rows(spark: SparkSession, root: str, job_id: str) -> DataFrame:

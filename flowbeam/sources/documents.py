@@ -11,11 +11,15 @@ from pyspark.sql import types as T
 
 from flowbeam.operators.project import from_document
 from flowbeam.schema import DISPLAY_SCHEMA
+from flowbeam.sinks.ledger import only_closed
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """All documents under ``path`` parsed to display rows (explicit schema, no inference)."""
-    return spark.read.schema(DISPLAY_SCHEMA).json(path)
+    """All documents under ``path`` parsed to display rows (explicit schema, no inference).
+
+    Of a table with a ledger only closed batches are read.
+    """
+    return only_closed(spark.read.schema(DISPLAY_SCHEMA).json(path), path).select(*DISPLAY_SCHEMA.fieldNames())
 
 
 def read_document_text(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowbeam.functions.binary import be_int32, be_int64, be_uint
 from flowbeam.functions.ip import bytes_to_ip, ip_literal_bytes
-from flowbeam.sinks.keyed import read_keyed_raw, source_bucket_literal
+from flowbeam.sinks.keyed import read_keyed_raw
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
@@ -33,12 +33,10 @@ def decode_keyed(rows: DataFrame) -> DataFrame:
 def source_lookup(spark: SparkSession, path: str, src_addr: str, use_store_filter: bool = True) -> DataFrame:
     """Flows of the keyed table whose source is ``src_addr``.
 
-    With ``use_store_filter`` only the source's bucket directory is listed and the stored
+    With ``use_store_filter`` only the source's bucket directories are read and the stored
     ``src_addr`` column is compared in the Parquet scan (row-group pruning). Either
     way the key's first four bytes are re-checked, as a store-side filter would be.
     """
-    raw = read_keyed_raw(spark, path)
-    if use_store_filter:
-        raw = raw.filter((F.col("bucket") == source_bucket_literal(src_addr)) & (F.col("src_addr") == F.lit(src_addr)))
+    raw = read_keyed_raw(spark, path, src_addr if use_store_filter else None)
     raw = raw.filter(F.substring(F.col("key"), 1, 4) == F.lit(ip_literal_bytes(src_addr)))
     return decode_keyed(raw)

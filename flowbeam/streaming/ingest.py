@@ -1,24 +1,28 @@
 """Incremental capture ingest: ``readStream.format("binaryFile")`` -> framing -> decode -> sinks.
 
-Each micro-batch (bounded by ``maxFilesPerTrigger``) is written with ``foreachBatch`` to the
-flow table and the rejects table, into a directory named by the stream and the batch:
-``<flows>/ingest_batch=<stream>-<id>/year=/month=/day=/``. The batch overwrites its own
-directory, so a batch replayed after a failure replaces its earlier output instead of adding
-to it: exactly-once output. Readers see ``ingest_batch`` as one more partition column, as for
-batch ingest; date pruning works across batches. The stream's name is a digest of the landing
-folder, and its checkpoint (which files are done) lies beside the flow table by that name: a
-restarted query continues where it stopped, and a stream from another folder into the same
-table neither repeats nor replaces anything.
+The stream carries names, lengths and times of arriving files; each micro-batch (bounded by
+``maxFilesPerTrigger``) frames its files by byte ranges and goes to the flow sink (Parquet,
+documents or keyed) and the rejects table with ``foreachBatch``. It is a batch of the table's
+ledger, named by the stream and its number, and counts when its ledger entry is written, after
+both sinks. A micro-batch replayed after a failure overwrites its own directories, or finds its
+name in the keyed table; one replayed after its entry finds all its files in the ledger. So output
+is exactly once in each sink, also when a checkpoint is lost or a folder is ingested in batch too.
+The stream's checkpoint lies beside the flow table by the landing folder's full name: a restarted
+query continues where it stopped.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from flowbeam.plans.ingest import source_id, write_batch
-from flowbeam.sources.capture import frames_from_files
+from flowbeam.plans.ingest import ingest_files, source_id, write_batch
+from flowbeam.sinks.ledger import Ledger
+from flowbeam.sinks.log import qualified
 
 BINARY_FILE_SCHEMA = T.StructType(
     [
@@ -28,27 +32,42 @@ BINARY_FILE_SCHEMA = T.StructType(
         T.StructField("content", T.BinaryType()),
     ]
 )
+
+
 def capture_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 64) -> DataFrame:
-    """Streaming DataFrame of framed capture rows from files arriving under ``landing_dir``."""
+    """Streaming DataFrame of (path, length, modified_ms) of files arriving under ``landing_dir``."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE_SCHEMA)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(landing_dir)
     )
-    return frames_from_files(files)
+    return files.select("path", "length", F.unix_millis("modificationTime").alias("modified_ms"))
 
 
 def write_stream_batch(
     frames: DataFrame, batch_id: int, flows_path: str, rejects_path: str, stream_id: str = "stream"
 ) -> None:
-    """Write one micro-batch idempotently (a replay of ``batch_id`` overwrites its own output)."""
+    """Write one micro-batch of frames idempotently, without a ledger (a replay of ``batch_id`` overwrites its own output)."""
     part = f"ingest_batch={stream_id}-{int(batch_id)}"
     write_batch(
         frames, f"{flows_path.rstrip('/')}/{part}", f"{rejects_path.rstrip('/')}/{part}", save_mode="overwrite"
     )
 
 
+def ingest_stream_batch(
+    files: DataFrame, batch_id: int, flows_path: str, rejects_path: str, stream_id: str, mode: str = "parquet"
+) -> None:
+    """Ingest one micro-batch of listed files, unless the ledger has them."""
+    ledger = Ledger(files.sparkSession, flows_path)
+    new, batch = ledger.new_files(files), f"{stream_id}-{int(batch_id)}"
+    if new.isEmpty():
+        return
+    if batch in ledger.closed():  # numbers began again with a new checkpoint
+        batch = f"{batch}-{uuid.uuid4().hex[:8]}"
+    ingest_files(ledger, batch, new, rejects_path, mode)
+
+
 def start_capture_ingest(
     spark: SparkSession,
     landing_dir: str,
@@ -58,16 +77,17 @@ def start_capture_ingest(
     available_now: bool = True,
     max_files_per_trigger: int = 64,
     processing_time: str = "30 seconds",
+    mode: str = "parquet",
 ) -> StreamingQuery:
     """Start the ingest query; ``available_now`` processes what is there and stops.
 
     An own ``checkpoint`` names a stream of its own: batch numbers belong to it.
     """
-    stream_id = "stream-" + source_id(landing_dir, checkpoint or "")
+    stream_id = "stream-" + source_id(qualified(spark, landing_dir), checkpoint or "")
     checkpoint = checkpoint or f"{flows_path.rstrip('/')}/_checkpoints/{stream_id}"
 
-    def each_batch(frames: DataFrame, batch_id: int) -> None:
-        write_stream_batch(frames, batch_id, flows_path, rejects_path, stream_id)
+    def each_batch(files: DataFrame, batch_id: int) -> None:
+        ingest_stream_batch(files, batch_id, flows_path, rejects_path, stream_id, mode)
 
     writer = (
         capture_stream(spark, landing_dir, max_files_per_trigger)
