@@ -39,7 +39,7 @@ END_ID = 2
 #: Distinct words whose ids a worker remembers in each of two generations (about 200 bytes each).
 REMEMBERED_WORDS = 400_000
 #: Bytes of text encoded at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 #: Bytes of input for each file, beyond as many files as there are shuffle partitions.
 FILE_BYTES = 256 << 20
 #: ASCII punctuation that ends a run of letters and is one run itself (an apostrophe may not).
@@ -189,6 +189,11 @@ class TextEncoder:
             places[late] = self.known.find(missing)
         return places
 
+    def known_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct words one after another, number of ids of each)."""
+        places = self._places(words)
+        return self.known.ids(places) if words else (np.empty(0, self.dtype), np.empty(0, np.int64))
+
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each); null is empty."""
         texts = texts.cast(pa.string()).fill_null("")
@@ -199,15 +204,16 @@ class TextEncoder:
         words = lists.flatten().dictionary_encode()
         # empty strings beside white space at a text's ends have no ids
         distinct = words.dictionary.to_pylist()
-        places = self._places([w for w in distinct if w])
-        starts, sizes = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         real = np.array([bool(w) for w in distinct], bool)
-        starts[real] = self.known.bounds[places]
-        sizes[real] = self.known.bounds[places + 1] - starts[real]
-        index = words.indices.to_numpy()
-        ids = gathered(self.known.flat, starts[index], sizes[index])
-        ends = np.concatenate([[0], np.cumsum(sizes[index])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        counts = np.diff(ends)
+        found, some = self.known_ids([w for w in distinct if w])
+        width, sizes = self.dtype.itemsize, np.zeros(len(distinct) + 1, np.int32)
+        sizes[1:][real] = some * width
+        table = pa.BinaryArray.from_buffers(pa.binary(), len(distinct), [None, pa.py_buffer(np.cumsum(sizes, dtype=np.int32)), pa.py_buffer(found)])
+        taken = table.take(words.indices)
+        bounds = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1] // width
+        ids = np.frombuffer(taken.buffers()[2] or b"", self.dtype)[: bounds[-1]] if len(taken) else np.empty(0, self.dtype)
+        ends = bounds[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(taken) else np.zeros(len(texts) + 1, np.int32)
+        counts = np.diff(ends).astype(np.int64)
         if whole.any():
             parts = np.split(ids, ends[1:-1])
             for k in np.flatnonzero(whole).tolist():
