@@ -9,6 +9,8 @@ never gathered in one group. Every round is written to the shared scratch folder
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +30,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """(node, label): every node of an edge, labelled by the smallest node of its component.
 
     ``edges`` has two columns of one integer type; loops and repeated edges do no harm, edges
-    with a null end are ignored.
+    with a null end are ignored. ``store`` keeps the tables of the rounds.
     """
     a, b = edges.columns
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
     loops = now.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
-    now = stored(now.filter("a <> b").distinct(), "edges")
+    now = store(now.filter("a <> b").distinct(), "edges")
     digest = None
     while True:
-        now = stored(_small_star(_large_star(now)).distinct(), "edges")
+        now = store(_small_star(_large_star(now)).distinct(), "edges")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == digest or not seen[0]:
             break

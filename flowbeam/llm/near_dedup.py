@@ -10,7 +10,7 @@
    has chance 1/16, so the similarity is (matches - 1/16) / (1 - 1/16). The ties' connected
    components are clusters that hold every candidate link.
 4. Links are confirmed on the full sets inside clusters, in blocks: a cluster's nodes are
-   dealt to blocks by hash, and query nodes meet every block. First a few pivots per cluster
+   dealt to blocks of bounded rows and shingles by hash, and query nodes meet every block. First a few pivots per cluster
    are the queries; nodes that they do not reach are the queries of a second pass. A pair is
    intersected when its bit counts allow a link (five standard deviations below the
    threshold) and its ends are not yet connected. So every candidate pair between different
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowbeam.llm.components import connected_components
-from flowbeam.llm.frames import map_rows, stored
+from flowbeam.llm.frames import Scratch, map_rows, stored
 from flowbeam.llm.text import mix64, shingle_set
 from flowbeam.session import ship_package
 
@@ -45,6 +45,8 @@ WORDS = HASHES // PER_LONG
 PIVOTS = 8
 #: Shingles of a block (8 bytes each); blocks of a cluster are compared in separate tasks.
 BLOCK_SHINGLES = 400_000
+#: Members of a block, however small their sets are.
+BLOCK_ROWS = 500
 #: Rows up to which the map of clustered documents (24 bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -186,14 +188,14 @@ def confirm_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _confirmed(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+def _confirmed(members: DataFrame, queries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between the query nodes and all members of their clusters."""
     columns = ["cluster", "node", "label", "n_shingles", "bits", "shingles"]
     blocks = queries.groupBy("cluster").agg(F.sum("n_shingles").alias("q_size"))
-    load = members.groupBy("cluster").agg(F.sum("n_shingles").alias("m_size"))
-    plan = stored(load.join(blocks, "cluster").select(
+    load = members.groupBy("cluster").agg(F.sum("n_shingles").alias("m_size"), F.count("*").alias("m_rows"))
+    plan = scratch.store(load.join(blocks, "cluster").select(
         "cluster",
-        F.ceil(F.col("m_size") / BLOCK_SHINGLES).cast("int").alias("m_blocks"),
+        F.ceil(F.greatest(F.col("m_size") / BLOCK_SHINGLES, F.col("m_rows") / BLOCK_ROWS)).cast("int").alias("m_blocks"),
         F.ceil(F.col("q_size") / BLOCK_SHINGLES).cast("int").alias("q_blocks"),
     ), "dedup-blocks")
 
@@ -233,22 +235,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    sig = stored(signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words), "dedup-signatures")
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.result(_near_duplicates(docs, words, percent, scratch), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    sig = scratch.store(signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words), "dedup-signatures")
     own = sig.filter("node is not null")
     ids = own.groupBy("node").agg(F.min("doc_id").alias("rep"))
     # any row of a node has the same bands and bits: the smallest id's row stands for it
-    nodes = stored(
+    nodes = scratch.store(
         own.join(ids, "node").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
         .select("node", "rep", "bands", "bits").dropDuplicates(["node"]), "dedup-nodes")
-    clusters = stored(
-        connected_components(_ties(nodes, percent / 100)).withColumnRenamed("label", "cluster")
+    clusters = scratch.store(
+        connected_components(_ties(nodes, percent / 100), scratch.store).withColumnRenamed("label", "cluster")
         .join(nodes.select("node", "rep", "bits"), "node"), "dedup-clusters")
-    members = stored(_clustered_sets(docs, clusters, words).dropDuplicates(["node"]), "dedup-members")
+    members = scratch.store(_clustered_sets(docs, clusters, words).dropDuplicates(["node"]), "dedup-members")
 
     pivots = _pivots(members)
-    first = stored(_confirmed(members.withColumn("label", F.col("node")), pivots, percent), "dedup-links")
-    label = stored(connected_components(first), "dedup-components")
-    labelled = stored(
+    first = scratch.store(_confirmed(members.withColumn("label", F.col("node")), pivots, percent, scratch), "dedup-links")
+    label = scratch.store(connected_components(first, scratch.store), "dedup-components")
+    labelled = scratch.store(
         members.select("cluster", "node").join(label, "node", "left")
         .withColumn("label", F.coalesce("label", "node")), "dedup-labels")
     sizes = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
@@ -256,8 +263,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     open_ = main.filter("parts > 1").select("cluster", "top.main")
     rest = members.join(labelled.drop("cluster"), "node").join(open_, "cluster")
     asked = rest.filter("label <> main").join(pivots.select("node"), "node", "left_anti")
-    second = stored(_confirmed(rest, asked, percent), "dedup-links")
-    final = label if second.isEmpty() else connected_components(first.union(second))
+    second = scratch.store(_confirmed(rest, asked, percent, scratch), "dedup-links")
+    final = label if second.isEmpty() else connected_components(first.union(second), scratch.store)
 
     named = ids.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.filter("rep is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -289,7 +296,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     Further rows with a kept id and the same text are dropped as copies; rows whose text has
     no words are all kept, as are rows of groups without any id.
     """
-    verdict = stored(near_duplicates(docs, words, percent), "dedup-verdict")
+    verdict = near_duplicates(docs, words, percent)
     gone = verdict.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select(F.col("doc_id").alias("gone_id"))
     rows = docs.select(F.struct("*").alias("row"))
     left = rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
