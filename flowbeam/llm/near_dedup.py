@@ -45,7 +45,7 @@ WORDS = HASHES // PER_LONG
 PIVOTS = 8
 #: Shingles of a block (8 bytes each); blocks of a cluster are compared in separate tasks.
 BLOCK_SHINGLES = 400_000
-#: Members of a block, however small their sets are.
+#: Members, and queries, of a block, however small their sets are.
 BLOCK_ROWS = 500
 #: Rows up to which the map of clustered documents (24 bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -191,12 +191,12 @@ def confirm_block(block: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _confirmed(members: DataFrame, queries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between the query nodes and all members of their clusters."""
     columns = ["cluster", "node", "label", "n_shingles", "bits", "shingles"]
-    blocks = queries.groupBy("cluster").agg(F.sum("n_shingles").alias("q_size"))
+    blocks = queries.groupBy("cluster").agg(F.sum("n_shingles").alias("q_size"), F.count("*").alias("q_rows"))
     load = members.groupBy("cluster").agg(F.sum("n_shingles").alias("m_size"), F.count("*").alias("m_rows"))
     plan = scratch.store(load.join(blocks, "cluster").select(
         "cluster",
         F.ceil(F.greatest(F.col("m_size") / BLOCK_SHINGLES, F.col("m_rows") / BLOCK_ROWS)).cast("int").alias("m_blocks"),
-        F.ceil(F.col("q_size") / BLOCK_SHINGLES).cast("int").alias("q_blocks"),
+        F.ceil(F.greatest(F.col("q_size") / BLOCK_SHINGLES, F.col("q_rows") / BLOCK_ROWS)).cast("int").alias("q_blocks"),
     ), "dedup-blocks")
 
     def dealt(df: DataFrame, own: str, other: str, role: int) -> DataFrame:

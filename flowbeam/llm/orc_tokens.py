@@ -37,7 +37,7 @@ from flowbeam.session import ship_package
 
 END_ID = 2
 #: Distinct words whose ids a worker remembers in each of two generations (about 200 bytes each).
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 #: Bytes of text encoded at a time.
 TEXT_BYTES = 8 << 20
 #: Bytes of input for each file, beyond as many files as there are shuffle partitions.
@@ -267,6 +267,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
                 made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
                 columns = [part.column(f.name) for f in rest] + [pa.array(counts + 1), made]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in rest] + ["n_tokens", "ids"])
+        pa.default_memory_pool().release_unused()
 
     schema = T.StructType(list(rest)).add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType()))
     return docs.mapInArrow(run, schema)
