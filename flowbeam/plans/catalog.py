@@ -306,6 +306,19 @@ def doc_term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_query(read_documents(spark, path), "srcAddress", SRC_ADDR)
 
 
+@register("indexed_doc_lookup", with_flows(f"select {_DISPLAY_SQL} from flows where dst_addr = '{DST_ADDR}'"))
+def indexed_doc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in two parts, indexed after each, and a lookup of a destination through the index."""
+    from flowbeam.sinks.docindex import index_documents, indexed_term_query
+    from flowbeam.sinks.flows import write_documents
+
+    path, flows = scratch_path(spark, "docs"), flows_view(spark, sf_dir, keep_keys=False)
+    for part in (0, 1):
+        write_documents(flows.filter(F.col("src_port") % 2 == part), path)
+        index_documents(spark, path)
+    return indexed_term_query(spark, path, "dstAddress", DST_ADDR)
+
+
 # -- P3, S7 (documents as text, rejects of unreadable ones) ----------------------------------
 
 

@@ -15,11 +15,13 @@ from flowbeam.sinks.ledger import only_closed
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """All documents under ``path`` parsed to display rows (explicit schema, no inference).
+    """All whole documents under ``path`` as display rows (explicit schema, no inference).
 
+    Lines that are no document, or lack a field, give no row (``split_documents`` tells which).
     Of a table with a ledger only closed batches are read.
     """
-    return only_closed(spark.read.schema(DISPLAY_SCHEMA).json(path), path).select(*DISPLAY_SCHEMA.fieldNames())
+    docs = only_closed(spark.read.schema(DISPLAY_SCHEMA).json(path), path).select(*DISPLAY_SCHEMA.fieldNames())
+    return docs.filter(functools.reduce(operator.and_, [F.col(c).isNotNull() for c in docs.columns]))
 
 
 def read_document_text(spark: SparkSession, path: str) -> DataFrame:
@@ -33,14 +35,20 @@ def split_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     ``unreadable``: no JSON object, or a field of the wrong type. ``missing_field``: a field of
     the display schema is absent or null. Blank lines are no documents.
     """
+    return split_lines(spark.read.text(path))
+
+
+def split_lines(lines: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``split_documents`` of text lines (``value``), which display rows keep with ``keep_text``."""
     schema = T.StructType([*DISPLAY_SCHEMA.fields, T.StructField("_unread", T.StringType())])
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = lines.filter(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_unread"}).alias("d"))
     fields = [F.col(f"d.{c}") for c in DISPLAY_SCHEMA.fieldNames()]
     missing = functools.reduce(operator.or_, [c.isNull() for c in fields])
     reason = F.when(F.col("d").isNull() | F.col("d._unread").isNotNull(), "unreadable").when(missing, "missing_field")
     judged = parsed.withColumn("reject_reason", reason)
-    docs = judged.filter(F.col("reject_reason").isNull()).select("d.*").drop("_unread")
+    kept = ["value"] if keep_text else []
+    docs = judged.filter(F.col("reject_reason").isNull()).select(*kept, *fields)
     return docs, judged.filter(F.col("reject_reason").isNotNull()).select("value", "reject_reason")
 
 
