@@ -39,7 +39,7 @@ END_ID = 2
 #: Distinct words whose ids a worker remembers in each of two generations (about 200 bytes each).
 REMEMBERED_WORDS = 250_000
 #: Bytes of text encoded at a time.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 3 << 20
 #: Bytes of input for each file, beyond as many files as there are shuffle partitions.
 FILE_BYTES = 256 << 20
 #: ASCII punctuation that ends a run of letters and is one run itself (an apostrophe may not).
