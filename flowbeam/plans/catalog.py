@@ -293,6 +293,17 @@ def stored_flow_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.to_display(filters.flow_query(load_flows(spark, path), spec.FlowSpec.from_params(FULL_SPEC)))
 
 
+@register("stored_flow_by_dst", ORACLE_SQL["flow_by_dst"])
+def stored_flow_by_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of one destination from a stored table along the curve of both addresses."""
+    from flowbeam.sinks.flows import write_partitioned
+    from flowbeam.sources.flows import read_flows
+
+    path = scratch_path(spark, "flows")
+    write_partitioned(flows_view(spark, sf_dir, keep_keys=False), path, by_curve=True)
+    return filters.by_destination(read_flows(spark, path), DST_ADDR).select(*FLOW_COLUMNS)
+
+
 # -- K2, S7, F10 (documents and a term lookup) -----------------------------------------------
 
 
@@ -940,6 +951,16 @@ def multi_spec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(flows_view(spark, sf_dir, keep_keys=False), specs, valid=valid)
 
 
+@register("multi_spec_shuffled", ORACLE_SQL["multi_spec_query"])
+def multi_spec_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same specs as if they were too many to broadcast."""
+    from flowbeam.operators.multispec import multi_spec_query as run
+
+    specs = spec.parse_specs(spec.validate_specs(specs_view(spark, sf_dir)))
+    valid = F.col("validation_error").isNull() & (F.col("type") == spec.FLOW_QUERY)
+    return run(flows_view(spark, sf_dir, keep_keys=False), specs, broadcast_bytes=0, valid=valid)
+
+
 # The same specs without an end, over the stored table.
 OPEN_END_MS = 253402300799000  # 9999-12-31T23:59:59Z
 

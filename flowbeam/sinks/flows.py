@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowbeam.functions.time import date_parts
+from flowbeam.operators.curve import address_curve
 from flowbeam.operators.project import to_display
 from flowbeam.schema import FLOW_COLUMNS, FLOW_SCHEMA, PARTITION_COLUMNS, require_columns
 from flowbeam.sinks import log
@@ -29,6 +30,9 @@ MODE_ALIASES = {"elastic": MODE_DOCUMENTS, "hbase": MODE_KEYED}
 
 # Rows per output file.
 MAX_RECORDS_PER_FILE = 1 << 20
+# Bytes of a row group of files along the address curve, and about those of a row in them.
+CURVE_ROW_GROUP_BYTES = 2 << 20
+CURVE_ROW_BYTES = 24
 
 
 def with_date_partitions(flows: DataFrame) -> DataFrame:
@@ -42,28 +46,43 @@ def write_partitioned(
     path: str,
     mode: str = "append",
     observation: Observation | None = None,
+    by_curve: bool = False,
+    row_group_bytes: int = CURVE_ROW_GROUP_BYTES,
 ) -> None:
-    """Append flows under ``path/year=Y/month=M/day=D`` (1-based month, UTC)."""
+    """Append flows under ``path/year=Y/month=M/day=D`` (1-based month, UTC).
+
+    Files are sorted by source and time, or ``by_curve`` of both addresses, with small row groups
+    and Bloom filters on them: lookups by destination then skip row groups as well.
+    """
     out = with_date_partitions(flows).hint("rebalance", *PARTITION_COLUMNS)
     if observation is not None:
         out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
-    (
-        out.sortWithinPartitions(*PARTITION_COLUMNS, "src_addr", "time_ms")
+    if by_curve:
+        # a column of its own: computed once a row, not once a comparison
+        out = out.withColumn("_curve", address_curve(F.col("src_addr"), F.col("dst_addr")))
+    order = ["_curve"] if by_curve else ["src_addr"]
+    writer = (
+        out.sortWithinPartitions(*PARTITION_COLUMNS, *order, "time_ms")
+        .drop("_curve")
         .write.mode(mode)
         # "overwrite" replaces everything under ``path`` whatever the session's default
         .option("partitionOverwriteMode", "static")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy(*PARTITION_COLUMNS)
-        .parquet(path)
     )
+    if by_curve:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+        for column in ("src_addr", "dst_addr"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", row_group_bytes // CURVE_ROW_BYTES)
+    writer.partitionBy(*PARTITION_COLUMNS).parquet(path)
 
 
 def compact_flows(spark: SparkSession, path: str, everything: bool = False) -> int:
     """Rewrite the batches added since the last compaction (or ``everything``) as one batch.
 
-    Small files of a day become few sized ones. The new batch replaces the old ones in a single
-    ledger entry: readers see either. Returns how many batches were replaced; their directories
-    stay until ``drop_replaced_batches``.
+    Small files of a day become few sized ones, along the curve of both addresses. The new batch
+    replaces the old ones in a single ledger entry: readers see either. Returns how many batches
+    were replaced; their directories stay until ``drop_replaced_batches``.
     """
     from flowbeam.sinks.ledger import BATCH_COLUMN, Ledger
     from flowbeam.sources.flows import read_flows
@@ -74,7 +93,7 @@ def compact_flows(spark: SparkSession, path: str, everything: bool = False) -> i
         return 0
     batch = f"compact-{uuid.uuid4().hex[:16]}"
     rows = read_flows(spark, path).filter(F.col(BATCH_COLUMN).isin(old)).select(*FLOW_COLUMNS)
-    write_partitioned(rows, f"{path.rstrip('/')}/{BATCH_COLUMN}={batch}", "overwrite")
+    write_partitioned(rows, f"{path.rstrip('/')}/{BATCH_COLUMN}={batch}", "overwrite", by_curve=True)
     ledger.close(batch, replaces=old)
     return len(old)
 
