@@ -49,11 +49,11 @@ def test_rejects(spark, payload, reason):
 
 
 def test_unsigned_fields_and_times(spark):
-    rec = v5_record(src="122.166.26.132", dst="173.109.204.137", sport=65535, dport=6667,
+    rec = v5_record(src="203.0.113.132", dst="198.51.100.137", sport=65535, dport=6667,
                     packets=4_000_000_001, octets=4_000_000_000, first=1001, last=1501, prot=200)
     pkt = v5_packet([rec], uptime=3_000_000_000, secs=1185488138, nsecs=123_000_000)
     (row,), _ = run(spark, [pkt])
-    assert (row.src_addr, row.dst_addr, row.src_port, row.dst_port) == ("122.166.26.132", "173.109.204.137", 65535, 6667)
+    assert (row.src_addr, row.dst_addr, row.src_port, row.dst_port) == ("203.0.113.132", "198.51.100.137", 65535, 6667)
     assert (row.bytes, row.packets, row.protocol) == (4_000_000_000, 4_000_000_001, 200)
     assert (row.time_ms, row.duration_ms) == (1182488139124, 500)
 

@@ -105,5 +105,5 @@ def test_pair_columns_text_order(spark):
 def test_split_pair_key(spark):
     from flowbeam.functions.pairs import split_pair_key
 
-    r = one(spark, *split_pair_key(F.lit("122.166.160.234,122.166.232.162")))
-    assert (r.addr_a, r.addr_b) == ("122.166.160.234", "122.166.232.162")
+    r = one(spark, *split_pair_key(F.lit("203.0.113.234,203.0.113.162")))
+    assert (r.addr_a, r.addr_b) == ("203.0.113.234", "203.0.113.162")

@@ -6,14 +6,14 @@ from flowbeam.operators.multispec import multi_spec_query
 from flowbeam.schema import FLOW_SCHEMA, SPEC_SCHEMA
 from flowbeam.functions.time import parse_time_literal as ms
 
-# Four flows of the reference's query test (addresses as text, times in UTC).
+# Four flows of two sources (addresses as text, times in UTC).
 FD = [
-    ("172.168.1.1", "172.168.1.2", 1000, 1001, ms("2017-04-01-10:00:00"), 100, 6, 100, 100),
-    ("172.168.1.1", "172.168.1.3", 1000, 1001, ms("2017-04-01-10:00:01"), 101, 6, 100, 100),
-    ("172.168.1.2", "172.168.1.4", 1000, 1001, ms("2017-04-01-10:00:01"), 101, 6, 100, 100),
-    ("172.168.1.2", "172.168.1.4", 1000, 1001, ms("2017-06-01-10:00:01"), 101, 6, 100, 100),
+    ("198.51.100.1", "198.51.100.2", 1000, 1001, ms("2017-04-01-10:00:00"), 100, 6, 100, 100),
+    ("198.51.100.1", "198.51.100.3", 1000, 1001, ms("2017-04-01-10:00:01"), 101, 6, 100, 100),
+    ("198.51.100.2", "198.51.100.4", 1000, 1001, ms("2017-04-01-10:00:01"), 101, 6, 100, 100),
+    ("198.51.100.2", "198.51.100.4", 1000, 1001, ms("2017-06-01-10:00:01"), 101, 6, 100, 100),
 ]
-APRIL = {"src_addr": "172.168.1.1", "start": "2017-04-01-00:00:00", "end": "2017-05-01-00:00:00"}
+APRIL = {"src_addr": "198.51.100.1", "start": "2017-04-01-00:00:00", "end": "2017-05-01-00:00:00"}
 
 
 @pytest.fixture
@@ -23,7 +23,7 @@ def flows(spark):
 
 def test_reference_spec_returns_fd1_fd2(flows):
     rows = filters.flow_query(flows, spec.FlowSpec.from_params(APRIL)).collect()
-    assert sorted(r.dst_addr for r in rows) == ["172.168.1.2", "172.168.1.3"]
+    assert sorted(r.dst_addr for r in rows) == ["198.51.100.2", "198.51.100.3"]
     assert aggregates.row_count(filters.flow_query(flows, spec.FlowSpec.from_params(APRIL))).first().flows == 2
 
 
@@ -43,11 +43,11 @@ def test_protocol_by_name_or_number(flows):
 
 def test_display_row(flows):
     r = project.to_display(flows).orderBy("time", "dstAddress").first()
-    assert r.asDict() == {"srcAddress": "172.168.1.1", "dstAddress": "172.168.1.2", "srcPort": 1000,
+    assert r.asDict() == {"srcAddress": "198.51.100.1", "dstAddress": "198.51.100.2", "srcPort": 1000,
                           "dstPort": 1001, "time": "2017-04-01-10:00:00", "duration": 100,
                           "protocol": "TCP", "bytes": 100, "packets": 100}
     doc = project.to_document(project.to_display(flows)).first().value
-    assert doc.startswith('{"srcAddress":"172.168.1.1"')
+    assert doc.startswith('{"srcAddress":"198.51.100.1"')
     back = project.from_document(project.to_document(project.to_display(flows)))
     assert back.exceptAll(project.to_display(flows)).count() == 0
 
@@ -96,10 +96,10 @@ def test_valid_specs(spark):
 def test_multi_spec_routes(spark, flows):
     specs = spark.createDataFrame(
         [
-            ("by_src", ms("2017-04-01-00:00:00"), ms("2017-05-01-00:00:00"), "172.168.1.1", None, None, None, None),
-            ("by_dst", ms("2017-01-01-00:00:00"), ms("2017-12-31-00:00:00"), None, "172.168.1.4", None, None, 6),
+            ("by_src", ms("2017-04-01-00:00:00"), ms("2017-05-01-00:00:00"), "198.51.100.1", None, None, None, None),
+            ("by_dst", ms("2017-01-01-00:00:00"), ms("2017-12-31-00:00:00"), None, "198.51.100.4", None, None, 6),
             ("any", ms("2017-06-01-00:00:00"), ms("2017-06-02-00:00:00"), None, None, None, None, None),
-            ("none", ms("2017-04-01-00:00:00"), ms("2017-05-01-00:00:00"), "172.168.1.1", None, None, 9, None),
+            ("none", ms("2017-04-01-00:00:00"), ms("2017-05-01-00:00:00"), "198.51.100.1", None, None, 9, None),
         ],
         "job_id string, start_ms long, end_ms long, src_addr string, dst_addr string, src_port int, "
         "dst_port int, protocol int",

@@ -126,7 +126,7 @@ def test_results_overwrite_drop_and_page(spark, tmp_dir):
 
 def test_spec_table_insert_and_find(spark, tmp_dir):
     path = os.path.join(tmp_dir, "specs")
-    params = {"start": "2017-04-01-00:00:00", "end": "2017-05-01-00:00:00", "src_addr": "172.168.1.1"}
+    params = {"start": "2017-04-01-00:00:00", "end": "2017-05-01-00:00:00", "src_addr": "198.51.100.1"}
     insert_spec(spark, path, "j1", "FlowQuery", "april", params)
     insert_spec(spark, path, "j2", "Test", "t", {})
     assert find_spec(spark, path, "j1")["params"] == params
