@@ -1,21 +1,25 @@
 """Interpolated modified Kneser-Ney language model of any order, counted in Spark.
 
-Counting: every task counts its n-grams (sorted runs of bounded size) and sends each shard one
-compressed block per run. A shard is chosen by a hash of the context and, as a salt, by a hash
-of the last word, so a very frequent context is split. A shard's blocks are merged and written
-as sorted arrays of n-gram hashes with counts. From a shard's distinct n-grams follow parts of
-the context totals (tokens; n-grams seen once, twice, more often) and of the next lower order
-(distinct left neighbours of each shorter n-gram), which are merged in the same way.
+Counting: a first pass counts the words. In the second every task counts its n-grams (sorted
+runs of bounded size) and sends each shard one compressed block per run. A shard is chosen by
+the inner words of an n-gram (those but the first and the last), so one task has all n-grams
+of a context and all left neighbours of the next shorter n-grams: it writes the arrays of two
+orders, and only counts by the order below them are shuffled again. Inner words that are more
+than half a shard by the first pass's counts are dealt over as many shards as that makes, by
+the outer words; what they add to a context or a shorter n-gram is merged in the next round.
 
 Storing and scoring: the arrays lie in the shared folder as files that scoring tasks map into
 memory; a batch's distinct n-grams are looked up in sorted order, so pages are read in
-sequence and shared by the workers of a machine. Where the shared folder is not a mounted
-file system, a task fetches a file once, maps the copy and unlinks it at once.
+sequence and shared by the workers of a machine. An entry is 48 bits of its hash and one byte:
+its place in the shard's table of the most frequent values, or a mark that the value is in a
+list of its own. Shards have about ``SHARD_TOKENS`` tokens at any size of the corpus, so of a
+billion lookups of missing n-grams a few find another's entry. Where the shared folder is not
+a mounted file system, a task fetches a file once, maps the copy and unlinks it at once.
 
 Words are lower-cased (A-Z) and followed by an end token; contexts before the first word are
 padded. Padding counts as a word when distinct left neighbours are counted. Unknown words
 share one uniform share, 1 / (vocabulary + 1). Null texts are empty: one end token. N-grams
-are known by 64-bit hashes; counts are exact up to 2**24 and to seven digits beyond. Every
+are known by 64-bit hashes while they are counted; counts are exact up to 2**53. Every
 input row is scored; a null id counts as the empty string for the split.
 """
 
@@ -27,6 +31,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,15 +40,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowbeam.llm.frames import ROWS_AT_ONCE, stored
-from flowbeam.llm.text import hash_words, lower_words, mix64, ngram_hashes
+from flowbeam.llm.frames import ROWS_AT_ONCE, Scratch
+from flowbeam.llm.text import hash_words, lower_words, mix64
 from flowbeam.session import scratch_path, ship_package
 
 END, PAD = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 #: Tokens that a task counts at a time, and that are looked up at a time.
 COUNT_TOKENS, SCORE_TOKENS = 3_000_000, 200_000
-#: Shards of each context hash range, by the last word.
-SALT = 4
+#: Tokens of a shard.
+SHARD_TOKENS = 1_000_000
+#: Entries' values that have a code of one byte; the last code marks a value outside the table.
+TABLE, OUTSIDE = 255, 255
 _BLOCK = "kind string, level int, shard int, columns binary, counts binary"
 
 
@@ -57,9 +64,24 @@ def _posix(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
-def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:
-    """One file: the length, then each array. Repeated attempts of a task leave the same file."""
-    data = [np.array([len(arrays[0])], "<i8"), *arrays]
+def write_table(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
+    """One file of sorted keys with a row of values each. Repeated attempts of a task leave the same file."""
+    short = keys >> np.uint64(16)
+    order = np.argsort(short, kind="stable")
+    short, values = short[order], values[order].astype("<u8")
+    width = values.shape[1]
+    small = (values < 1 << 16).all(axis=1)
+    shifts = np.arange(width, dtype="<u8") * np.uint64(16)
+    rows, place, n = np.unique((values[small] << shifts).sum(axis=1, dtype="<u8"), return_inverse=True, return_counts=True)
+    kept = np.argsort(-n, kind="stable")[:TABLE]
+    of_row = np.full(len(rows), OUTSIDE, "u1")
+    of_row[kept] = np.arange(len(kept))
+    code = np.full(len(short), OUTSIDE, "u1")
+    code[small] = of_row[place]
+    outside = np.flatnonzero(code == OUTSIDE)
+    known = (rows[kept][:, None] >> shifts) & np.uint64(0xFFFF)
+    data = [np.array([len(short), len(kept), len(outside), width], "<i8"), known.astype("<f8"), values[outside].astype("<f8"),
+            outside.astype("<u4"), (short >> np.uint64(16)).astype("<u4"), (short & np.uint64(0xFFFF)).astype("<u2"), code]
     path = _posix(folder)
     if path is not None:
         os.makedirs(path, exist_ok=True)
@@ -78,31 +100,56 @@ def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:
             f.write(np.ascontiguousarray(a).data)
 
 
-def map_arrays(folder: str, name: str, dtypes: list[str]) -> list[np.ndarray] | None:
-    """The arrays of a file, mapped into memory; None if there is no such file."""
+class MappedTable:
+    """A file of ``write_table``, mapped into memory."""
+
+    def __init__(self, data: np.ndarray):
+        n, kept, outside, width = data[:32].view("<i8").tolist()
+        at, parts = 32, []
+        for kind, size in (("<f8", kept * width), ("<f8", outside * width), ("<u4", outside), ("<u4", n), ("<u2", n), ("u1", n)):
+            end = at + np.dtype(kind).itemsize * size
+            parts.append(data[at:end].view(kind))
+            at = end
+        self.rows, self.others, self.at, self.high, self.low, self.code = parts
+        self.rows, self.others = self.rows.reshape(kept, width), self.others.reshape(outside, width)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """A row of values per key; zeros where a key is missing."""
+        out = np.zeros((len(keys), self.rows.shape[1]))
+        high, low = (keys >> np.uint64(32)).astype("<u4"), ((keys >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2")
+        todo, slot = np.arange(len(keys)), np.searchsorted(self.high, high)
+        while len(todo):  # entries that share the upper half follow one another
+            inside = slot < len(self.high)
+            todo, slot = todo[inside], slot[inside]
+            same = self.high[slot] == high[todo]
+            todo, slot = todo[same], slot[same]
+            hit = self.low[slot] == low[todo]
+            found, code = slot[hit], self.code[slot[hit]]
+            known = code != OUTSIDE
+            out[todo[hit][known]] = self.rows[code[known]]
+            out[todo[hit][~known]] = self.others[np.searchsorted(self.at, found[~known])]
+            todo, slot = todo[~hit], slot[~hit] + 1
+        return out
+
+
+def map_table(folder: str, name: str) -> MappedTable | None:
+    """The table of a file, None if there is no such file."""
     path = _posix(folder)
     if path is not None:
         if not os.path.exists(f"{path}/{name}"):
             return None
-        data = np.memmap(f"{path}/{name}", np.uint8, "r")
-    else:
-        from pyarrow import fs
+        return MappedTable(np.memmap(f"{path}/{name}", np.uint8, "r"))
+    from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
-        if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
-            return None
-        with tempfile.NamedTemporaryFile() as copy:
-            with store.open_input_stream(f"{root}/{name}") as f:
-                while chunk := f.read(1 << 24):
-                    copy.write(chunk)
-            copy.flush()
-            data = np.memmap(copy.name, np.uint8, "r")
-    n, at, out = int(data[:8].view("<i8")[0]), 8, []
-    for kind in dtypes:
-        size = np.dtype(kind).itemsize * n
-        out.append(data[at : at + size].view(kind))
-        at += size
-    return out
+    store, root = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+        return None
+    with tempfile.NamedTemporaryFile() as copy:
+        with store.open_input_stream(f"{root}/{name}") as f:
+            while chunk := f.read(1 << 24):
+                copy.write(chunk)
+        copy.flush()
+        return MappedTable(np.memmap(copy.name, np.uint8, "r"))
 
 
 # -- counting ------------------------------------------------------------------------------
@@ -129,12 +176,42 @@ def _key(columns: list[np.ndarray]) -> np.ndarray:
     return mix64(acc)
 
 
-def _shard(context: np.ndarray | None, last: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of n-grams by context hash and last word; of words by their hash."""
-    if context is None:
-        return (mix64(last ^ np.uint64(5)) % np.uint64(shards)).astype(np.int64)
-    salt = mix64(last ^ np.uint64(9)) % np.uint64(SALT)
-    return ((mix64(context ^ np.uint64(7)) % np.uint64(shards // SALT)) * np.uint64(SALT) + salt).astype(np.int64)
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of words, contexts or n-grams by their hash."""
+    return (mix64(keys ^ np.uint64(5)) % np.uint64(shards)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Which shard holds an n-gram: by its inner words, and by its outer words where those are frequent.
+
+    ``words`` are the frequent words in order, ``salts`` the number of shards that each is dealt over.
+    """
+
+    order: int
+    shards: int
+    words: np.ndarray
+    salts: np.ndarray
+
+    def inner(self, level: int, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """The words that choose the shard of n-grams of ``level``, of which the last word need not be given."""
+        return columns[1 : level - 1] if level > 2 and (self.order - level) % 2 == 0 else columns[: max(level - 1, 1)]
+
+    def spread(self, inner: list[np.ndarray]) -> np.ndarray:
+        """Number of shards, by the inner word that is the least frequent."""
+        out = np.full(len(inner[0]), np.iinfo(np.int64).max)
+        for c in inner:
+            at = np.minimum(np.searchsorted(self.words, c), max(len(self.words) - 1, 0))
+            out = np.minimum(out, np.where(self.words[at] == c, self.salts[at], 1) if len(self.words) else 1)
+        return out
+
+    def shard(self, inner: list[np.ndarray], spread: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        salt = _key([first, last]) % spread.astype(np.uint64)
+        return ((mix64(_key(inner) ^ np.uint64(7)) % np.uint64(self.shards) + salt) % np.uint64(self.shards)).astype(np.int64)
+
+    def top(self, level: int) -> bool:
+        """Whether n-grams of a level are sent to their shards (not derived there)."""
+        return level == self.order or (self.order - level) % 2 == 0 or level == 1
 
 
 def _grouped(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -193,14 +270,26 @@ def token_sequence(text: str | None, order: int) -> np.ndarray:
     return np.concatenate([np.full(order - 1, PAD), hash_words(lower_words(text)), [END]]).astype(np.uint64)
 
 
-def _count_run(sequences: list[np.ndarray], order: int, shards: int) -> Iterator[tuple]:
-    tokens = np.concatenate([s[order - 1 :] for s in sequences])
-    words, counts = np.unique(tokens, return_counts=True)
-    yield from _blocks("raw", 0, [words], counts.astype("<i8"), _shard(None, words, shards))
-    columns = [np.concatenate([s[j : len(s) - order + 1 + j] for s in sequences]) for j in range(order)]
-    columns, counts = _grouped(columns, np.ones(len(tokens), np.int64))
-    context = _key(columns[:-1]) if order > 1 else None
-    yield from _blocks("gram", order, columns, counts, _shard(context, columns[-1], shards))
+def _send(level: int, columns: list[np.ndarray], counts: np.ndarray, layout: Layout) -> Iterator[tuple]:
+    """Blocks of n-grams for their shards, sorted by inner words."""
+    if level == 1:
+        yield from _blocks("gram", 1, columns, counts, _shard(columns[0], layout.shards))
+        return
+    inner = layout.inner(level, columns)
+    order = np.lexsort([columns[-1], columns[0], *inner[::-1]])
+    columns, counts, inner = [c[order] for c in columns], counts[order], [c[order] for c in inner]
+    yield from _blocks("gram", level, columns, counts, layout.shard(inner, layout.spread(inner), columns[0], columns[-1]))
+
+
+def _count_words(sequences: list[np.ndarray], order: int, shards: int) -> Iterator[tuple]:
+    words, counts = np.unique(np.concatenate([s[order - 1 :] for s in sequences]), return_counts=True)
+    yield from _blocks("raw", 0, [words], counts.astype("<i8"), _shard(words, shards))
+
+
+def _count_grams(sequences: list[np.ndarray], layout: Layout) -> Iterator[tuple]:
+    n = layout.order
+    columns = [np.concatenate([s[j : len(s) - n + 1 + j] for s in sequences]) for j in range(n)]
+    yield from _send(n, *_grouped(columns, np.ones(len(columns[0]), np.int64)), layout)
 
 
 def _batches(rows: Iterable[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -217,42 +306,87 @@ def _batches(rows: Iterable[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch
 _ARROW = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("columns", pa.binary()), ("counts", pa.binary())])
 
 
-def _sums_kind(level: int) -> str:
-    """How a context's totals are stored: longer contexts are many, with small totals."""
-    return "<f8" if level < 3 else "<f4"
+def _totals(context: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per context hash: tokens, n-grams seen once, twice, more often."""
+    names, at = np.unique(_key(context), return_inverse=True)
+    sums = np.zeros((len(names), 4), np.int64)
+    np.add.at(sums, (at, 0), counts)
+    np.add.at(sums, (at, np.minimum(counts, 3)), 1)
+    return names, sums
+
+
+def _facts(kind: str, level: int, shard: int, counts: np.ndarray) -> tuple:
+    facts = [len(counts), counts.sum(), *((counts == c).sum() for c in (1, 2, 3, 4)), (counts > 2).sum()]
+    return (f"facts-{kind}", level, shard, b"", np.array(facts, "<i8").tobytes())
+
+
+def _merge_words(pdf: pd.DataFrame, folder: str, most: int) -> pd.DataFrame:
+    """Word counts of a shard: stored, totalled, and the words seen more than ``most`` times."""
+    shard = int(pdf["shard"].iloc[0])
+    words, counts = _grouped([np.concatenate([_columns(c)[0] for c in pdf["columns"]])], np.concatenate([_unpack(c, "<i8") for c in pdf["counts"]]))
+    write_table(folder, f"R-{shard}", words[0], counts[:, None])
+    often = counts > most
+    rows = [_facts("raw", 0, shard, counts), ("often", 0, shard, words[0][often].tobytes(), counts[often].tobytes())]
+    return pd.DataFrame(rows, columns=["kind", "level", "shard", "columns", "counts"])
 
 
-def _merge(pdf: pd.DataFrame, folder: str, shards: int) -> pd.DataFrame:
-    """Merge one shard's blocks, write its arrays, and return parts of what follows from them."""
+def _merge(pdf: pd.DataFrame, folder: str, layout: Layout) -> pd.DataFrame:
+    """Merge one shard's blocks, write its arrays, and return parts of what follows from them.
+
+    ``gram`` blocks are n-grams of a level that is sent (Layout.top), ``part`` blocks n-grams whose
+    left neighbours were counted in several shards, ``context`` blocks totals from several shards.
+    """
     kind, level, shard = pdf["kind"].iloc[0], int(pdf["level"].iloc[0]), int(pdf["shard"].iloc[0])
     parts = [_columns(c) for c in pdf["columns"]]
     columns = [np.concatenate(c) for c in zip(*parts)]
-    width = 4 if kind == "context" else 1
-    counts = np.concatenate([_unpack(c, "<i8").reshape(-1, width) for c in pdf["counts"]])
+    counts = np.concatenate([_unpack(c, "<i8").reshape(-1, 4 if kind == "context" else 1) for c in pdf["counts"]])
+    del parts, pdf
     rows: list[tuple] = []
-    if kind == "context":  # key -> tokens, n-grams seen once, twice, more often
-        keys, at = np.unique(columns[0], return_inverse=True)
-        sums = np.zeros((len(keys), 4), np.float64)
+
+    def lower(columns, counts):
+        """What n-grams that are complete here add to the next shorter ones."""
+        suffix, left = _grouped(columns[1:], np.ones(len(counts), np.int64))
+        rows.extend(_send(len(suffix), suffix, left, layout))
+
+    def by_spread(level, columns, counts):
+        """Totals of contexts that lie in one shard are stored, those of others sent on."""
+        many = layout.spread(layout.inner(level, columns)) > 1
+        if not many.all():
+            names, sums = _totals([c[~many] for c in columns[:-1]], counts[~many])
+            write_table(folder, f"C{level}-{shard}", names, sums)
+        if many.any():
+            names, sums = _totals([c[many] for c in columns[:-1]], counts[many])
+            rows.extend(_blocks("context", level, [names], sums, _shard(names, layout.shards)))
+        return many
+
+    if kind == "context":
+        names, at = np.unique(columns[0], return_inverse=True)
+        sums = np.zeros((len(names), 4), np.int64)
         np.add.at(sums, at, counts)
-        write_arrays(folder, f"C{level}-{shard}", [keys.astype("<u8"), *(c.astype(_sums_kind(level)) for c in sums.T)])
-    else:
-        columns, counts = _grouped(columns, counts[:, 0])
-        key = columns[0] if len(columns) == 1 else _key(columns)
-        order = np.argsort(key, kind="stable")
-        name = "R" if kind == "raw" else f"L{level}"
-        write_arrays(folder, f"{name}-{shard}", [key[order].astype("<u8"), counts[order].astype("<f8" if level < 2 else "<f4")])
-        facts = [len(counts), counts.sum(), *((counts == c).sum() for c in (1, 2, 3, 4)), (counts > 2).sum()]
-        rows.append((f"facts-{kind}", level, shard, b"", np.array(facts, "<i8").tobytes()))
-        if kind == "gram" and level > 1:
-            context = _key(columns[:-1])
-            names, at = np.unique(context, return_inverse=True)
-            sums = np.zeros((len(names), 4), np.int64)
-            np.add.at(sums, (at, 0), counts)
-            np.add.at(sums, (at, np.minimum(counts, 3)), 1)
-            rows += _blocks("context", level, [names], sums, _shard(None, names, shards))
-            suffix, left = _grouped(columns[1:], np.ones(len(counts), np.int64))
-            shorter = _key(suffix[:-1]) if level > 2 else None
-            rows += _blocks("gram", level - 1, suffix, left, _shard(shorter, suffix[-1], shards))
+        write_table(folder, f"D{level}-{shard}", names, sums)
+        return pd.DataFrame(rows, columns=["kind", "level", "shard", "columns", "counts"])
+    columns, counts = _grouped(columns, counts[:, 0])
+    write_table(folder, f"{'P' if kind == 'part' else 'L'}{level}-{shard}", _key(columns) if level > 1 else columns[0], counts[:, None])
+    rows.append(_facts("gram", level, shard, counts))
+    if kind == "part":
+        names, sums = _totals(columns[:-1], counts)
+        rows.extend(_blocks("context", level, [names], sums, _shard(names, layout.shards)))
+        lower(columns, counts)
+    elif level == 2:
+        by_spread(2, columns, counts)
+        lower(columns, counts)
+    elif level > 2:
+        many = by_spread(level, columns, counts)
+        suffix, left = _grouped([c[~many] for c in columns[1:]], np.ones(int((~many).sum()), np.int64))
+        if len(left):  # the inner words of these are their context, so all is here
+            write_table(folder, f"L{level - 1}-{shard}", _key(suffix), left[:, None])
+            rows.append(_facts("gram", level - 1, shard, left))
+            names, sums = _totals(suffix[:-1], left)
+            write_table(folder, f"C{level - 1}-{shard}", names, sums)
+            lower(suffix, left)
+        if many.any():
+            suffix, left = _grouped([c[many] for c in columns[1:]], np.ones(int(many.sum()), np.int64))
+            rows.extend(_blocks("part", level - 1, suffix, left, _shard(_key(suffix), layout.shards)))
     return pd.DataFrame(rows, columns=["kind", "level", "shard", "columns", "counts"])
 
 
@@ -261,41 +395,46 @@ class KneserNey:
     """Where the arrays of a model lie, and its few global numbers."""
 
     folder: str
-    order: int
-    shards: int
+    layout: Layout
+    word_shards: int
     tokens: int  # N of the training texts
     words: int  # V, distinct tokens
     discounts: dict[int, list[float]]  # level -> D1, D2, D3+
     lowest: list[float]  # level 1: total, words seen once, twice, more often
     _open: dict = field(default_factory=dict, repr=False)
 
+    @property
+    def order(self) -> int:
+        return self.layout.order
+
     def __getstate__(self):
         return {**self.__dict__, "_open": {}}
 
-    def _lookup(self, name: str, dtypes: list[str], keys: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
-        """Values of sorted-array files for keys; 0 where a key is missing."""
+    def _lookup(self, name: str, keys: np.ndarray, shard: np.ndarray, width: int = 1) -> np.ndarray:
+        """Rows of values for keys; 0 where a key is missing."""
         order = np.lexsort((keys, shard))
-        out = [np.zeros(len(keys)) for _ in dtypes[1:]]
+        out = np.zeros((len(keys), width))
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
             file = f"{name}-{shard[order[a]]}"
             if file not in self._open:
-                self._open[file] = map_arrays(self.folder, file, dtypes)
-            arrays = self._open[file]
-            if arrays is None or not len(arrays[0]):
-                continue
-            at = order[a:b]
-            slot = np.searchsorted(arrays[0], keys[at])
-            slot[slot == len(arrays[0])] = 0
-            hit = arrays[0][slot] == keys[at]
-            for o, v in zip(out, arrays[1:]):
-                o[at] = np.where(hit, v[slot], 0)
+                self._open[file] = map_table(self.folder, file)
+            if self._open[file] is not None:
+                at = order[a:b]
+                out[at] = self._open[file].find(keys[at])
+        return out
+
+    def _spread_lookup(self, one: str, many: str, keys: np.ndarray, shard: np.ndarray, spread: np.ndarray, width: int) -> np.ndarray:
+        """Values from file ``one`` by shard, or ``many`` by hash where inner words are dealt over shards."""
+        out, several = np.zeros((len(keys), width)), spread > 1
+        out[~several] = self._lookup(one, keys[~several], shard[~several], width)
+        out[several] = self._lookup(many, keys[several], _shard(keys[several], self.layout.shards), width)
         return out
 
     def counts(self, words: np.ndarray) -> np.ndarray:
         """Training counts of tokens."""
         distinct, at = np.unique(words, return_inverse=True)
-        return self._lookup("R", ["<u8", "<f8"], distinct, _shard(None, distinct, self.shards))[0][at]
+        return self._lookup("R", distinct, _shard(distinct, self.word_shards))[at, 0]
 
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """Probability of the last of ``order`` columns after the ones before it."""
@@ -307,14 +446,18 @@ class KneserNey:
             grams = [c[first] for c in part]
             if level == 1:
                 total, *seen = (np.full(len(distinct), x) for x in self.lowest)
-                shard = _shard(None, grams[0], self.shards)
+                count = self._lookup("L1", distinct, _shard(distinct, self.layout.shards))[:, 0]
             else:
-                context = _key(grams[:-1])
-                names, at = np.unique(context, return_inverse=True)
-                stats = self._lookup(f"C{level}", ["<u8", *[_sums_kind(level)] * 4], names, _shard(None, names, self.shards))
-                total, *seen = (s[at] for s in stats)
-                shard = _shard(context, grams[-1], self.shards)
-            count = self._lookup(f"L{level}", ["<u8", "<f8" if level < 2 else "<f4"], distinct, shard)[0]
+                inner = self.layout.inner(level, grams)
+                spread = self.layout.spread(inner)
+                plain = self.layout.shard(inner, np.ones(len(spread), np.int64), grams[0], grams[-1])
+                names, at, of = np.unique(_key(grams[:-1]), return_index=True, return_inverse=True)
+                stats = self._spread_lookup(f"C{level}", f"D{level}", names, plain[at], spread[at], 4)
+                total, *seen = (s[of] for s in stats.T)
+                if self.layout.top(level):
+                    count = self._lookup(f"L{level}", distinct, self.layout.shard(inner, spread, grams[0], grams[-1]))[:, 0]
+                else:
+                    count = self._spread_lookup(f"L{level}", f"P{level}", distinct, plain, spread, 1)[:, 0]
             d = np.array([0.0, *self.discounts[level]])
             kept = np.maximum(count - d[np.minimum(count, 3).astype(np.int64)], 0)
             freed = seen[0] * d[1] + seen[1] * d[2] + seen[2] * d[3]
@@ -339,41 +482,63 @@ def train(docs: DataFrame, order: int = 2, training=in_training) -> KneserNey:
     ship_package(spark)
     folder = scratch_path(spark, "language-model")
     texts = docs.select("doc_id", "text")
-    # a shard holds a fixed share of an input split's n-grams, however many splits there are
-    shards = SALT * max(4, 1 << max(0, texts.rdd.getNumPartitions() - 1).bit_length())
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            held, size = [], 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    part = batch.slice(at, ROWS_AT_ONCE)
-                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        if training(doc_id):
-                            held.append(token_sequence(text, order))
-                            size += len(held[-1])
-                    if size >= COUNT_TOKENS:
-                        yield from _count_run(held, order, shards)
-                        held, size = [], 0
-            if held:
-                yield from _count_run(held, order, shards)
-
-        yield from _batches(rows(), _ARROW)
-
-    todo = texts.mapInArrow(count, _BLOCK)
+    word_shards = max(4, 1 << max(0, texts.rdd.getNumPartitions() - 1).bit_length())
+
+    def counted(count) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows():
+                held, size = [], 0
+                for batch in batches:
+                    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                        part = batch.slice(at, ROWS_AT_ONCE)
+                        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                            if training(doc_id):
+                                held.append(token_sequence(text, order))
+                                size += len(held[-1])
+                        if size >= COUNT_TOKENS:
+                            yield from count(held)
+                            held, size = [], 0
+                if held:
+                    yield from count(held)
+
+            yield from _batches(rows(), _ARROW)
+
+        return texts.mapInArrow(run, _BLOCK)
+
+    most, none = max(SHARD_TOKENS // 2, 1), np.zeros(7, np.int64)
     facts: dict[tuple[str, int], np.ndarray] = {}
-    for _ in range(order):
-        done = stored(
-            todo.groupBy("kind", "level", "shard").applyInPandas(lambda pdf: _merge(pdf, folder, shards), _BLOCK), "lm-parts")
+
+    def merged(todo: DataFrame, merge, scratch: Scratch) -> DataFrame:
+        """One round: a shard's blocks merged by one task, the facts (seven numbers a shard) added up."""
+        done = scratch.store(todo.groupBy("kind", "level", "shard").applyInPandas(merge, _BLOCK), "lm-parts")
         for r in done.filter(F.col("kind").startswith("facts")).select("kind", "level", "counts").toLocalIterator():
-            key = (r["kind"], r["level"])  # seven numbers per shard
+            key = (r["kind"], r["level"])
             facts[key] = facts.get(key, 0) + np.frombuffer(r["counts"], "<i8")
-        todo = done.filter(~F.col("kind").startswith("facts"))
-    todo.groupBy("kind", "level", "shard").applyInPandas(lambda pdf: _merge(pdf, folder, shards), _BLOCK).write.format("noop").mode("overwrite").save()
-    none = np.zeros(7, np.int64)
-    raw, low = facts.get(("facts-raw", 0), none), facts.get(("facts-gram", 1), none)
+        return done.filter(~F.col("kind").startswith("facts"))
+
+    with Scratch(spark) as scratch:
+        often = merged(counted(lambda held: _count_words(held, order, word_shards)), lambda pdf: _merge_words(pdf, folder, most), scratch)
+        raw = facts.get(("facts-raw", 0), none)
+        words, counts = [np.array([], "<u8")], [np.array([], "<i8")]
+        for r in often.select("columns", "counts").toLocalIterator():  # words of over half a shard: at most twice as many as shards
+            words.append(np.frombuffer(r["columns"], "<u8"))
+            counts.append(np.frombuffer(r["counts"], "<i8"))
+        words, counts = np.concatenate(words), np.concatenate(counts)
+        if END in words:  # one end and up to order - 1 times padding a text
+            words, counts = np.append(words, PAD), np.append(counts, counts[words == END] * max(order - 1, 1))
+        by_word, shards = np.argsort(words), max(4, -(-int(raw[1]) // SHARD_TOKENS))
+        layout = Layout(order, shards, words[by_word], np.minimum(-(-counts[by_word] // most), shards))
+        todo = counted(lambda held: _count_grams(held, layout))
+        held = [merged(todo, lambda pdf: _merge(pdf, folder, layout), scratch)]
+        # the longest n-grams first, then all that adds to the shorter ones is known; contexts once their n-grams are done
+        while kinds := {(r["kind"], r["level"]) for df in held for r in df.select("kind", "level").distinct().collect()}:
+            level = max((k for kind, k in kinds if kind != "context"), default=0)
+            now = F.when(F.col("kind") == "context", F.col("level") > level).otherwise(F.col("level") == level)
+            todo = reduce(DataFrame.unionByName, [df.filter(now) for df in held])
+            held = [df.filter(~now) for df in held] + [merged(todo, lambda pdf: _merge(pdf, folder, layout), scratch)]
+    low = facts.get(("facts-gram", 1), none)
     return KneserNey(
-        folder, order, shards, int(raw[1]), int(raw[0]),
+        folder, layout, word_shards, int(raw[1]), int(raw[0]),
         {k: _discounts(*map(float, facts.get(("facts-gram", k), none)[2:6])) for k in range(1, order + 1)},
         [float(low[1]), float(low[2]), float(low[3]), float(low[6])],
     )

@@ -317,8 +317,9 @@ def brute_kn(rows, n):
                 sum(math.log10(p(tuple(t[j : j + n]))) for j in range(len(t) - n + 1))) for i, t in toks.items()}
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_language_model_equals_brute_force(spark, order):
+@pytest.mark.parametrize("order, shard_tokens", [(1, 1_000_000), (2, 1_000_000), (3, 1_000_000), (1, 100), (2, 100), (3, 100), (3, 500), (4, 100), (5, 200)])
+def test_language_model_equals_brute_force(spark, monkeypatch, order, shard_tokens):
+    monkeypatch.setattr(kn_lm, "SHARD_TOKENS", shard_tokens)  # a few frequent words, dealt over shards
     rng = np.random.default_rng(order)
     rows = [(i, " ".join(rng.choice(["a", "B", "c", "dd", "é", "f"], rng.integers(0, 40), p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.05]))) for i in range(80)]
     rows += [(500, None), (501, "unseen words only")]
@@ -441,6 +442,20 @@ def test_rule_ensemble_edges(edges, labels, none):
 # -- blocks of the language model -----------------------------------------------------------------
 
 
+@pytest.mark.parametrize("width, top", [(1, 3), (1, 100_000), (4, 3), (4, 40)])
+def test_tables_keep_their_values(tmp_path, width, top):
+    rng = np.random.default_rng(7)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000), (7 << 40) + (np.arange(50) << 16)]).astype("<u8"))
+    values = rng.integers(0, top, (len(keys), width))
+    values[5] = 1 << 40
+    kn_lm.write_table(str(tmp_path), "x", keys, values)
+    table = kn_lm.map_table(str(tmp_path), "x")
+    assert np.array_equal(table.find(keys[::-1]), values[::-1]) and not table.find(keys + np.uint64(1 << 23)).any()
+    assert kn_lm.map_table(str(tmp_path), "y") is None
+    kn_lm.write_table(str(tmp_path), "y", keys[:0], values[:0])
+    assert not kn_lm.map_table(str(tmp_path), "y").find(keys).any()
+
+
 def test_blocks_keep_their_columns():
     rng = np.random.default_rng(2)
     for words, size, n in ((50, 1000, 3), (50, 0, 2), (1 << 18, 100_000, 3), (9, 40, 1)):
