@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney language model of any order, counted in Spark.
 
-Counting: a first pass counts the words. In the second every task counts its n-grams (sorted
+Counting: a first pass counts the words and numbers them, frequent ones first. In the second every task counts its n-grams (sorted
 runs of bounded size) and sends each shard one compressed block per run. A shard is chosen by
 the inner words of an n-gram (those but the first and the last), so one task has all n-grams
 of a context and all left neighbours of the next shorter n-grams: it writes the arrays of two
@@ -19,7 +19,7 @@ a mounted file system, a task fetches a file once, maps the copy and unlinks it
 Words are lower-cased (A-Z) and followed by an end token; contexts before the first word are
 padded. Padding counts as a word when distinct left neighbours are counted. Unknown words
 share one uniform share, 1 / (vocabulary + 1). Null texts are empty: one end token. N-grams
-are known by 64-bit hashes while they are counted; counts are exact up to 2**53. Every
+are known by their words' numbers while they are counted; counts are exact up to 2**53. Every
 input row is scored; a null id counts as the empty string for the split.
 """
 
@@ -45,6 +45,8 @@ from flowbeam.llm.text import hash_words, lower_words, mix64
 from flowbeam.session import scratch_path, ship_package
 
 END, PAD = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
+#: Numbers of padding and of words that training did not see.
+PAD_ID, UNKNOWN = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Tokens that a task counts at a time, and that are looked up at a time.
 COUNT_TOKENS, SCORE_TOKENS = 3_000_000, 200_000
 #: Tokens of a shard.
@@ -64,8 +66,8 @@ def _posix(uri: str) -> str | None:
     return None if "://" in uri else uri
 
 
-def write_table(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """One file of sorted keys with a row of values each. Repeated attempts of a task leave the same file."""
+def write_table(folder: str, name: str, keys: np.ndarray, values: np.ndarray, ranks: np.ndarray | None = None) -> None:
+    """One file of sorted keys with a row of values each, and a rank. Repeated attempts of a task leave the same file."""
     short = keys >> np.uint64(16)
     order = np.argsort(short, kind="stable")
     short, values = short[order], values[order].astype("<u8")
@@ -80,8 +82,8 @@ def write_table(folder: str, name: str, keys: np.ndarray, values: np.ndarray) ->
     code[small] = of_row[place]
     outside = np.flatnonzero(code == OUTSIDE)
     known = (rows[kept][:, None] >> shifts) & np.uint64(0xFFFF)
-    data = [np.array([len(short), len(kept), len(outside), width], "<i8"), known.astype("<f8"), values[outside].astype("<f8"),
-            outside.astype("<u4"), (short >> np.uint64(16)).astype("<u4"), (short & np.uint64(0xFFFF)).astype("<u2"), code]
+    data = [np.array([len(short), len(kept), len(outside), width, ranks is not None], "<i8"), known.astype("<f8"), values[outside].astype("<f8"),
+            outside.astype("<u4"), *([] if ranks is None else [ranks[order].astype("<u4")]), (short >> np.uint64(16)).astype("<u4"), (short & np.uint64(0xFFFF)).astype("<u2"), code]
     path = _posix(folder)
     if path is not None:
         os.makedirs(path, exist_ok=True)
@@ -104,18 +106,18 @@ class MappedTable:
     """A file of ``write_table``, mapped into memory."""
 
     def __init__(self, data: np.ndarray):
-        n, kept, outside, width = data[:32].view("<i8").tolist()
-        at, parts = 32, []
-        for kind, size in (("<f8", kept * width), ("<f8", outside * width), ("<u4", outside), ("<u4", n), ("<u2", n), ("u1", n)):
+        n, kept, outside, width, ranked = data[:40].view("<i8").tolist()
+        at, parts = 40, []
+        for kind, size in (("<f8", kept * width), ("<f8", outside * width), ("<u4", outside), ("<u4", n * ranked), ("<u4", n), ("<u2", n), ("u1", n)):
             end = at + np.dtype(kind).itemsize * size
             parts.append(data[at:end].view(kind))
             at = end
-        self.rows, self.others, self.at, self.high, self.low, self.code = parts
+        self.rows, self.others, self.at, self.ranks, self.high, self.low, self.code = parts
         self.rows, self.others = self.rows.reshape(kept, width), self.others.reshape(outside, width)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """A row of values per key; zeros where a key is missing."""
-        out = np.zeros((len(keys), self.rows.shape[1]))
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where it is missing."""
+        out = np.full(len(keys), -1)
         high, low = (keys >> np.uint64(32)).astype("<u4"), ((keys >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2")
         todo, slot = np.arange(len(keys)), np.searchsorted(self.high, high)
         while len(todo):  # entries that share the upper half follow one another
@@ -124,13 +126,24 @@ class MappedTable:
             same = self.high[slot] == high[todo]
             todo, slot = todo[same], slot[same]
             hit = self.low[slot] == low[todo]
-            found, code = slot[hit], self.code[slot[hit]]
-            known = code != OUTSIDE
-            out[todo[hit][known]] = self.rows[code[known]]
-            out[todo[hit][~known]] = self.others[np.searchsorted(self.at, found[~known])]
+            out[todo[hit]] = slot[hit]
             todo, slot = todo[~hit], slot[~hit] + 1
         return out
 
+    def values(self, slots: np.ndarray) -> np.ndarray:
+        """A row of values per place; zeros for -1."""
+        out = np.zeros((len(slots), self.rows.shape[1]))
+        found = np.flatnonzero(slots >= 0)
+        code = self.code[slots[found]]
+        known = code != OUTSIDE
+        out[found[known]] = self.rows[code[known]]
+        out[found[~known]] = self.others[np.searchsorted(self.at, slots[found[~known]])]
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """A row of values per key; zeros where a key is missing."""
+        return self.values(self.slots(keys))
+
 
 def map_table(folder: str, name: str) -> MappedTable | None:
     """The table of a file, None if there is no such file."""
@@ -235,33 +248,21 @@ def _blocks(kind: str, level: int, columns, counts, shard: np.ndarray) -> Iterat
 
 
 def _encode(columns: list[np.ndarray]) -> bytes:
-    """Packed columns; several share a table of their words, the most frequent first, and hold places in it by byte."""
-    parts = columns
-    if len(columns) > 1:
-        words, at, n = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
-        by_count = np.argsort(-n, kind="stable")
-        place = np.empty(len(words), "<u4")
-        place[by_count] = np.arange(len(words))
-        width = 2 if len(words) <= 1 << 16 else 4
-        places = place[at].view(np.uint8).reshape(-1, 4)[:, :width]
-        size = len(columns[0])
-        parts = [words[by_count], *(places[i * size : (i + 1) * size].T for i in range(len(columns)))]
-    return len(columns).to_bytes(8, "little") + b"".join(len(p := _pack(c)).to_bytes(8, "little") + p for c in parts)
+    """Packed columns, byte by byte: numbers of words are small where words are frequent."""
+    width = max(1, (max(int(c.max(initial=0)) for c in columns).bit_length() + 7) // 8)
+    parts = [_pack(np.ascontiguousarray(c, "<u8").view("u1").reshape(-1, 8)[:, :width].T) for c in columns]
+    return bytes([width]) + b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
 def _columns(data: bytes) -> list[np.ndarray]:
-    parts, at = [], 8
+    width, at, out = data[0], 1, []
     while at < len(data):
         n = int.from_bytes(data[at : at + 8], "little")
-        parts.append(data[at + 8 : at + 8 + n])
+        planes = _unpack(data[at + 8 : at + 8 + n], "u1").reshape(width, -1)
+        column = np.zeros((planes.shape[1], 8), "u1")
+        column[:, :width] = planes.T
+        out.append(column.reshape(-1).view("<u8"))
         at += 8 + n
-    words = _unpack(parts[0], "<u8")
-    if int.from_bytes(data[:8], "little") == 1:
-        return [words]
-    width, out = 2 if len(words) <= 1 << 16 else 4, []
-    for part in parts[1:]:
-        planes = _unpack(part, "u1").reshape(width, -1)
-        out.append(words[sum(planes[i].astype(np.uint32) << np.uint32(8 * i) for i in range(width))])
     return out
 
 
@@ -286,10 +287,51 @@ def _count_words(sequences: list[np.ndarray], order: int, shards: int) -> Iterat
     yield from _blocks("raw", 0, [words], counts.astype("<i8"), _shard(words, shards))
 
 
-def _count_grams(sequences: list[np.ndarray], layout: Layout) -> Iterator[tuple]:
-    n = layout.order
-    columns = [np.concatenate([s[j : len(s) - n + 1 + j] for s in sequences]) for j in range(n)]
-    yield from _send(n, *_grouped(columns, np.ones(len(columns[0]), np.int64)), layout)
+@dataclass
+class Words:
+    """Where the word counts lie."""
+
+    folder: str
+    shards: int
+    _open: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return {**self.__dict__, "_open": {}}
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and training counts of word hashes."""
+        distinct, back = np.unique(words, return_inverse=True)
+        numbers, counts, shard = np.full(len(distinct), UNKNOWN), np.zeros(len(distinct)), _shard(distinct, self.shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            if k not in self._open:
+                self._open[k] = map_table(self.folder, f"R-{k}")
+            table, at = self._open[k], order[cuts[k] : cuts[k + 1]]
+            if table is not None:
+                slots = table.slots(distinct[at])
+                counts[at] = table.values(slots)[:, 0]
+                known = slots >= 0
+                numbers[at[known]] = table.ranks[slots[known]].astype("<u8") * np.uint64(self.shards) + np.uint64(k + 1)
+        numbers[distinct == PAD] = PAD_ID
+        return numbers[back], counts[back]
+
+    def columns(self, sequences: list[np.ndarray], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The n-grams of texts, one array of word numbers per place, and the counts of their last words."""
+        tokens = np.concatenate(sequences)
+        numbers, counts = self.find(tokens)
+        sizes = np.array([len(s) for s in sequences])
+        ends = np.cumsum(sizes)
+        first = np.ones(len(tokens), bool)  # tokens that begin an n-gram
+        for k in range(1, order):
+            first[ends - k] = False
+        at = np.flatnonzero(first)
+        return [numbers[at + k] for k in range(order)], counts[at + order - 1]
+
+
+def _count_grams(sequences: list[np.ndarray], words: Words, layout: Layout) -> Iterator[tuple]:
+    columns, _ = words.columns(sequences, layout.order)
+    yield from _send(layout.order, *_grouped(columns, np.ones(len(columns[0]), np.int64)), layout)
 
 
 def _batches(rows: Iterable[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -320,13 +362,20 @@ def _facts(kind: str, level: int, shard: int, counts: np.ndarray) -> tuple:
     return (f"facts-{kind}", level, shard, b"", np.array(facts, "<i8").tobytes())
 
 
-def _merge_words(pdf: pd.DataFrame, folder: str, most: int) -> pd.DataFrame:
-    """Word counts of a shard: stored, totalled, and the words seen more than ``most`` times."""
+def _merge_words(pdf: pd.DataFrame, words: Words, order: int, most: int) -> pd.DataFrame:
+    """Word counts of a shard: stored with ranks, totalled, and the numbers of words seen more than ``most`` times."""
     shard = int(pdf["shard"].iloc[0])
-    words, counts = _grouped([np.concatenate([_columns(c)[0] for c in pdf["columns"]])], np.concatenate([_unpack(c, "<i8") for c in pdf["counts"]]))
-    write_table(folder, f"R-{shard}", words[0], counts[:, None])
-    often = counts > most
-    rows = [_facts("raw", 0, shard, counts), ("often", 0, shard, words[0][often].tobytes(), counts[often].tobytes())]
+    (found,), counts = _grouped([np.concatenate([_columns(c)[0] for c in pdf["columns"]])], np.concatenate([_unpack(c, "<i8") for c in pdf["counts"]]))
+    ranks = np.empty(len(found), np.int64)
+    ranks[np.argsort(-counts, kind="stable")] = np.arange(len(found))
+    write_table(words.folder, f"R-{shard}", found, counts[:, None], ranks)
+    numbers = ranks.astype("<u8") * np.uint64(words.shards) + np.uint64(shard + 1)
+    if END in found:  # one end and up to order - 1 times padding a text
+        numbers, seen = np.append(numbers, PAD_ID), np.append(counts, counts[found == END] * (order - 1))
+    else:
+        seen = counts
+    often = seen > most
+    rows = [_facts("raw", 0, shard, counts), ("often", 0, shard, numbers[often].astype("<u8").tobytes(), seen[often].astype("<i8").tobytes())]
     return pd.DataFrame(rows, columns=["kind", "level", "shard", "columns", "counts"])
 
 
@@ -366,7 +415,7 @@ def _merge(pdf: pd.DataFrame, folder: str, layout: Layout) -> pd.DataFrame:
         write_table(folder, f"D{level}-{shard}", names, sums)
         return pd.DataFrame(rows, columns=["kind", "level", "shard", "columns", "counts"])
     columns, counts = _grouped(columns, counts[:, 0])
-    write_table(folder, f"{'P' if kind == 'part' else 'L'}{level}-{shard}", _key(columns) if level > 1 else columns[0], counts[:, None])
+    write_table(folder, f"{'P' if kind == 'part' else 'L'}{level}-{shard}", _key(columns), counts[:, None])
     rows.append(_facts("gram", level, shard, counts))
     if kind == "part":
         names, sums = _totals(columns[:-1], counts)
@@ -396,7 +445,7 @@ class KneserNey:
 
     folder: str
     layout: Layout
-    word_shards: int
+    numbers: Words
     tokens: int  # N of the training texts
     words: int  # V, distinct tokens
     discounts: dict[int, list[float]]  # level -> D1, D2, D3+
@@ -431,22 +480,17 @@ class KneserNey:
         out[several] = self._lookup(many, keys[several], _shard(keys[several], self.layout.shards), width)
         return out
 
-    def counts(self, words: np.ndarray) -> np.ndarray:
-        """Training counts of tokens."""
-        distinct, at = np.unique(words, return_inverse=True)
-        return self._lookup("R", distinct, _shard(distinct, self.word_shards))[at, 0]
-
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """Probability of the last of ``order`` columns after the ones before it."""
         p = np.full(len(columns[-1]), 1.0 / (self.words + 1))
         for level in range(1, self.order + 1):
             part = columns[self.order - level :]
-            keys = part[0] if level == 1 else _key(part)
+            keys = _key(part)
             distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
             grams = [c[first] for c in part]
             if level == 1:
                 total, *seen = (np.full(len(distinct), x) for x in self.lowest)
-                count = self._lookup("L1", distinct, _shard(distinct, self.layout.shards))[:, 0]
+                count = self._lookup("L1", distinct, _shard(grams[0], self.layout.shards))[:, 0]
             else:
                 inner = self.layout.inner(level, grams)
                 spread = self.layout.spread(inner)
@@ -482,7 +526,7 @@ def train(docs: DataFrame, order: int = 2, training=in_training) -> KneserNey:
     ship_package(spark)
     folder = scratch_path(spark, "language-model")
     texts = docs.select("doc_id", "text")
-    word_shards = max(4, 1 << max(0, texts.rdd.getNumPartitions() - 1).bit_length())
+    numbers = Words(folder, max(4, 1 << max(0, texts.rdd.getNumPartitions() - 1).bit_length()))
 
     def counted(count) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -517,18 +561,17 @@ def train(docs: DataFrame, order: int = 2, training=in_training) -> KneserNey:
         return done.filter(~F.col("kind").startswith("facts"))
 
     with Scratch(spark) as scratch:
-        often = merged(counted(lambda held: _count_words(held, order, word_shards)), lambda pdf: _merge_words(pdf, folder, most), scratch)
+        often = merged(counted(lambda held: _count_words(held, order, numbers.shards)),
+                       lambda pdf: _merge_words(pdf, numbers, order, most), scratch)
         raw = facts.get(("facts-raw", 0), none)
         words, counts = [np.array([], "<u8")], [np.array([], "<i8")]
         for r in often.select("columns", "counts").toLocalIterator():  # words of over half a shard: at most twice as many as shards
             words.append(np.frombuffer(r["columns"], "<u8"))
             counts.append(np.frombuffer(r["counts"], "<i8"))
         words, counts = np.concatenate(words), np.concatenate(counts)
-        if END in words:  # one end and up to order - 1 times padding a text
-            words, counts = np.append(words, PAD), np.append(counts, counts[words == END] * max(order - 1, 1))
         by_word, shards = np.argsort(words), max(4, -(-int(raw[1]) // SHARD_TOKENS))
         layout = Layout(order, shards, words[by_word], np.minimum(-(-counts[by_word] // most), shards))
-        todo = counted(lambda held: _count_grams(held, layout))
+        todo = counted(lambda held: _count_grams(held, numbers, layout))
         held = [merged(todo, lambda pdf: _merge(pdf, folder, layout), scratch)]
         # the longest n-grams first, then all that adds to the shorter ones is known; contexts once their n-grams are done
         while kinds := {(r["kind"], r["level"]) for df in held for r in df.select("kind", "level").distinct().collect()}:
@@ -538,7 +581,7 @@ def train(docs: DataFrame, order: int = 2, training=in_training) -> KneserNey:
             held = [df.filter(~now) for df in held] + [merged(todo, lambda pdf: _merge(pdf, folder, layout), scratch)]
     low = facts.get(("facts-gram", 1), none)
     return KneserNey(
-        folder, layout, word_shards, int(raw[1]), int(raw[0]),
+        folder, layout, numbers, int(raw[1]), int(raw[0]),
         {k: _discounts(*map(float, facts.get(("facts-gram", k), none)[2:6])) for k in range(1, order + 1)},
         [float(low[1]), float(low[2]), float(low[3]), float(low[6])],
     )
@@ -553,11 +596,10 @@ def score(docs: DataFrame, model: KneserNey, training=in_training) -> DataFrame:
     order = model.order
 
     def rate(sequences: list[np.ndarray]):
-        columns = [np.concatenate([s[j : len(s) - order + 1 + j] for s in sequences]) for j in range(order)]
         sizes = np.array([len(s) - order + 1 for s in sequences])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         held = _MODELS[model.folder]
-        count = held.counts(columns[-1])
+        columns, count = held.numbers.columns(sequences, order)
         base = np.log10((count + 0.5) / (held.tokens + 0.5 * (held.words + 1)))
         full = np.log10(held.probabilities(columns))
         return sizes, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(full, starts)
