@@ -48,7 +48,7 @@ END, PAD = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 #: Numbers of padding and of words that training did not see.
 PAD_ID, UNKNOWN = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Tokens that a task counts at a time, and that are looked up at a time.
-COUNT_TOKENS, SCORE_TOKENS = 3_000_000, 200_000
+COUNT_TOKENS, SCORE_TOKENS = 3_000_000, 1_000_000
 #: Tokens of a shard.
 SHARD_TOKENS = 1_000_000
 #: Entries' values that have a code of one byte; the last code marks a value outside the table.
@@ -272,13 +272,11 @@ def token_sequence(text: str | None, order: int) -> np.ndarray:
 
 
 def _send(level: int, columns: list[np.ndarray], counts: np.ndarray, layout: Layout) -> Iterator[tuple]:
-    """Blocks of n-grams for their shards, sorted by inner words."""
+    """Blocks of n-grams for their shards, in the order given."""
     if level == 1:
         yield from _blocks("gram", 1, columns, counts, _shard(columns[0], layout.shards))
         return
     inner = layout.inner(level, columns)
-    order = np.lexsort([columns[-1], columns[0], *inner[::-1]])
-    columns, counts, inner = [c[order] for c in columns], counts[order], [c[order] for c in inner]
     yield from _blocks("gram", level, columns, counts, layout.shard(inner, layout.spread(inner), columns[0], columns[-1]))
 
 
@@ -331,7 +329,9 @@ class Words:
 
 def _count_grams(sequences: list[np.ndarray], words: Words, layout: Layout) -> Iterator[tuple]:
     columns, _ = words.columns(sequences, layout.order)
-    yield from _send(layout.order, *_grouped(columns, np.ones(len(columns[0]), np.int64)), layout)
+    places = [*range(1, layout.order - 1), 0, layout.order - 1][-layout.order :]  # sorted by inner words, to be packed well
+    grouped, counts = _grouped([columns[k] for k in places], np.ones(len(columns[0]), np.int64))
+    yield from _send(layout.order, [grouped[places.index(k)] for k in range(layout.order)], counts, layout)
 
 
 def _batches(rows: Iterable[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -460,8 +460,8 @@ class KneserNey:
         return {**self.__dict__, "_open": {}}
 
     def _lookup(self, name: str, keys: np.ndarray, shard: np.ndarray, width: int = 1) -> np.ndarray:
-        """Rows of values for keys; 0 where a key is missing."""
-        order = np.lexsort((keys, shard))
+        """Rows of values for sorted keys; 0 where a key is missing."""
+        order = np.argsort(shard.astype(np.uint16 if self.layout.shards <= 1 << 16 else np.uint32), kind="stable")
         out = np.zeros((len(keys), width))
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
