@@ -4,11 +4,14 @@ Three pattern kinds (``assign``, ``access``, ``hex``) are found leftmost and non
 per kind; matches below the minimum length are dropped. On top, a window slides over each
 candidate string (a run of base64 characters) once per character class; the window's Shannon
 entropy follows from counts that change by one character out and one in. Windows over the
-class threshold are merged into a span of kind ``entropy``, unless the span is covered by a
-pattern span or fits the allow-list (placeholders, UUIDs, paths, plain words, sequences).
+class threshold are merged into a span of kind ``entropy``. Windows lie outside the pattern spans
+and outside what the allow-list suppresses: UUIDs, the parts of a candidate (runs of letters and
+digits) that hold a placeholder or a sequence, and pieces that are all plain words or numbers.
+The rest of a candidate is looked at as if these were not there, so a key beside them is found.
 
 Nulls and empty texts give no spans; every row of the input gives one row, in whatever number
-a ``doc_id`` (null included) occurs. Work is linear in the text length.
+a ``doc_id`` (null included) occurs. Spans that touch are one span. Work grows with the text's
+length, but for sorting what is found.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -63,8 +68,8 @@ class PlainWords:
     """Paths, compounds and camel case of plain words: letters and separators only, in word-like parts.
 
     A part changes from lower to upper case at most once in four letters, and of all pairs of
-    neighbouring letters at least 88 % are common ones (about 46 % of all pairs are). Each
-    character is looked at a fixed number of times.
+    neighbouring letters at least 88 % are common ones (about 46 % of all pairs are), of those in a
+    part of 16 letters and more at least 75 %. Each character is looked at a fixed number of times.
     """
 
     def fullmatch(self, value: str) -> bool:
@@ -75,18 +80,23 @@ class PlainWords:
             if 4 * sum(a.islower() and b.isupper() for a, b in zip(part, part[1:])) > len(part):
                 return False
             low = part.lower()
+            here = sum(low[i : i + 2] in _COMMON_PAIRS for i in range(len(low) - 1))
+            if len(low) >= 16 and 100 * here < 75 * (len(low) - 1):
+                return False
             pairs += len(low) - 1
-            common += sum(low[i : i + 2] in _COMMON_PAIRS for i in range(len(low) - 1))
+            common += here
         return 100 * common >= 88 * max(pairs, 1)
 
 
-#: Strings that look random by counts but are not secrets.
+#: Suppressed where they stand in a candidate, whatever is beside them.
+_UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+#: Placeholders and sequences: the parts that they are in are suppressed.
+_PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|your[-_]?key|xxxx|abcdefgh|0123456789|qwertyui")
+_PART = re.compile(r"[A-Za-z0-9]+")
+#: Whole pieces that look random by counts but are not secrets.
 ALLOW_LIST = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUIDs
-    re.compile(r"(?i).*(example|placeholder|changeme|your[-_]?key|xxxx).*"),
     PlainWords(),
     re.compile(r"[0-9+/_=-]+"),  # numbers and rules
-    re.compile(r"(?i).*(abcdefgh|0123456789|qwertyui).*"),  # sequences
 )
 
 
@@ -125,6 +135,46 @@ def allowed(value: str, allow_list=ALLOW_LIST) -> bool:
     return any(p.fullmatch(value) for p in allow_list)
 
 
+def suppressed_parts(value: str) -> list[tuple[int, int]]:
+    """Spans of UUIDs and of parts with a placeholder or a sequence, merged."""
+    found = [m.span() for m in _UUID.finditer(value)]
+    words = [m.span() for m in _PLACEHOLDER.finditer(value)]
+    if words:
+        parts = [m.span() for m in _PART.finditer(value)]
+        starts = [a for a, _ in parts]
+        # every placeholder begins and ends with a letter or digit, so both ends are in a part
+        found += [(parts[bisect_right(starts, a) - 1][0], parts[bisect_right(starts, b - 1) - 1][1]) for a, b in words]
+    return merged(found)
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(spans: Iterable[tuple[int, int]], cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of ``spans`` outside ``cuts``; both in order and without overlap, each read once."""
+    k = 0
+    for a, b in spans:
+        while k < len(cuts) and cuts[k][1] <= a:
+            k += 1
+        while k < len(cuts) and cuts[k][0] < b:
+            if a < cuts[k][0]:
+                yield a, cuts[k][0]
+            a = cuts[k][1]
+            if a >= b:
+                break
+            k += 1
+        if a < b:
+            yield a, b
+
+
 def pattern_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of the three pattern kinds."""
     return {
@@ -137,23 +187,18 @@ def pattern_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def entropy_spans(text: str, taken: list[tuple[int, int]], classes=CLASSES, allow_list=ALLOW_LIST):
     """High-entropy spans outside ``taken``, over all character classes, merged."""
     found = []
-    for candidate in _CANDIDATE.finditer(text):
-        value = candidate[0]
-        if allowed(value, allow_list):
-            continue
-        for cls in classes:
-            for run in cls.run.finditer(value):
-                shift = run.start()
-                for a, b in high_entropy_windows(run[0], cls.window, cls.bits):
-                    if not allowed(value[a + shift : b + shift], allow_list):
-                        found.append((candidate.start() + a + shift, candidate.start() + b + shift))
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return [(a, b) for a, b in merged if not any(a < y and x < b for x, y in taken)]
+    for a, b in outside((m.span() for m in _CANDIDATE.finditer(text)), merged(taken)):
+        cuts = [(a + x, a + y) for x, y in suppressed_parts(text[a:b])]
+        for start, end in outside([(a, b)], cuts):
+            value = text[start:end]
+            if allowed(value, allow_list):
+                continue
+            for cls in classes:
+                for run in cls.run.finditer(value):
+                    for x, y in high_entropy_windows(run[0], cls.window, cls.bits):
+                        if not allowed(run[0][x:y], allow_list):
+                            found.append((start + run.start() + x, start + run.start() + y))
+    return merged(found)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
