@@ -540,7 +540,7 @@ def test_licenses_by_wording(edges, none, spark):
              (92, "x\nLicensed under the Apache License, Version 1.1.\ny", "en", "a")]
     got = {(r.doc_id, r.license, r.exact) for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()}
     names = list(license_scan.TEMPLATES)
-    assert {(k, n, True) for k, n in enumerate(names)} <= got and (90, "MIT", True) in got and (92, "Apache-2.0", False) in got
+    assert {(k, n, True) for k, n in enumerate(names)} <= got and (90, "MIT", True) in got and (92, "unknown", False) in got
     assert not any(d == 91 for d, _, _ in got)
     assert license_scan.scan_licenses(edges).count() == 0 and license_scan.scan_licenses(none).count() == 0
 
@@ -561,6 +561,106 @@ def test_every_license_of_a_block_is_found():
     assert [r[2] for r in license_scan.scan_text(every, license_scan.TEMPLATES, 0.2)] == list(license_scan.TEMPLATES)
 
 
+ALL_LICENSES = license_scan.TEMPLATES | license_scan.SPDX_LINES
+FILLER = "the a code text work files of and to is in license software copy version under use for with this any notice".split()
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("Released under the Acme License.", ["unknown"]),
+    ("This work is licensed under the GNU General Public License, version 7.", ["unknown"]),
+    ("GNU General Public License, version 7", []),
+    ("Licensed under the Apache License, Version 1.1.", ["unknown"]),
+    ("Licensed under CC BY-NC 3.0.", ["unknown"]),
+    ("Licensed under BY 4.0.", ["unknown"]),
+    ("This work is licensed under the GNU Library General Public License, version 2.", ["unknown"]),
+    ("SPDX-License-Identifier: Acme-1.0", ["unknown"]),
+    ("SPDX-License-Identifier: MIT OR Acme-1.0", ["MIT-spdx", "unknown"]),
+    ("Released under the MIT Lisense.", ["MIT"]),  # no usual mention word
+    ("Redistributoin and use in source and binary forms, with or wihtout modification, are permitted provided that the "
+     "following conditions are met", ["BSD-3-Clause"]),
+])
+def test_other_names_are_unknown(text, expected):
+    assert [r[2] for r in license_scan.scan_text(text, ALL_LICENSES, 0.2)] == expected
+
+
+def changed(rng, template):
+    """The template's words with as many free ones as may change replaced, dropped or added to."""
+    words = [[w] for w in template.words]
+    for i in rng.sample([i for i, n in enumerate(template.names) if not n], min(template.most, template.names.count(False))):
+        words[i] = rng.choice([[rng.choice(FILLER)], [rng.choice(FILLER)], []])
+    return [w for part in words for w in part]
+
+
+def test_runs_within_the_limit_are_candidates_by_compression():
+    held, rng = license_scan.prepared(license_scan.TEMPLATES, 0.2), random.Random(4)
+    for t in held.templates:
+        for _ in range(25):
+            run = changed(rng, t)
+            window = rng.choices(FILLER, k=rng.randint(0, 150)) + run + rng.choices(FILLER, k=rng.randint(0, 150))
+            assert t in [c for _, c in held.candidates(window)], (t.name, run)
+
+
+def test_compression_decides_and_ranks_what_is_confirmed(monkeypatch):
+    held, rng = license_scan.prepared(license_scan.TEMPLATES, 0.2), random.Random(6)
+    long = [t for t in held.templates if len(t.words) > license_scan.SHORT]
+    for t in long:
+        window = rng.choices(FILLER, k=40) + list(t.words) + rng.choices(FILLER, k=40)
+        ranked = [c for _, c in held.candidates(window) if c in long]
+        assert ranked[0].name == t.name and len(ranked) < len(long)
+    text = license_scan.TEMPLATES["MIT-grant"]
+    assert [r[2] for r in license_scan.scan_text(text, license_scan.TEMPLATES, 0.2)] == ["MIT-grant"]
+    monkeypatch.setattr(held, "with_template", dict.fromkeys(held.with_template, held.plain))  # dictionaries that save nothing
+    assert license_scan.scan_text(text, license_scan.TEMPLATES, 0.2) == []
+
+
+def test_chosen_runs_equal_brute_force():
+    """Every run of every template by edit distance with names in place, then the ranking."""
+    names = ["MIT", "Apache-2.0", "Apache-2.0-header", "GPL-2.0", "GPL-3.0", "CC-BY-4.0", "BSD"]
+    templates = {n: license_scan.TEMPLATES[n] for n in names}
+    held, rng = license_scan.prepared(templates, 0.2), random.Random(8)
+
+    def cost(t, run):
+        far = 99
+        d = [[0] * (len(run) + 1) for _ in range(len(t.words) + 1)]
+        for i in range(len(t.words) + 1):
+            for j in range(len(run) + 1):
+                if i or j:
+                    options = [far]
+                    if i and j and t.words[i - 1] == run[j - 1]:
+                        options.append(d[i - 1][j - 1])
+                    if i and not t.names[i - 1]:
+                        options += [d[i - 1][j] + 1] + ([d[i - 1][j - 1] + 1] if j else [])
+                    if j and not (0 < i < len(t.words) and t.names[i - 1] and t.names[i]):
+                        options.append(d[i][j - 1] + 1)
+                    d[i][j] = min(options)
+        return d[-1][-1]
+
+    for _ in range(25):
+        words = []
+        for t in rng.sample(held.templates, 3):
+            words += rng.choices(FILLER, k=rng.randint(0, 12)) + changed(rng, t)
+        words += rng.choices(FILLER, k=5)
+        got = [r for r in license_scan.find_matches(words, held) if r[2] != license_scan.UNKNOWN]
+        by_name = {t.name: t for t in held.templates}
+        for start, end, name, saved, changes, size in got:
+            assert cost(by_name[name], words[start:end]) == changes <= by_name[name].most and size == len(by_name[name].words)
+            assert saved == held.reduction(words[start:end], name)
+        covered = {i for start, end, *_ in got for i in range(start, end)}
+        for t in held.templates:
+            n = len(t.words)
+            for a in range(len(words)):
+                for b in range(a + n - t.most, min(a + n + t.most, len(words)) + 1):
+                    if cost(t, words[a:b]) <= t.most:
+                        assert covered & set(range(a, b)), (t.name, words[a:b])
+
+
+def test_long_text_of_notices():
+    text = "\n".join([*license_scan.TEMPLATES.values(), "Nothing is said here of any of them. " * 20] * 12)
+    began = time.monotonic()
+    got = license_scan.scan_text(text, ALL_LICENSES, 0.2)
+    assert [r[2] for r in got] == list(license_scan.TEMPLATES) * 12 and time.monotonic() - began < 30
+
+
 def test_changes_by_end_equal_edit_distance():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -568,8 +668,9 @@ def test_changes_by_end_equal_edit_distance():
         found = license_scan.changes_by_end(t, w)
         assert min([len(t), *found]) == license_scan.word_changes(t, w)
         for end, c in enumerate(found, 1):
-            start = license_scan.run_start(t, w, end, c)
-            assert license_scan.word_changes(t, w[start:end]) <= c and 0 <= start <= end
+            free = license_scan.Template("t", tuple(t), (False,) * len(t), len(t), frozenset())
+            changes, start = license_scan.run_before(free, w, end) or (c, end)
+            assert changes == c and license_scan.word_changes(t, w[start:end]) <= c and 0 <= start <= end
 
 
 @pytest.mark.parametrize("width", [60, 70, 80])
