@@ -196,6 +196,55 @@ def test_rules_adapt_to_each_source(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, k in kept.items() if k}
 
 
+def ratio_rows(n=3000):
+    rng = random.Random(12)
+    for i in range(n):
+        source = "ab"[rng.random() < 0.3] if i % 50 else None
+        yield (source and "en", source, 100, 0, *(rng.choice([0.0, rng.random() ** 3, rng.lognormvariate(0, 2)]) for _ in quality_rules.NAMES))
+
+
+def test_thresholds_follow_exact_quartiles_and_repeat(spark):
+    rows = list(ratio_rows())
+    names = quality_rules.NAMES
+    schema = "lang string, source string, n_words long, n_repeat_words long, " + ", ".join(f"r_{x} double" for x in names)
+    df = spark.createDataFrame(rows, schema)
+    first = {(r.lang, r.source): r for r in quality_rules.thresholds(df.repartition(3), min_group=200).collect()}
+    again = {(r.lang, r.source): r for r in quality_rules.thresholds(df.orderBy("r_bangs").repartition(7), min_group=200).collect()}
+    assert first == again and set(first) == {("en", "a"), ("en", "b"), (None, None)}
+    for (lang, source), limits in first.items():
+        group = [r for r in rows if r[1] == source] if source else rows  # 60 documents without source take the corpus's
+        assert limits.n_group == len(group)
+        for k, (name, _, spread, low) in enumerate(quality_rules.RATIOS):
+            values = sorted(r[4 + k] for r in group)
+            q1, q3 = (values[math.ceil(q * len(values) / 4) - 1] for q in (1, 3))
+            margin = 3 * max(q3 - q1, spread)
+            close = 0.0026 * (4 * q3 + 3 * q1)
+            assert limits[f"hi_{name}"] == pytest.approx(q3 + margin, abs=close)
+            assert (limits[f"lo_{name}"] == pytest.approx(q1 - margin, abs=close)) if low else limits[f"lo_{name}"] is None
+
+
+def test_kept_equals_exact_quartiles(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    rows = quality_rules.judge_documents(docs, min_group=20).collect()
+    usable = [r for r in rows if not r.base_failed]
+    groups = {}
+    for r in usable:
+        for key in ((r.lang, r.source), r.lang, "all"):
+            groups.setdefault(key, []).append(r)
+    for r in rows:
+        own = next((g for g in (groups.get(k, []) for k in ((r.lang, r.source), r.lang)) if len(g) >= 20), groups["all"])
+        sure = not r.base_failed
+        doubtful = False
+        for name, _, spread, low in quality_rules.RATIOS:
+            values = sorted(x[f"r_{name}"] for x in own)
+            q1, q3 = (values[math.ceil(q * len(values) / 4) - 1] for q in (1, 3))
+            margin, close, value = 3 * max(q3 - q1, spread), 0.0026 * (4 * q3 + 3 * q1), r[f"r_{name}"]
+            doubtful |= abs(value - q3 - margin) <= close or (low and abs(value - q1 + margin) <= close)
+            sure = sure and value <= q3 + margin and (not low or value >= q1 - margin)
+        assert r.kept == sure or doubtful, r
+    assert {True, False} == {r.kept for r in rows}
+
+
 def test_rule_edges(edges, none):
     rows = quality_rules.judge_documents(edges).collect()
     assert len(rows) == len(EDGES) and {r.doc_id for r in rows if r.kept} >= {1, 2}
