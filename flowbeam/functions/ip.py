@@ -22,15 +22,18 @@ def is_ipv4(text: Column) -> Column:
 
 def ip_to_bytes(text: Column) -> Column:
     """Dotted quad -> 4 bytes; NULL when the text is not a valid address."""
-    parts = F.split(text, r"\.")
+    # no branch around the parts: they are split once a row, not once an octet
+    parts = F.split(F.when(is_ipv4(text), text), r"\.")
     octets = [F.lpad(F.hex(parts.getItem(i).cast("int")), 2, "0") for i in range(4)]
-    return F.when(is_ipv4(text), F.unhex(F.concat(*octets)))
+    return F.unhex(F.concat(*octets))
 
 
 def bytes_to_ip(b: Column) -> Column:
     """4 bytes -> dotted quad; NULL unless exactly 4 bytes."""
-    octets = [F.conv(F.hex(F.substring(b, i, 1)), 16, 10) for i in range(1, 5)]
-    return F.when(F.length(b) == 4, F.concat_ws(".", *octets))
+    # one number, read once a row; NULL for another length, and so is the text
+    u32 = F.conv(F.hex(F.when(F.length(b) == 4, b)), 16, 10).cast("long")
+    octets = [F.shiftright(u32, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
+    return F.concat(octets[0], F.lit("."), octets[1], F.lit("."), octets[2], F.lit("."), octets[3])
 
 
 def check_ipv4(text: str) -> str:

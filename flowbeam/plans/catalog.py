@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowbeam.functions.binary import be_uint
 from flowbeam.functions.ip import bytes_to_ip, ip_to_bytes
+from flowbeam.functions.once import computed_once
 from flowbeam.functions.pairs import split_pair_key
 from flowbeam.functions.protocol import resolve_protocol
 from flowbeam.operators import aggregates, filters, project, spec, toptalk
@@ -226,7 +227,9 @@ def _ip_hex_sql(col: str) -> str:
 )
 def ip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = flows_view(spark, sf_dir, keep_keys=False)
-    sb, db = ip_to_bytes(F.col("src_addr")), ip_to_bytes(F.col("dst_addr"))
+    # columns of their own, which every output below reads
+    flows = computed_once(flows.select("src_addr", "dst_addr"), sb=ip_to_bytes(F.col("src_addr")), db=ip_to_bytes(F.col("dst_addr")))
+    sb, db = F.col("sb"), F.col("db")
     return flows.select(
         "src_addr",
         "dst_addr",
@@ -566,7 +569,7 @@ def v5_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     flows = flows_view(spark, sf_dir).withColumn("_day", F.floor(F.col("time_ms") / 86400000))
     packets = encode_v5(flows, packet_by=["l_orderkey", "_day"])
-    damaged = packets.select("l_orderkey", _damage(F.col("payload"), F.col("l_orderkey")).alias("payload"))
+    damaged = computed_once(packets.select("l_orderkey", "payload"), payload=_damage(F.col("payload"), F.col("l_orderkey")))
     classified = classify_v5(damaged)
     outcome = F.coalesce(F.col("reject_reason"), F.lit("ok")).alias("outcome")
     per_packet = classified.groupBy(outcome).agg(F.count(F.lit(1)).alias("packets"))
