@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowbeam.functions.ip import ip_to_bytes
+from flowbeam.functions.once import computed_once
 from flowbeam.functions.time import MS_PER_DAY
 from flowbeam.operators.decode import V5_MAX_COUNT, V5_VERSION
 from flowbeam.schema import FLOW_COLUMNS, require_columns
@@ -30,6 +31,15 @@ def _hx(x: Column, width: int) -> Column:
     return F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << (8 * width)))), 2 * width, "0")
 
 
+def _word(*fields: tuple[Column, int]) -> Column:
+    """Hex text of one 64-bit word of (value, bytes) fields, each modulo its size."""
+    word, left = F.lit(0).cast("long"), 64
+    for x, width in fields:
+        left -= 8 * width
+        word = word.bitwiseOR(F.shiftleft(x.cast("long").bitwiseAND(F.lit((1 << 8 * width) - 1)), left))
+    return F.lpad(F.hex(word), 16, "0")
+
+
 def _zeros(width: int) -> Column:
     return F.lit("00" * width)
 
@@ -50,31 +60,26 @@ def encode_v5(
     else:
         keyed = flows
         keys = [*packet_by, "_day"] if "_day" not in packet_by else list(packet_by)
-    keyed = keyed.withColumn("_day", day)
-    if packet_by is not None:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("time_ms")) - 1
-        keyed = keyed.withColumn("_run", F.floor(place / F.lit(V5_MAX_COUNT)))
-        keys = [*keys, "_run"]
     hdr_ms = (F.col("_day") + 1) * F.lit(MS_PER_DAY)  # end of the packet's UTC day
-    first = F.lit(uptime_ms) - (hdr_ms - F.col("time_ms"))
+    first = F.lit(uptime_ms) - ((day + 1) * F.lit(MS_PER_DAY) - F.col("time_ms"))
     last = first + F.col("duration_ms")
     rec = F.concat(
         F.hex(ip_to_bytes(F.col("src_addr"))),
         F.hex(ip_to_bytes(F.col("dst_addr"))),
         _zeros(8),  # next hop, input and output interfaces
-        _hx(F.col("packets"), 4),
-        _hx(F.col("bytes"), 4),
-        _hx(first, 4),
-        _hx(last, 4),
-        _hx(F.col("src_port"), 2),
-        _hx(F.col("dst_port"), 2),
-        _zeros(2),  # pad1, tcp_flags
-        _hx(F.col("protocol"), 1),
-        _zeros(9),  # tos, src_as, dst_as, masks, pad2
-    )
-    packets = keyed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"), F.collect_list(rec).alias("_recs")
+        _word((F.col("packets"), 4), (F.col("bytes"), 4)),
+        _word((first, 4), (last, 4)),
+        # pad1 and tcp_flags after the ports, tos after the protocol
+        _word((F.col("src_port"), 2), (F.col("dst_port"), 2), (F.lit(0), 2), (F.col("protocol"), 1), (F.lit(0), 1)),
+        _zeros(8),  # src_as, dst_as, masks, pad2
     )
+    # a column before the shuffle: an aggregate evaluates what it collects without generated code
+    records = computed_once(keyed.withColumn("_day", day), _rec=rec)
+    if packet_by is not None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("time_ms")) - 1
+        records = records.withColumn("_run", F.floor(place / F.lit(V5_MAX_COUNT)))
+        keys = [*keys, "_run"]
+    packets = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.collect_list("_rec").alias("_recs"))
     header = F.concat(
         _hx(F.lit(V5_VERSION), 2),
         _hx(F.col("count"), 2),
@@ -84,4 +89,5 @@ def encode_v5(
         _zeros(8),  # flow sequence, engine type and id, sampling
     )
     payload = F.unhex(F.concat(header, F.array_join("_recs", "")))
-    return packets.select(*keys, F.col("count").cast("int").alias("count"), payload.alias("payload"))
+    packets = packets.select(*keys, "_recs", F.col("count").cast("int").alias("count"))
+    return computed_once(packets, payload=payload).drop("_recs")
