@@ -68,6 +68,8 @@ BLOCK_BYTES = 4 << 20
 DECIDING_BYTES = 16 + 128 + (1 << 16)
 #: What opening a file counts for when small files are dealt over tasks.
 OPEN_COST_BYTES = 4 << 20
+#: The same for a file's further ranges.
+REOPEN_COST_BYTES = 1 << 18
 #: Longest frame that a guess takes for plausible, and headers in a row that must be.
 GUESS_FRAME_BYTES = 1 << 18
 GUESS_HEADERS = 6
@@ -168,7 +170,9 @@ class Records:
     def blocks(self) -> Iterator[tuple[int, bytes, list[int]]]:
         """(offset of the block, its bytes, offsets of whole records within them)."""
         while self.beyond < self.stop and self.cut is None:
-            base, want = self.beyond, self.block
+            base = self.beyond
+            # no more than decides on the records that begin before ``stop``
+            want = min(self.block, self.stop - base + DECIDING_BYTES)
             data = self.fetch(base, want)
             at, records = 0, []
             while base + at < self.stop:
@@ -203,6 +207,8 @@ def guess_record(data: bytes, base: int, length: int, header: CaptureHeader, fir
     """First offset in ``data`` that looks like a record header, with more of them after it.
 
     ``base`` is the offset of ``data`` in the file, ``first_second`` the time of its first record.
+    Times need not be in order or near each other: a range without a guess waits for the one before
+    it, and many of those in a file would be a turn each.
     """
     buf = np.frombuffer(data, np.uint8)
     n = len(buf) - RECORD_HEADER_BYTES + 1
@@ -212,8 +218,10 @@ def guess_record(data: bytes, base: int, length: int, header: CaptureHeader, fir
     kept, full = _word32(buf, at + 8, header.order), _word32(buf, at + 12, header.order)
     good = (kept <= GUESS_FRAME_BYTES) & (full >= kept) & (full <= 4 * GUESS_FRAME_BYTES)
     good &= _word32(buf, at + 4, header.order) < (1_000_000_000 if header.nanos else 1_000_000)
-    if first_second is not None:
-        good &= np.abs(_word32(buf, at, header.order) - first_second) < GUESS_SECONDS
+    # empty records are plausible near the file's first one only: zeros look like a row of them
+    second = _word32(buf, at, header.order)
+    whole = (kept > 0) & (second > 0)
+    good &= whole if first_second is None else whole | (np.abs(second - first_second) < GUESS_SECONDS)
     good &= base + at + RECORD_HEADER_BYTES + kept <= length
     for start in np.flatnonzero(good).tolist():
         place, seen = start, 0
@@ -310,11 +318,12 @@ def file_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
 
 def _dealt(ranges: DataFrame, range_bytes: int) -> DataFrame:
-    """Ranges over as many tasks as their bytes fill."""
-    size = F.sum(F.col("stop") - F.col("start") + OPEN_COST_BYTES)
+    """Ranges over as many tasks as their bytes fill; small ranges share tasks, as small files do."""
+    size = F.sum(F.col("stop") - F.col("start") + F.when(F.col("range_no") == 0, OPEN_COST_BYTES).otherwise(REOPEN_COST_BYTES))
     found = ranges.agg(size.alias("bytes"), F.count(F.lit(1)).alias("ranges")).first()
-    least = min(found["ranges"], ranges.sparkSession.sparkContext.defaultParallelism)
-    return ranges.repartition(max(1, least, -(-(found["bytes"] or 0) // (range_bytes + OPEN_COST_BYTES))))
+    least = min(found["ranges"], 4 * ranges.sparkSession.sparkContext.defaultParallelism)
+    full = max(range_bytes, RANGE_BYTES) + OPEN_COST_BYTES
+    return ranges.repartition(max(1, least, -(-(found["bytes"] or 0) // full)))
 
 
 def _map_ranges(ranges: DataFrame, work, schema: str) -> DataFrame:
@@ -344,7 +353,10 @@ def _index_work(block: int):
                 second = struct.unpack(header.order + "I", first)[0] if len(first) == 4 else None
                 at = row["start"]
                 while begin is None and at < row["stop"]:
-                    begin = guess_record(fetch(at, GUESS_WINDOW + 2 * GUESS_FRAME_BYTES), at, row["length"], header, second)
+                    # a short look is enough for short frames, a longer one for the longest
+                    for look in (GUESS_WINDOW, GUESS_WINDOW + 2 * GUESS_FRAME_BYTES):
+                        if begin is None:
+                            begin = guess_record(fetch(at, look), at, row["length"], header, second)
                     at += GUESS_WINDOW
             if begin is not None:
                 records = Records(fetch, row["length"], header, begin, row["stop"], block)
