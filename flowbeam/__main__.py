@@ -47,7 +47,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("flows")
     p.add_argument("rejects")
     p.add_argument("--checkpoint")
-    p.add_argument("--max-files", type=int, default=64)
+    p.add_argument("--max-files", type=int, help="files of a micro-batch (default: as many as its bytes allow)")
     p.add_argument("--continuous", action="store_true", help="keep running (default: process what is there)")
 
     p = sub.add_parser("query", help="run one flow-query spec and store its rows")

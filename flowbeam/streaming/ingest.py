@@ -1,7 +1,8 @@
 """Incremental capture ingest: ``readStream.format("binaryFile")`` -> framing -> decode -> sinks.
 
-The stream carries names, lengths and times of arriving files; each micro-batch (bounded by
-``maxFilesPerTrigger``) frames its files by byte ranges and goes to the flow sink (Parquet,
+The stream carries names, lengths and times of arriving files; each micro-batch (bounded by the
+bytes of its files, so that many small files do not make many batches: a batch costs a directory a
+day) frames its files by byte ranges and goes to the flow sink (Parquet,
 documents or keyed) and the rejects table with ``foreachBatch``. It is a batch of the table's
 ledger, named by the stream and its number, and counts when its ledger entry is written, after
 both sinks. A micro-batch replayed after a failure overwrites its own directories, or finds its
@@ -24,6 +25,9 @@ from flowbeam.plans.ingest import ingest_files, source_id, write_batch
 from flowbeam.sinks.ledger import Ledger
 from flowbeam.sinks.log import qualified
 
+#: Bytes of capture files in a micro-batch.
+TRIGGER_BYTES = 16 << 30
+
 BINARY_FILE_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -34,14 +38,15 @@ BINARY_FILE_SCHEMA = T.StructType(
 )
 
 
-def capture_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 64) -> DataFrame:
-    """Streaming DataFrame of (path, length, modified_ms) of files arriving under ``landing_dir``."""
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE_SCHEMA)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .load(landing_dir)
-    )
+def capture_stream(
+    spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None, max_bytes_per_trigger: int = TRIGGER_BYTES
+) -> DataFrame:
+    """Streaming DataFrame of (path, length, modified_ms) of files arriving under ``landing_dir``.
+
+    A micro-batch has so many bytes of files, or so many files if their number is given.
+    """
+    bound = ("maxBytesPerTrigger", max_bytes_per_trigger) if max_files_per_trigger is None else ("maxFilesPerTrigger", max_files_per_trigger)
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option(*bound).load(landing_dir)
     return files.select("path", "length", F.unix_millis("modificationTime").alias("modified_ms"))
 
 
@@ -75,9 +80,10 @@ def start_capture_ingest(
     rejects_path: str,
     checkpoint: str | None = None,
     available_now: bool = True,
-    max_files_per_trigger: int = 64,
+    max_files_per_trigger: int | None = None,
     processing_time: str = "30 seconds",
     mode: str = "parquet",
+    max_bytes_per_trigger: int = TRIGGER_BYTES,
 ) -> StreamingQuery:
     """Start the ingest query; ``available_now`` processes what is there and stops.
 
@@ -90,7 +96,7 @@ def start_capture_ingest(
         ingest_stream_batch(files, batch_id, flows_path, rejects_path, stream_id, mode)
 
     writer = (
-        capture_stream(spark, landing_dir, max_files_per_trigger)
+        capture_stream(spark, landing_dir, max_files_per_trigger, max_bytes_per_trigger)
         .writeStream.foreachBatch(each_batch)
         .option("checkpointLocation", checkpoint)
     )
