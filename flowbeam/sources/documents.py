@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowbeam.functions.once import computed_once
 from flowbeam.operators.project import from_document
 from flowbeam.schema import DISPLAY_SCHEMA
 from flowbeam.sinks.ledger import only_closed
@@ -42,7 +43,8 @@ def split_lines(lines: DataFrame, keep_text: bool = False) -> tuple[DataFrame, D
     """``split_documents`` of text lines (``value``), which display rows keep with ``keep_text``."""
     schema = T.StructType([*DISPLAY_SCHEMA.fields, T.StructField("_unread", T.StringType())])
     lines = lines.filter(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_unread"}).alias("d"))
+    # parsed once a line, not once for each field and filter that reads it
+    parsed = computed_once(lines.select("value"), d=F.from_json("value", schema, {"columnNameOfCorruptRecord": "_unread"}))
     fields = [F.col(f"d.{c}") for c in DISPLAY_SCHEMA.fieldNames()]
     missing = functools.reduce(operator.or_, [c.isNull() for c in fields])
     reason = F.when(F.col("d").isNull() | F.col("d._unread").isNotNull(), "unreadable").when(missing, "missing_field")

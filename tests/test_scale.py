@@ -122,6 +122,13 @@ def test_an_address_is_parsed_once_however_often_it_is_read(spark):
     assert _plan(QUERIES["ip_round_trip"](spark, SF_SMALL)).count("unhex") <= 2
 
 
+def test_a_document_is_parsed_once_however_many_fields_are_read(spark):
+    from flowbeam.sources.documents import split_lines
+
+    docs, rejects = split_lines(spark.createDataFrame([('{"bytes":1}',), ("x",)], "value string"), keep_text=True)
+    assert _plan(docs).count("from_json") == 1 and _plan(rejects).count("from_json") == 1
+
+
 def test_columns_computed_once_keep_nulls_and_order(spark):
     from flowbeam.functions.once import computed_once
 
