@@ -227,9 +227,32 @@ class Layout:
         return level == self.order or (self.order - level) % 2 == 0 or level == 1
 
 
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """Places of n-grams in order of their words: as many columns as fit are sorted as one number of 64 bits."""
+    packed, room = [], 0
+    for c in columns:
+        bits = max(1, int(c.max(initial=0)).bit_length())
+        if bits > room:
+            packed, room = [*packed, c], 64 - bits
+        else:
+            packed[-1], room = (packed[-1] << np.uint64(bits)) | c, room - bits
+    return np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed[::-1])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and where each key went (np.unique's places are the first; that sort is slower)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], back
+
+
 def _grouped(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams in order of their words, with summed counts."""
-    order = np.lexsort(columns[::-1])
+    order = _order(columns)
     columns, counts = [c[order] for c in columns], counts[order]
     new = np.ones(len(order), bool)
     if len(order):
@@ -350,10 +373,9 @@ _ARROW = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("shard", pa.i
 
 def _totals(context: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per context hash: tokens, n-grams seen once, twice, more often."""
-    names, at = np.unique(_key(context), return_inverse=True)
-    sums = np.zeros((len(names), 4), np.int64)
-    np.add.at(sums, (at, 0), counts)
-    np.add.at(sums, (at, np.minimum(counts, 3)), 1)
+    names, _, at = _distinct(_key(context))
+    sums = np.bincount(at * 4 + np.minimum(counts, 3), minlength=4 * len(names)).reshape(-1, 4)
+    sums[:, 0] = np.bincount(at, counts, len(names))
     return names, sums
 
 
@@ -486,7 +508,7 @@ class KneserNey:
         for level in range(1, self.order + 1):
             part = columns[self.order - level :]
             keys = _key(part)
-            distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            distinct, first, back = _distinct(keys)
             grams = [c[first] for c in part]
             if level == 1:
                 total, *seen = (np.full(len(distinct), x) for x in self.lowest)
@@ -495,7 +517,7 @@ class KneserNey:
                 inner = self.layout.inner(level, grams)
                 spread = self.layout.spread(inner)
                 plain = self.layout.shard(inner, np.ones(len(spread), np.int64), grams[0], grams[-1])
-                names, at, of = np.unique(_key(grams[:-1]), return_index=True, return_inverse=True)
+                names, at, of = _distinct(_key(grams[:-1]))
                 stats = self._spread_lookup(f"C{level}", f"D{level}", names, plain[at], spread[at], 4)
                 total, *seen = (s[of] for s in stats.T)
                 if self.layout.top(level):

@@ -16,24 +16,6 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 _S27, _S30, _S31 = np.uint64(27), np.uint64(30), np.uint64(31)
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered for up to ``limit`` distinct words at a time."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value
-        return value
-
-
-_CACHE = WordHashes()
-
-
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z lower-cased; none for null or empty text."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -41,7 +23,8 @@ def lower_words(text: str | None) -> list[bytes]:
 
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, in order."""
-    return np.fromiter(map(_CACHE.__getitem__, words), np.uint64, len(words))
+    # digests are big-endian; a remembered hash a word costs more than hashing it again
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mix64(values: np.ndarray) -> np.ndarray:
