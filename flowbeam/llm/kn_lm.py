@@ -151,7 +151,7 @@ def map_table(folder: str, name: str) -> MappedTable | None:
     if path is not None:
         if not os.path.exists(f"{path}/{name}"):
             return None
-        return MappedTable(np.memmap(f"{path}/{name}", np.uint8, "r"))
+        return MappedTable(np.asarray(np.memmap(f"{path}/{name}", np.uint8, "r")))
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
@@ -162,7 +162,7 @@ def map_table(folder: str, name: str) -> MappedTable | None:
             while chunk := f.read(1 << 24):
                 copy.write(chunk)
         copy.flush()
-        return MappedTable(np.memmap(copy.name, np.uint8, "r"))
+        return MappedTable(np.asarray(np.memmap(copy.name, np.uint8, "r")))
 
 
 # -- counting ------------------------------------------------------------------------------
@@ -240,9 +240,14 @@ def _order(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, a place of each, and where each key went (np.unique's places are the first; that sort is slower)."""
-    order = np.argsort(keys)
+    """Sorted distinct keys, a place of each, and where each key went (np.unique's places are the first ones; it sorts slower)."""
+    bits = np.uint64(len(keys).bit_length())  # hashes seldom share their upper bits: they are sorted with places in the lower ones
+    order = np.sort((keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64))
+    order = (order & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(keys)
+        ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     back = np.empty(len(keys), np.int64)
@@ -321,7 +326,7 @@ class Words:
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and training counts of word hashes."""
-        distinct, back = np.unique(words, return_inverse=True)
+        distinct, _, back = _distinct(words)
         numbers, counts, shard = np.full(len(distinct), UNKNOWN), np.zeros(len(distinct)), _shard(distinct, self.shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
@@ -502,6 +507,10 @@ class KneserNey:
         out[several] = self._lookup(many, keys[several], _shard(keys[several], self.layout.shards), width)
         return out
 
+    def _freed(self, level: int, seen):
+        """What discounting takes from n-grams of contexts, by how many were seen once, twice, more often."""
+        return seen[0] * self.discounts[level][0] + seen[1] * self.discounts[level][1] + seen[2] * self.discounts[level][2]
+
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """Probability of the last of ``order`` columns after the ones before it."""
         p = np.full(len(columns[-1]), 1.0 / (self.words + 1))
@@ -511,7 +520,7 @@ class KneserNey:
             distinct, first, back = _distinct(keys)
             grams = [c[first] for c in part]
             if level == 1:
-                total, *seen = (np.full(len(distinct), x) for x in self.lowest)
+                total, freed = (np.full(len(distinct), x) for x in (self.lowest[0], self._freed(1, self.lowest[1:])))
                 count = self._lookup("L1", distinct, _shard(grams[0], self.layout.shards))[:, 0]
             else:
                 inner = self.layout.inner(level, grams)
@@ -519,17 +528,16 @@ class KneserNey:
                 plain = self.layout.shard(inner, np.ones(len(spread), np.int64), grams[0], grams[-1])
                 names, at, of = _distinct(_key(grams[:-1]))
                 stats = self._spread_lookup(f"C{level}", f"D{level}", names, plain[at], spread[at], 4)
-                total, *seen = (s[of] for s in stats.T)
+                total, freed = stats[:, 0][of], self._freed(level, stats.T[1:])[of]
                 if self.layout.top(level):
                     count = self._lookup(f"L{level}", distinct, self.layout.shard(inner, spread, grams[0], grams[-1]))[:, 0]
                 else:
                     count = self._spread_lookup(f"L{level}", f"P{level}", distinct, plain, spread, 1)[:, 0]
             d = np.array([0.0, *self.discounts[level]])
             kept = np.maximum(count - d[np.minimum(count, 3).astype(np.int64)], 0)
-            freed = seen[0] * d[1] + seen[1] * d[2] + seen[2] * d[3]
-            known = total > 0
+            known = total > 0  # after contexts that are not, the shorter one's share is kept
             safe = np.where(known, total, 1)
-            p = np.where(known[back], (kept / safe)[back] + (freed / safe)[back] * p, p)
+            p = np.where(known, kept / safe, 0)[back] + np.where(known, freed / safe, 1)[back] * p
         return p
 
 
