@@ -7,8 +7,8 @@ DataFrame, and the tasks open their file, seek and read.
 A range starts in the middle of some record, and only the record before it tells where the next
 one begins. So files of several ranges get an index first: every range guesses its first record (a
 header of plausible length and time, with plausible headers after it), walks the headers and tells
-where the first record beyond its end begins. Where that differs from the next range's guess, that
-range is walked again from there, until every range begins where the one before it ends. The
+where the first record beyond its end begins. Where no range's guess is that place, the range that
+holds it is walked again from there, until every range begins where the one before it ends. The
 result never depends on a guess, and it gives each frame its number within its file. Files of one
 range need no index.
 
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -75,9 +75,12 @@ GUESS_FRAME_BYTES = 1 << 18
 GUESS_HEADERS = 6
 GUESS_WINDOW = 1 << 16
 GUESS_SECONDS = 400 * 86_400
+#: Ranges that are walked one after another at most, where there is no right guess.
+MOST_REACH = 1 << 12
 
 RANGE_SCHEMA = "path string, length bigint, range_no bigint, start bigint, stop bigint, begin bigint, first_frame bigint"
 INDEX_SCHEMA = "path string, length bigint, range_no bigint, start bigint, stop bigint, begin bigint, beyond bigint, frames bigint"
+CHAIN_SCHEMA = RANGE_SCHEMA + ", settled boolean"
 
 #: Reads ``size`` bytes (fewer at the file's end) at an offset.
 Fetch = Callable[[int, int], bytes]
@@ -342,11 +345,13 @@ def _map_ranges(ranges: DataFrame, work, schema: str) -> DataFrame:
     return ranges.mapInArrow(run, out)
 
 
-def _index_work(block: int):
+def _index_work(range_bytes: int, block: int):
+    """Walks of a range, or of ``reach`` of them one after another, from ``begin`` or a guess."""
+
     def work(row: dict, fetch: Fetch, header: CaptureHeader, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-        begin, frames, beyond = row["begin"], 0, None
+        begin, number, length, walks = row["begin"], row["range_no"], row["length"], []
         if header.reject is not None:
-            beyond = row["length"]
+            walks = [{**row, "beyond": length, "frames": 0}] if number == 0 else []
         else:
             if begin is None:
                 first = fetch(FILE_HEADER_BYTES, 4)
@@ -356,57 +361,89 @@ def _index_work(block: int):
                     # a short look is enough for short frames, a longer one for the longest
                     for look in (GUESS_WINDOW, GUESS_WINDOW + 2 * GUESS_FRAME_BYTES):
                         if begin is None:
-                            begin = guess_record(fetch(at, look), at, row["length"], header, second)
+                            begin = guess_record(fetch(at, look), at, length, header, second)
                     at += GUESS_WINDOW
-            if begin is not None:
-                records = Records(fetch, row["length"], header, begin, row["stop"], block)
+                if begin is None or begin >= row["stop"]:
+                    return
+            while len(walks) < row["reach"] and (begin < length or not walks):
+                number = number if not walks else begin // range_bytes
+                start, stop = number * range_bytes, min((number + 1) * range_bytes, length)
+                records = Records(fetch, length, header, begin, stop, block)
                 frames = sum(len(offsets) for _, _, offsets in records.blocks())
-                beyond = records.beyond
-        row = {**row, "begin": begin, "beyond": beyond, "frames": frames}
-        yield pa.RecordBatch.from_pylist([{k: row[k] for k in arrow.names}], schema=arrow)
+                walks.append({**row, "range_no": number, "start": start, "stop": stop, "begin": begin, "beyond": records.beyond, "frames": frames})
+                begin = records.beyond
+        yield pa.RecordBatch.from_pylist([{k: w[k] for k in arrow.names} for w in walks], schema=arrow)
 
     return work
 
 
+def _chain(walks: DataFrame, range_bytes: int) -> DataFrame:
+    """The walks that follow one another from the file's first record on (CHAIN_SCHEMA).
+
+    Where a file's chain breaks off for want of a walk, a row not ``settled`` tells where. One pass
+    over walks in the order of their places, whatever the number of them.
+    """
+    out = T._parse_datatype_string(CHAIN_SCHEMA)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, length, due, number, rows = None, 0, None, 0, []
+
+        def broken() -> list[tuple]:
+            start = due // range_bytes * range_bytes
+            return [(path, length, start // range_bytes, start, min(start + range_bytes, length), due, number, False)]
+
+        for batch in batches:
+            for w in batch.to_pylist():
+                if w["path"] != path:
+                    if due is not None and due < length:
+                        rows += broken()
+                    path, length, due, number = w["path"], w["length"], None, 0
+                if w["range_no"] == 0 if due is None else w["begin"] == due and w["begin"] < w["stop"]:
+                    rows.append((path, length, w["range_no"], w["start"], w["stop"], w["begin"], number, True))
+                    due, number = w["beyond"], number + w["frames"]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+            rows = []
+        if due is not None and due < length:
+            rows = broken()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return walks.repartition("path").sortWithinPartitions("path", "range_no", "begin").mapInArrow(run, out)
+
+
 def index_ranges(ranges: DataFrame, range_bytes: int = RANGE_BYTES, block: int = BLOCK_BYTES) -> DataFrame:
     """Ranges of files of several ranges, with ``begin`` and ``first_frame`` settled.
 
-    A range has to begin where the farthest of those before it ends. Every turn walks again those
-    that began elsewhere; turns end when there is none. A turn settles at least one more range of
-    every file, and all ranges that lie within one long record at once.
+    All walks are kept, whether their guess was right or not, so a wrong one spoils no range but
+    its own. A turn walks from every place that a walk ends at and none begins at: the places where
+    chains break off, and those after other wrong guesses. Turns end when no chain is broken; from
+    where one broke off a turn goes on through twice as many ranges as the turn before.
     """
     spark = ranges.sparkSession
-    in_file = Window.partitionBy("path").orderBy("range_no")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     columns = T._parse_datatype_string(INDEX_SCHEMA).names
-    now = ranges.select("path", "length", "range_no", "start", "stop", "begin")
-
-    def stored(df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "capture-index")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    index = stored(_map_ranges(_dealt(now, range_bytes), _index_work(block), INDEX_SCHEMA).select(*columns))
+    path, turn = scratch_path(spark, "capture-index"), 0
+    again = ranges.select("path", "length", "range_no", "start", "stop", "begin", F.lit(1).alias("reach"))
     while True:
-        judged = stored(index.withColumn("due", F.coalesce(F.max("beyond").over(before), F.col("begin"))))
-        passed = (F.col("range_no") > 0) & (F.col("due") >= F.col("stop"))
-        settled = judged.select(
-            "path", "length", "range_no", "start", "stop", "due",
-            F.when(passed, F.col("due")).otherwise(F.col("begin")).alias("begin"),
-            F.when(passed, F.col("due")).otherwise(F.col("beyond")).alias("beyond"),
-            F.when(passed, F.lit(0)).otherwise(F.col("frames")).cast("long").alias("frames"),
-        )
-        right = F.col("begin").eqNullSafe(F.col("due"))
-        wrong = settled.filter(~right)
-        if wrong.isEmpty() and judged.filter(passed & ~F.col("beyond").eqNullSafe(F.col("due"))).isEmpty():
+        _map_ranges(_dealt(again, range_bytes), _index_work(range_bytes, block), INDEX_SCHEMA).write.mode("append").parquet(path)
+        walks = spark.read.schema(INDEX_SCHEMA).parquet(path).select(*columns)
+        chain_path = scratch_path(spark, "capture-chain")
+        _chain(walks, range_bytes).write.parquet(chain_path)
+        chain = spark.read.schema(CHAIN_SCHEMA).parquet(chain_path)
+        broken = chain.filter(~F.col("settled")).select("path", F.col("begin").alias("due"))
+        if broken.isEmpty():
             break
-        again = wrong.select("path", "length", "range_no", "start", "stop", F.col("due").alias("begin"))
-        walked = _map_ranges(_dealt(again, range_bytes), _index_work(block), INDEX_SCHEMA).select(*columns)
-        index = stored(settled.filter(right).select(*columns).unionByName(walked))
-    counted = F.coalesce(F.sum("frames").over(before), F.lit(0))
-    return index.select(
-        "path", "length", "range_no", "start", "stop", "begin", counted.cast("long").alias("first_frame")
-    ).filter("begin < stop or range_no = 0")
+        known = walks.filter("begin < stop").select("path", F.col("begin").alias("beyond"))
+        ends = walks.join(broken, "path").filter("beyond >= due and beyond < length").select("path", "length", "beyond", "due")
+        start = F.col("range_no") * range_bytes
+        again = ends.distinct().join(known, ["path", "beyond"], "left_anti").withColumn("range_no", F.floor(F.col("beyond") / range_bytes)).select(
+            "path", "length", "range_no", start.alias("start"), F.least(start + range_bytes, F.col("length")).alias("stop"),
+            F.col("beyond").alias("begin"), F.when(F.col("beyond") == F.col("due"), min(1 << turn, MOST_REACH)).otherwise(1).alias("reach"),
+        )
+        turn += 1
+    return chain.filter((F.col("begin") < F.col("stop")) | (F.col("range_no") == 0)).select(
+        "path", "length", "range_no", "start", "stop", "begin", "first_frame"
+    )
 
 
 def _frame_work(block: int):

@@ -203,3 +203,48 @@ def test_one_file_is_read_by_many_tasks_block_by_block(spark, tmp_dir):
     asked.clear()
     records = capture.Records(lambda at, n: asked.append(n) or huge[at : at + n], len(huge), capture.CaptureHeader(huge[:24]), 24, len(huge), 10_000)
     assert sum(len(o) for _, _, o in records.blocks()) == 2 and max(asked) == capture.DECIDING_BYTES
+
+
+def planted_guess(tail):
+    """A datagram that holds a row of record headers, the last of which lies about its length."""
+    import struct
+
+    inner = b"".join(struct.pack("<IIII", 1185488138, 0, 8, 8) + bytes(8) for _ in range(9))
+    return udp_frame(inner + struct.pack("<IIII", 1185488138, 0, tail, tail) + bytes(1200))
+
+
+@pytest.mark.parametrize("tail", [200_000, 700])
+def test_a_wrong_guess_costs_its_own_range_a_turn(spark, tmp_dir, monkeypatch, tail):
+    from flowbeam.sources import capture
+
+    data = pcap_file([udp_frame(GOOD)] * 30 + [planted_guess(tail)] * 8 + [udp_frame(GOOD)] * 1500)
+    write(tmp_dir, "a.pcap", data)
+    turns, real = [], capture._map_ranges
+
+    def counted(ranges, work, schema):
+        turns.append(schema)
+        assert len(turns) < 12, "a turn a range"
+        return real(ranges, work, schema)
+
+    monkeypatch.setattr(capture, "_map_ranges", counted)
+    assert by_ranges(spark, tmp_dir, 2000) == sorted(straight(data, "a.pcap"))
+
+
+def test_ranges_without_any_guess_take_few_turns(spark, tmp_dir, monkeypatch):
+    import struct
+
+    from flowbeam.sources import capture
+
+    # no header is plausible: the length on the wire is less than what was kept
+    frame = udp_frame(GOOD)
+    data = pcap_file([])[:24] + (struct.pack("<IIII", 1185488138, 0, len(frame), 0) + frame) * 700
+    write(tmp_dir, "a.pcap", data)
+    turns, real = [], capture._map_ranges
+
+    def counted(ranges, work, schema):
+        turns.append(schema)
+        assert len(turns) < 12, "a turn a range"
+        return real(ranges, work, schema)
+
+    monkeypatch.setattr(capture, "_map_ranges", counted)
+    assert by_ranges(spark, tmp_dir, 2000) == sorted(straight(data, "a.pcap"))
